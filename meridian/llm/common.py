@@ -91,3 +91,50 @@ def groups(at: np.ndarray, most: int) -> list[tuple[int, int]]:
         out.append((a, b))
         a = b
     return out
+
+
+def spans(at: np.ndarray, bytes_most: int = 2_000_000, rows_most: int = 512) -> list[tuple[int, int]]:
+    """Like groups, with at most rows_most texts each."""
+    return [(i, min(i + rows_most, b)) for a, b in groups(at, bytes_most) for i in range(a, b, rows_most)]
+
+
+def map_texts(df: DataFrame, text: str, fn, added: str) -> DataFrame:
+    """df without its text column and with the columns that fn makes of it. fn(bytes, offsets) gives one Arrow array for each."""
+    from pyspark.sql.types import StructType
+
+    new = StructType.fromDDL(added)
+    if clash := {c.lower() for c in df.columns if c != text} & {f.name.lower() for f in new}:
+        raise ValueError(f"columns {sorted(clash)} are there already")
+    others = [c for c in df.columns if c != text]
+    names = [*others, *new.names]
+
+    def run(batches):
+        for b in batches:
+            made = fn(*utf8(b.column(text)))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in others], *made], names=names)
+
+    return df.select(*others, text).mapInArrow(run, StructType([*df.select(*others).schema, *new]))
+
+
+def sigmoid(z):
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, float]:
+    """a, b for which sigmoid(a z + b) fits y, by Newton's steps with a small penalty; 0 and the prior's where z says nothing."""
+    if not len(z):
+        return 0.0, 0.0
+    w = np.ones(len(z)) if weight is None else weight
+    scale = float(np.std(z)) or 1.0
+    x = np.stack([z / scale, np.ones(len(z))], 1)
+    p = np.zeros(2)
+    t = np.where(y > 0, (np.sum(y > 0) + 1) / (np.sum(y > 0) + 2), 1 / (np.sum(y <= 0) + 2))  # Platt's targets
+    for _ in range(50):
+        q = sigmoid(x @ p)
+        g = x.T @ (w * (q - t)) + 1e-3 * p
+        h = (x * (w * np.maximum(q * (1 - q), 1e-9))[:, None]).T @ x + 1e-3 * np.eye(2)
+        step = np.linalg.solve(h, g)
+        p -= np.clip(step, -3, 3)
+        if np.abs(step).max() < 1e-8:
+            break
+    return float(p[0] / scale), float(p[1])

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridian.llm import mixing, urls
-from meridian.llm.common import table
+from meridian.llm import langid, mixing, quality, urls
+from meridian.llm.common import held, split_of, table
 
 #: Rules of op3: host, path, verdict.
 URL_RULES = [
@@ -15,17 +15,38 @@ URL_RULES = [
 ]
 
 
+def _learnable(docs: DataFrame, parts: int, out: int) -> DataFrame:
+    """Rows that may be learned from: their split is known and is not the held-out one."""
+    return docs.filter(split_of(F.col("doc_id"), parts) != out)
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(_learnable(docs, 4, 2))
+    rows = docs.select("doc_id", held(F.col("doc_id"), 4, 2).alias("held_out"), "text")
+    return langid.identify(rows, model, score="score").drop("text")
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(_learnable(docs, 3, 1), _learnable(table(spark, sf_dir, "labels"), 3, 1))
+    rows = docs.select("doc_id", held(F.col("doc_id"), 3, 1).alias("held_out"), "text")
+    return quality.rate(rows, model, score="score").drop("text").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op3_url_filters": op3_url_filters,
+    "op5_quality": op5_quality,
     "op9_mixing": op9_mixing,
 }
 
