@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridian.llm import langid, mixing, quality, urls
+from meridian.llm import langid, mixing, quality, toxicity, urls
 from meridian.llm.common import held, split_of, table
 
 #: Rules of op3: host, path, verdict.
@@ -39,6 +39,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(rows, model, score="score").drop("text").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learn = _learnable(docs, 4, 2)
+    model = toxicity.fit(learn, _learnable(table(spark, sf_dir, "labels"), 4, 2), langid.fit(learn))
+    rows = docs.select("doc_id", held(F.col("doc_id"), 4, 2).alias("held_out"), "text")
+    return toxicity.rate(rows, model, score="score").drop("text").withColumn("predicted", (F.col("score") >= toxicity.CUT).cast("int"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -47,6 +55,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_url_filters": op3_url_filters,
     "op5_quality": op5_quality,
+    "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
 }
 
