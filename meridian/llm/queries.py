@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridian.llm import langid, mixing, quality, toxicity, urls
+from meridian.llm import bpe, langid, media, mixing, quality, toxicity, urls
 from meridian.llm.common import held, split_of, table
 
+def tokenizer_path() -> str:
+    """The public vocabulary that op10 and the pipeline encode with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 #: Rules of op3: host, path, verdict.
 URL_RULES = [
     ("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"),
@@ -39,6 +46,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(rows, model, score="score").drop("text").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    payload = media.payload_of(F.col("text"))
+    pages = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), media.page_of(F.sha2(payload, 256), F.lit("text as samples")).alias("html"))
+    found = media.resolve(media.sequences(pages), media.media_features(media.store(docs)))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learn = _learnable(docs, 4, 2)
@@ -51,12 +66,19 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode(docs, bpe.Codec.load(tokenizer_path()), digests=True).drop("text")
+
+
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_url_filters": op3_url_filters,
     "op5_quality": op5_quality,
+    "op6_media_columns": op6_media_columns,
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
+    "op10_bpe": op10_bpe,
 }
 
 OP3_SQL = r"""
