@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridian.llm import bpe, langid, media, mixing, quality, toxicity, urls
+from meridian.llm import bpe, langid, media, mixing, quality, simhash, toxicity, urls
 from meridian.llm.common import held, split_of, table
 
 def tokenizer_path() -> str:
@@ -54,6 +54,10 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learn = _learnable(docs, 4, 2)
@@ -76,6 +80,7 @@ QUERIES = {
     "op3_url_filters": op3_url_filters,
     "op5_quality": op5_quality,
     "op6_media_columns": op6_media_columns,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_bpe": op10_bpe,
