@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridian.llm import bpe, langid, media, mixing, quality, simhash, toxicity, urls
+from meridian.llm import ann, bpe, langid, media, mixing, quality, simhash, toxicity, urls
 from meridian.llm.common import held, split_of, table
 
 def tokenizer_path() -> str:
@@ -27,6 +27,11 @@ def _learnable(docs: DataFrame, parts: int, out: int) -> DataFrame:
     return docs.filter(split_of(F.col("doc_id"), parts) != out)
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(rows, rows.filter("vec_id % 20 = 0"), k=20)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(_learnable(docs, 4, 2))
@@ -76,6 +81,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ann": op1_ann,
     "op2_language_id": op2_language_id,
     "op3_url_filters": op3_url_filters,
     "op5_quality": op5_quality,
