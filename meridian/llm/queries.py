@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridian.llm import ann, bpe, langid, media, mixing, quality, simhash, toxicity, urls
+from meridian.llm import ann, bpe, langid, media, mixing, quality, repeats, simhash, toxicity, urls
 from meridian.llm.common import held, split_of, table
 
 def tokenizer_path() -> str:
@@ -44,6 +44,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.cut(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400, digests=True)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(_learnable(docs, 3, 1), _learnable(table(spark, sf_dir, "labels"), 3, 1))
@@ -84,6 +88,7 @@ QUERIES = {
     "op1_ann": op1_ann,
     "op2_language_id": op2_language_id,
     "op3_url_filters": op3_url_filters,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_quality": op5_quality,
     "op6_media_columns": op6_media_columns,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
