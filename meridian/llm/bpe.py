@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -90,13 +91,17 @@ def frequent(words: DataFrame, most: int = TABLE_WORDS) -> list[str]:
     return [r[0] for r in words.filter(F.length("word") <= WORD_CHARS).orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
 
 
-def encode(docs: DataFrame, codec: Codec, text: str = "text", table: list[str] | None = None, digests: bool = False) -> DataFrame:
-    """docs with n_tokens and, of the whole text (null: empty), ids (array) and decoded (string); as digests: ids_sha256 and decoded_sha256.
+#: Columns that encode can make besides n_tokens.
+OUTPUTS = {"ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
+
+
+def encode(docs: DataFrame, codec: Codec, text: str = "text", table: list[str] | None = None, outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """docs with n_tokens and the named outputs of each whole text (null: empty); ids_sha256 is of the decimal ids joined by commas.
 
     Equal to the tokenizer's own encoding without special tokens added, and to its decoding with none skipped. Rows and other columns
     stay as they are; columns of the new names are replaced. table: words encoded beforehand; by default the most frequent of docs.
     """
-    new = ("n_tokens", "ids_sha256", "decoded_sha256") if digests else ("n_tokens", "ids", "decoded")
+    new = ("n_tokens", *outputs)
     rest = docs.drop(*[c for c in docs.columns if c.lower() in new])
     known = frequent(distinct_words(docs, text)) if table is None else table
     spark = docs.sparkSession
@@ -116,17 +121,16 @@ def encode(docs: DataFrame, codec: Codec, text: str = "text", table: list[str] |
     def run(data, at):
         c, table = opened()
         raw = memoryview(data)
-        out, found, fresh, size = ([], [], []), [], set(), 0
+        out, found, fresh, size = {o: [] for o in new}, [], set(), 0
 
         def done():
             own = c.entries(sorted(fresh)) if fresh else {}
             for words in found:
                 e = [table.get(w) or own[w] for w in words]
-                ids, decoded = ",".join([x[1] for x in e]), b"".join([x[2] for x in e])
-                out[0].append(sum([x[0] for x in e]))
-                out[1].append(sha256(ids.encode()).hexdigest() if digests else [int(i) for i in ids.split(",")] if ids else [])
-                decoded = decoded.decode("utf-8", "replace")
-                out[2].append(sha256(decoded.encode()).hexdigest() if digests else decoded)
+                ids, decoded = ",".join([x[1] for x in e]), b"".join([x[2] for x in e]).decode("utf-8", "replace")
+                out["n_tokens"].append(sum([x[0] for x in e]))
+                for o in outputs:
+                    out[o].append(sha256(ids.encode()).hexdigest() if o == "ids_sha256" else sha256(decoded.encode()).hexdigest() if o == "decoded_sha256" else decoded if o == "decoded" else np.array(ids.split(","), np.int32) if ids else [])
             found.clear()
             fresh.clear()
 
@@ -138,7 +142,7 @@ def encode(docs: DataFrame, codec: Codec, text: str = "text", table: list[str] |
                 done()
                 size = 0
         done()
-        return [pa.array(out[0], pa.int64()), pa.array(out[1], pa.string() if digests else pa.list_(pa.int32())), pa.array(out[2], pa.string())]
+        kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
+        return [pa.array(v, kinds.get(o, pa.string())) for o, v in out.items()]
 
-    kinds = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "n_tokens long, ids array<int>, decoded string"
-    return map_texts(rest.withColumn("_text", F.col(text)), "_text", run, kinds)
+    return map_texts(rest.withColumn("__text", F.col(text)), "__text", run, ", ".join(["n_tokens long", *[f"{o} {OUTPUTS[o]}" for o in outputs]]))

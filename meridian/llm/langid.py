@@ -157,7 +157,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", pred: str
         return [pa.array(langs[np.concatenate(best)], pa.string()), pa.array(np.concatenate(sure).astype(float), pa.float64())]
 
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    both = rest.withColumns({"_text": F.col(text), "_lettered": lettered})
-    return map_texts(both, "_text", label, "_lang string, _score double").select(
-        *rest.columns, F.when(F.col("_lettered"), F.col("_lang")).otherwise("und").alias(pred), F.when(F.col("_lettered"), F.col("_score")).otherwise(0.0).alias(score)
+    both = rest.withColumns({"__text": F.col(text), "__lettered": lettered})
+    return map_texts(both, "__text", label, "__lang string, __score double").select(
+        *rest.columns, F.when(F.col("__lettered"), F.col("__lang")).otherwise("und").alias(pred), F.when(F.col("__lettered"), F.col("__score")).otherwise(0.0).alias(score)
     )

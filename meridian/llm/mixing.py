@@ -42,9 +42,10 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     size: words of the whole text, 0 if null. copies: 0, 1 or 2. A source's taken words differ from its target by less than
     the size of the document at its threshold. Rows equal in id and text share a hash and are taken together. A null id is hashed as
     empty; a null source is a source. An empty table gives no rows. Figures of each source (not of documents) come to the driver;
-    more than max_sources of them is an error.
+    more than max_sources of them is an error. Columns in keep named like the new ones are replaced.
     """
     spark = docs.sparkSession
+    keep = tuple(c for c in keep if c.lower() not in ("size", "source_size", "target", "copies", "taken", doc_id.lower()))
     id_col = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     sized = durable(docs.select(
         F.col(doc_id), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)],

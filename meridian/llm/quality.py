@@ -97,4 +97,4 @@ def rate(docs: DataFrame, model: Model, text: str = "text", score: str = "qualit
         raw = memoryview(data)
         return [pa.array(model.score([model.difference(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]), pa.float64())]
 
-    return map_texts(rest.withColumn("_text", F.col(text)), "_text", run, f"`{score}` double")
+    return map_texts(rest.withColumn("__text", F.col(text)), "__text", run, f"`{score}` double")

@@ -81,7 +81,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.encode(docs, bpe.Codec.load(tokenizer_path()), digests=True).drop("text")
+    return bpe.encode(docs, bpe.Codec.load(tokenizer_path()), outputs=("ids_sha256", "decoded_sha256")).drop("text")
 
 
 QUERIES = {

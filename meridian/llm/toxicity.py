@@ -258,4 +258,4 @@ def rate(docs: DataFrame, model: Model | None, text: str = "text", score: str =
             out.append(model.score(model.logits(d, o), lang))
         return [pa.array(np.concatenate(out), pa.float64())]
 
-    return map_texts(rest.withColumn("_text", F.col(text)), "_text", run, f"`{score}` double")
+    return map_texts(rest.withColumn("__text", F.col(text)), "__text", run, f"`{score}` double")
