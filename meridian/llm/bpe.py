@@ -73,8 +73,10 @@ class Codec:
         return [w for part in self.split_special.split(text) for w in ([part] if part in self.special else self.find(part))]
 
     def ids(self, words: list[str]) -> list[list[int]]:
-        made = iter(self.tok.encode_batch([w for w in words if w not in self.special], add_special_tokens=False))
-        return [[self.special[w]] if w in self.special else next(made).ids for w in words]
+        plain = [w for w in words if w not in self.special]
+        parts = (self.tok.encode_batch(plain[i : i + 2000], add_special_tokens=False) for i in range(0, len(plain), 2000))  # an encoding takes some KB
+        made = (e.ids for part in parts for e in part)
+        return [[self.special[w]] if w in self.special else next(made) for w in words]
 
     def entries(self, words: list[str]) -> dict[str, tuple[int, str, bytes]]:
         """Word to number of ids, their decimal string, and the bytes they decode to."""
@@ -86,35 +88,46 @@ def distinct_words(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.explode(F.regexp_extract_all(text, F.lit(JAVA_PATTERN), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def frequent(words: DataFrame, most: int = TABLE_WORDS) -> list[str]:
-    """The words that go to the broadcast table: the most frequent, none longer than WORD_CHARS, at most `most`."""
-    return [r[0] for r in words.filter(F.length("word") <= WORD_CHARS).orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
+def encoded_words(words: DataFrame, codec: Codec, most: int = TABLE_WORDS) -> pa.Table:
+    """Columns word, ids (decimal, joined by commas) of the words for the broadcast table: the most frequent, none longer than WORD_CHARS.
+
+    An executor encodes them; at most `most` rows of bounded length come to the driver.
+    """
+
+    def run(batches):
+        for b in batches:
+            w = b.column("word").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array([",".join(map(str, i)) for i in codec.open().ids(w)], pa.string())], names=["word", "ids"])
+
+    top = words.filter(F.length("word") <= WORD_CHARS).orderBy(F.desc("n"), "word").limit(most).select("word")
+    return top.mapInArrow(run, "word string, ids string").toArrow()
 
 
 #: Columns that encode can make besides n_tokens.
 OUTPUTS = {"ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
-def encode(docs: DataFrame, codec: Codec, text: str = "text", table: list[str] | None = None, outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+def encode(docs: DataFrame, codec: Codec, text: str = "text", table: pa.Table | None = None, outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
     """docs with n_tokens and the named outputs of each whole text (null: empty); ids_sha256 is of the decimal ids joined by commas.
 
     Equal to the tokenizer's own encoding without special tokens added, and to its decoding with none skipped. Rows and other columns
-    stay as they are; columns of the new names are replaced. table: words encoded beforehand; by default the most frequent of docs.
+    stay as they are; columns of the new names are replaced. table: from encoded_words(); by default of the most frequent words of docs.
     """
     new = ("n_tokens", *outputs)
     rest = docs.drop(*[c for c in docs.columns if c.lower() in new])
-    known = frequent(distinct_words(docs, text)) if table is None else table
-    spark = docs.sparkSession
-    made = codec.open().entries(known)
-    shared = spark.sparkContext.broadcast((codec, list(made), [e[0] for e in made.values()], "\n".join(e[1] for e in made.values())))
+    known = encoded_words(distinct_words(docs, text), codec) if table is None else table
+    shared = docs.sparkSession.sparkContext.broadcast((codec, known))
     state: dict = {}
 
     def opened():
         if not state:
-            c, words, counts, strings = shared.value
+            c, known = shared.value
             c.open()
-            ids = strings.split("\n") if words else []
-            state["known"] = {w: (n, s, b"".join(c.pieces[int(i)] for i in s.split(","))) for w, n, s in zip(words, counts, ids, strict=True)}
+            state["known"] = {}
+            for b in known.to_batches(5000):
+                for w, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    i = s.split(",")
+                    state["known"][w] = (len(i), s, b"".join([c.pieces[int(x)] for x in i]))
             state["codec"] = c
         return state["codec"], state["known"]
 
