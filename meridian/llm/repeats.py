@@ -15,29 +15,31 @@ strings, which are only counted. So no group grows with the input and nothing is
 
 from __future__ import annotations
 
-from hashlib import md5, sha256
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridian.llm.common import durable, groups, utf8
 
 GRAM = 32
-BUCKET = 4000
+BUCKET = 16_000
 #: Bytes of texts whose hashes are held at once; a longer text goes in overlapping parts. Under 2 ** 24, a place's bits in a key.
 PIECE = 2_000_000
 #: Segments whose columns are held at once.
-TOGETHER = 16_000
+TOGETHER = 32_000
 #: Strings in a block, level by level, of buckets that are too large.
 BLOCKS = (32, 1)
 _PLACE = np.uint64((1 << 24) - 1)
 _rng = np.random.default_rng(400)
 _BYTE = _rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTOR = _rng.integers(0, 1 << 63, 8, np.uint64) * np.uint64(2) + np.uint64(1)
-SEGMENT = "h long, seg binary, key binary, start int, n int, off int, weight int"
+#: h: hash of the anchor's gram, seg: of the segment's bytes, k1 and k2: of the text; place: see place_of.
+SEGMENT = "h long, seg long, k1 long, k2 long, place long"
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -82,11 +84,30 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
     return begin, number, anchor[begin], h[anchor[begin]]
 
 
+def place_of(start, n, off, weight):
+    """First byte of a segment, its number of strings, the anchor's distance and how often it occurs (1, or 2 for more), in one number."""
+    return (start << 30) | (n << 16) | (off << 2) | weight
+
+
+def _parts_of(place: np.ndarray):
+    return place >> 30, (place >> 16) & 16383, (place >> 2) & 16383, place & 3
+
+
+def _signed(x: list[int]) -> pa.Array:
+    return pa.array(np.array(x, np.uint64).view(np.int64))
+
+
+def _keys(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    d = [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    both = np.frombuffer(b"".join(d), np.int64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
 def _segments(length: int):
     def of(column):
-        """Rows of SEGMENT for all texts of a column, and each text's key."""
+        """Rows of SEGMENT for all texts of a column."""
         data, at = utf8(column)
-        keys = [md5(data[a:b]).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        k1, k2 = _keys(data, at)
         parts = []
         for a, b in groups(at, PIECE):
             if at[b] - at[a] <= PIECE:
@@ -100,24 +121,37 @@ def _segments(length: int):
             begin, number, anchor, h = anchors(piece, own, length)
             if not len(begin):
                 continue
-            doc = np.searchsorted(own, begin, "right") - 1
+            doc = np.searchsorted(own, begin, "right") - 1 + a
             raw = piece.tobytes()
-            seg = [xxhash.xxh3_128_digest(raw[i : i + n - 1 + length]) for i, n in zip(begin.tolist(), number.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(h.view(np.int64)), pa.array(seg, pa.binary()), pa.array([keys[a + d] for d in doc], pa.binary()),
-                    pa.array((begin + base - at[a + doc]).astype(np.int32)), pa.array(number.astype(np.int32)), pa.array((anchor - begin).astype(np.int32)), pa.array(np.ones(len(begin), np.int32)),
-                ],
-                names=["h", "seg", "key", "start", "n", "off", "weight"],
-            )
+            seg = [xxhash.xxh3_64_intdigest(raw[i : i + n - 1 + length]) for i, n in zip(begin.tolist(), number.tolist(), strict=True)]
+            place = place_of(begin + base - at[doc], number, anchor - begin, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), _signed(seg), pa.array(k1[doc]), pa.array(k2[doc]), pa.array(place)], names=["h", "seg", "k1", "k2", "place"])
+
+    return lambda batches: (made for b in batches for made in of(b.column(0)))
+
+
+def _compressed(others: list[str]):
+    """Texts as zstandard frames with their keys: a third of the bytes to deal."""
 
     def run(batches):
+        pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            yield from of(b.column(0))
+            data, at = utf8(b.column("text"))
+            k1, k2 = _keys(data, at)
+            z = [pack(data[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in others], pa.array(k1), pa.array(k2), pa.array(z, pa.binary())], names=[*others, "k1", "k2", "z"])
 
     return run
 
 
+def compressed(docs: DataFrame) -> DataFrame:
+    """docs (column text and others) with k1, k2, z instead of text."""
+    from pyspark.sql.types import StructType
+
+    others = [c for c in docs.columns if c != "text"]
+    return docs.mapInArrow(_compressed(others), StructType([*docs.select(*others).schema, *StructType.fromDDL("k1 long, k2 long, z binary")]))
+
+
 def columnwise(group: np.ndarray, bodies: list[bytes], off: np.ndarray, number: np.ndarray, length: int) -> np.ndarray:
     """Which strings of segments are repeated in their group: a row for each segment, a column for each string, counted from its last anchor place.
 
@@ -180,101 +214,110 @@ def _bodies(length: int, block: int | None):
     """From rows of a text and its wanted segments: their bytes, or with a block, their parts as new segments."""
 
     def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            data, at = utf8(b.column("text"))
             want = b.column("want")
             n_of = np.diff(want.offsets.to_numpy())
-            doc = np.repeat(np.arange(len(want)), n_of)
             flat = want.flatten()
-            field = {f: flat.field(f) for f in ("h", "seg", "start", "n", "off", "weight")}
-            start, n, off, h = (field[f].to_numpy() for f in ("start", "n", "off", "h"))
-            begin = (at[doc] + start).tolist()
-            stop = (at[doc] + start + n - 1 + length).tolist()
-            if block is None:
-                names = ["h", "seg", "key", "start", "n", "off", "weight", "body"]
-                for i in range(0, len(doc), 2000):
-                    part = slice(i, i + 2000)
-                    yield pa.RecordBatch.from_arrays([*[field[f].slice(i, 2000) for f in ("h", "seg")], b.column("key").take(pa.array(doc[part])), *[field[f].slice(i, 2000) for f in ("start", "n", "off", "weight")], pa.array([data[x:y].tobytes() for x, y in zip(begin[part], stop[part], strict=True)], pa.binary())], names=names)
-                continue
-            keys, weight, out = b.column("key").to_pylist(), field["weight"].to_pylist(), []
-            for i, d in enumerate(doc.tolist()):
-                raw = data[begin[i] : stop[i]].tobytes()
-                first, last = -int(off[i]), -int(off[i]) + int(n[i]) - 1  # places of its strings from the anchor
-                for k in range(first // block, last // block + 1):
-                    a, z = max(first, k * block), min(last, k * block + block - 1)
-                    core = raw[k * block + block - 1 - first : k * block + length - first]
-                    new = xxhash.xxh3_64_intdigest(core, int(h[i] + k) & (2**64 - 1))
-                    out.append((new - (1 << 64) if new >> 63 else new, xxhash.xxh3_128_digest(raw[a - first : z - first + length]), keys[d], int(start[i]) + a - first, z - a + 1, -a, weight[i]))
-                if len(out) > 20_000 or (i == len(doc) - 1 and out):
-                    columns = list(zip(*out, strict=True))
-                    kinds = [pa.int64(), pa.binary(), pa.binary(), *[pa.int32()] * 4]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["h", "seg", "key", "start", "n", "off", "weight"])
-                    out = []
+            h, seg, place = (flat.field(f).to_numpy() for f in ("h", "seg", "place"))
+            start, n, off, weight = _parts_of(place)
+            k1, k2 = (np.repeat(b.column(k).to_numpy(), n_of) for k in ("k1", "k2"))
+            i = 0
+            for z, m in zip(b.column("z"), n_of.tolist(), strict=True):
+                raw = unpack(z.as_py())
+                own = slice(i, i + m)
+                i += m
+                if block is None:
+                    body = [raw[x : x + y - 1 + length] for x, y in zip(start[own].tolist(), n[own].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c[own]) for c in (h, seg, k1, k2, place)] + [pa.array(body, pa.binary())], names=["h", "seg", "k1", "k2", "place", "body"])
+                    continue
+                out = ([], [], [], [])
+                for j in range(own.start, own.stop):
+                    first = -int(off[j])  # place of its first string from the anchor
+                    last, at = first + int(n[j]) - 1, int(start[j])
+                    for k in range(first // block, last // block + 1):
+                        x, y = max(first, k * block), min(last, k * block + block - 1)
+                        core = at + k * block - first  # from here, block - 1 bytes on, all strings of the block agree or none
+                        out[0].append(xxhash.xxh3_64_intdigest(raw[core + block - 1 : core + length], int(h[j] + k) & (2**64 - 1)))
+                        out[1].append(xxhash.xxh3_64_intdigest(raw[at + x - first : at + y - first + length]))
+                        out[2].append(place_of(at + x - first, y - x + 1, -x, int(weight[j])))
+                        out[3].append(j)
+                who = np.array(out[3])
+                yield pa.RecordBatch.from_arrays([_signed(out[0]), _signed(out[1]), pa.array(k1[who]), pa.array(k2[who]), pa.array(out[2], pa.int64())], names=["h", "seg", "k1", "k2", "place"])
 
     return run
 
 
+SPAN = "k1 long, k2 long, begin long, end long"
+
+
 def _runs(length: int):
-    """Spans (key, begin, end) of repeated strings in segments that come sorted by bucket."""
+    """Spans of repeated strings in segments that come sorted by bucket."""
 
-    def of(rows: list[tuple]):
-        h = np.array([r[0] for r in rows])
+    def of(table: pa.Table):
+        h, k1, k2, place = (table.column(c).to_numpy() for c in ("h", "k1", "k2", "place"))
+        start, n, off, weight = _parts_of(place)
         group = np.cumsum(np.append(0, h[1:] != h[:-1]))
-        off, number = (np.array([r[i] for r in rows]) for i in (4, 5))
-        found = columnwise(group, [r[6] for r in rows], off, number, length)
-        left = length - GRAM
-        out = []
-        for i in np.flatnonzero(found.any(0)):
-            if rows[i][7] > 1:
-                continue  # repeated as a whole, which is known
-            hit = np.flatnonzero(np.diff(np.concatenate([[0], found[:, i].view(np.int8), [0]])))
-            base = rows[i][3] + int(off[i]) - left
-            out += [(rows[i][2], base + int(a), base + int(z) - 1 + length) for a, z in zip(hit[::2], hit[1::2], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.int32())], names=["key", "begin", "end"])
+        found = columnwise(group, table.column("body").to_pylist(), off, n, length)
+        found[:, weight > 1] = False  # repeated as a whole, which is known
+        edge = np.diff(np.concatenate([np.zeros((1, len(h)), np.int8), found.view(np.int8), np.zeros((1, len(h)), np.int8)]), axis=0).T
+        row, a = np.nonzero(edge == 1)
+        z = np.nonzero(edge == -1)[1]
+        base = (start + off)[row] - (length - GRAM)
+        return pa.RecordBatch.from_arrays([pa.array(k1[row]), pa.array(k2[row]), pa.array(base + a), pa.array(base + z - 1 + length)], names=["k1", "k2", "begin", "end"])
 
     def run(batches):
-        rows: list[tuple] = []
+        held, rows, last = [], 0, None
         for b in batches:
-            column = {c: b.column(c).to_pylist() for c in ("h", "seg", "key", "start", "off", "n", "body", "weight")}
-            for r in zip(*column.values(), strict=True):
-                if len(rows) >= TOGETHER and r[0] != rows[-1][0]:
-                    yield of(rows)
-                    rows = []
-                rows.append(r)
+            if not b.num_rows:
+                continue
+            h = b.column("h").to_numpy()
+            cuts = [0, *(np.flatnonzero(h[1:] != h[:-1]) + 1).tolist(), len(h)] if last is None or h[0] == last else [0, 0, *(np.flatnonzero(h[1:] != h[:-1]) + 1).tolist(), len(h)]
+            done = 0
+            for c in cuts[1:-1]:  # a bucket ends before row c
+                if rows + c - done >= TOGETHER:
+                    held.append(b.slice(done, c - done))
+                    yield of(pa.Table.from_batches(held))
+                    held, rows, done = [], 0, c
+            held.append(b.slice(done))
+            rows += len(h) - done
+            last = h[-1]
         if rows:
-            yield of(rows)
+            yield of(pa.Table.from_batches(held))
 
     return run
 
 
-def repeated_spans(keyed: DataFrame, length: int = 400, bucket: int = BUCKET) -> DataFrame:
-    """Columns key, begin, end: bytes covered by strings of `length` bytes that also start elsewhere. Spans may overlap. keyed: columns key, text."""
-    spark = keyed.sparkSession
+def repeated_spans(texts: DataFrame, length: int = 400, bucket: int = BUCKET) -> DataFrame:
+    """Columns of SPAN: bytes of texts (column text) covered by strings of `length` bytes that also start elsewhere. Spans may overlap."""
+    spark = texts.sparkSession
     dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    once = keyed.groupBy("key").agg(F.first("text").alias("text"))  # partitions first, so many copies are no large group
-    every = durable(keyed.select("text").mapInArrow(_segments(length), SEGMENT), "segments")
-    twice = every.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
+    z = compressed(texts)
+    once = z.groupBy("k1", "k2").agg(F.first("z").alias("z"))  # in each partition first, so many copies are no large group
+    every = durable(texts.mapInArrow(_segments(length), SEGMENT), "segments")
+    # written tables before each join: both its sides are then dealt anew, and Spark can split a bucket with very many rows
+    twice = durable(every.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "buckets")
     rows = durable(every.join(twice, "h", "left_semi"), "segments-shared")
     spans = []
     for level in range(len(BLOCKS) + 1):
-        segs = durable(rows.groupBy("h", "seg").agg(F.sum("weight").alias("weight"), F.min(F.struct("key", "start", "n", "off")).alias("at")), "segments-distinct")
+        # any one row stands for equal segments; first() takes all its columns from the same row
+        segs = durable(rows.groupBy("h", "seg").agg(F.sum(F.expr("place & 3")).alias("weight"), *[F.first(c).alias(c) for c in ("k1", "k2", "place")]), "segments-distinct")
         whole = rows.join(segs.filter("weight > 1").select("h", "seg"), ["h", "seg"], "left_semi")
-        spans.append(whole.select("key", F.col("start").alias("begin"), (F.col("start") + F.col("n") - 1 + length).alias("end")))
-        many = segs.groupBy("h").agg(F.count("*").alias("m"), F.min("weight").alias("least")).filter("m > 1 and least = 1").select("h", "m")
-        several = segs.join(many, "h").select("h", "seg", F.least("weight", F.lit(2)).cast("int").alias("weight"), "at.*", "m")
+        spans.append(whole.selectExpr("k1", "k2", "shiftright(place, 30) as begin", f"shiftright(place, 30) + (shiftright(place, 16) & 16383) - 1 + {length} as end"))
         if level == len(BLOCKS):
             break  # whole strings: different ones in a bucket are not equal
-        several = durable(several, "segments-several")
-        want = lambda d: once.join(d.groupBy("key").agg(F.collect_list(F.struct("h", "seg", "start", "n", "off", "weight")).alias("want")), "key")
+        many = durable(segs.groupBy("h").agg(F.count("*").alias("m"), F.min("weight").alias("least")).filter("m > 1 and least = 1").select("h", "m"), "buckets-several")
+        several = durable(segs.join(many, "h").selectExpr("h", "seg", "k1", "k2", "place - (place & 3) + least(weight, 2) as place", "m"), "segments-several")
+        want = lambda d: once.join(d.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "seg", "place")).alias("want")), ["k1", "k2"])
         body = want(several.filter(F.col("m") <= bucket)).mapInArrow(_bodies(length, None), SEGMENT + ", body binary")
-        spans.append(body.repartition(dealt, "h").sortWithinPartitions("h", "seg").mapInArrow(_runs(length), "key binary, begin int, end int"))
+        spans.append(body.repartition(dealt, "h").sortWithinPartitions("h").mapInArrow(_runs(length), SPAN))
         large = several.filter(F.col("m") > bucket)
         if large.isEmpty():
             break
         rows = durable(want(large).mapInArrow(_bodies(length, BLOCKS[level]), SEGMENT), "segments-split")
     out = spans[0]
-    for s in spans[1:]:
-        out = out.unionByName(s)
+    for x in spans[1:]:
+        out = out.unionByName(x)
     return out
 
 
@@ -283,32 +326,33 @@ def cut(docs: DataFrame, text: str = "text", length: int = 400, bucket: int = BU
 
     Texts are UTF-8 bytes, a null one empty; strings never cross texts; all strings are judged on the texts as they come, so every copy goes, and
     texts that occur twice (rows that repeat too) lose all strings of that length. Instead of the text: kept, the remaining bytes as text, of which an
-    incomplete character at a cut is left out; with digests kept_sha256, of the remaining bytes themselves. Columns of the new names are replaced. length is
-    64 at least.
+    incomplete character at a cut is left out; with digests kept_sha256, of the remaining bytes themselves. Columns of the new names are replaced. length: 64 to
+    16000.
     """
-    if length < 2 * GRAM:
-        raise ValueError(f"length is at least {2 * GRAM}")
+    if not 2 * GRAM <= length <= 16000:
+        raise ValueError(f"length is from {2 * GRAM} to 16000")
     new = {"n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"}
     others = [c for c in docs.columns if c.lower() not in new and c != text]
     whole = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.select(F.unhex(F.md5(whole)).alias("key"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)], whole.alias("text"))
-    spans = repeated_spans(keyed.select("key", "text").filter(F.octet_length("text") >= length), length, bucket)
-    per_text = spans.distinct().groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    joined = keyed.join(per_text, "key", "left").select(*[f"c{i}" for i in range(len(others))], "text", "spans")
+    spans = repeated_spans(docs.select(whole.alias("text")).filter(F.octet_length("text") >= length), length, bucket)
+    per_text = durable(spans.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "spans")
+    packed = compressed(docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(others)], whole.alias("text")))
+    joined = packed.join(per_text, ["k1", "k2"], "left").select(*[f"c{i}" for i in range(len(others))], "z", "spans")
     name = "kept_sha256" if digests else "kept"
 
     def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            data, at = utf8(b.column("text"))
+            texts = b.column("z")
             spans = b.column("spans")
             edges = spans.offsets.to_numpy()
             begin, end = (spans.values.field(f).to_numpy(zero_copy_only=False) for f in ("begin", "end"))
             null = spans.is_null().to_numpy(zero_copy_only=False)
             out = ([], [], [], [])
             for i in range(b.num_rows):
-                raw = data[at[i] : at[i + 1]]
+                kept = unpack(texts[i].as_py())
+                raw = np.frombuffer(kept, np.uint8)
                 removed = runs = 0
-                kept = raw.tobytes()
                 if not null[i]:
                     x, y = begin[edges[i] : edges[i + 1]], end[edges[i] : edges[i + 1]]
                     order = np.argsort(x, kind="stable")
