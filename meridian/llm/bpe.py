@@ -2,13 +2,15 @@
 
 Spark splits all texts to words and counts the distinct ones. The most frequent words, as many as a stated bound lets be broadcast, are
 encoded once each for the whole corpus; the id strings and pieces of each text come from that table by the words' positions. A word
-outside it, from the long tail of rare ones, is encoded once in each batch of texts that has it, so nothing is dropped or cut.
+outside it, from the long tail of rare ones, is encoded once by each task that meets it and joined in the same way (again, if more of them
+than a task remembers lie in between), so nothing is dropped or cut.
 Ids go back to bytes through a table from id to piece.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from hashlib import sha256
 
 import numpy as np
@@ -17,12 +19,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import map_texts
+from meridian.llm.common import durable, map_texts
 
 #: The pattern that splits texts before byte-level merges, white space as Unicode has it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 JAVA_PATTERN = PATTERN.replace(r"\p{White_Space}", r"\p{IsWhite_Space}").replace(r"\P{White_Space}", r"\P{IsWhite_Space}")
-TABLE_WORDS = 200_000
+TABLE_WORDS = 150_000
+#: Rare words that a task remembers from batch to batch.
+REMEMBERED = 50_000
 #: A longer word (a run without a break) is not kept in the table.
 WORD_CHARS = 64
 
@@ -56,14 +60,13 @@ class Codec:
             spec = json.loads(self.content)
             alphabet = _byte_chars()
             special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-            self.pieces = {i: bytes(alphabet[c] for c in w) for w, i in spec["model"]["vocab"].items()} | {i: w.encode() for w, i in special.items()}
+            pieces = {str(i): bytes(alphabet[c] for c in w) for w, i in spec["model"]["vocab"].items()} | {str(i): w.encode() for w, i in special.items()}
+            self.piece_of = pieces.__getitem__
             self.special = special
             self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
             self.find = regex.compile(PATTERN).findall
-            self.tok = Tokenizer.from_str(self.content)
-            self.tok.no_truncation()
-            self.tok.no_padding()
-            self.tok.encode_special_tokens = True
+            self.model = Tokenizer.from_str(self.content).model
+            self.alphabet = {b: ch for ch, b in alphabet.items()}
             self._ready = True
         return self
 
@@ -72,15 +75,19 @@ class Codec:
             return self.find(text)
         return [w for part in self.split_special.split(text) for w in ([part] if part in self.special else self.find(part))]
 
-    def ids(self, words: list[str]) -> list[list[int]]:
-        plain = [w for w in words if w not in self.special]
-        parts = (self.tok.encode_batch(plain[i : i + 2000], add_special_tokens=False) for i in range(0, len(plain), 2000))  # an encoding takes some KB
-        made = (e.ids for part in parts for e in part)
-        return [[self.special[w]] if w in self.special else next(made) for w in words]
+    def ids(self, words: list[str]) -> Iterator[list[int]]:
+        """Ids of each word by the tokenizer's own merges; a word is one piece of text, so there is nothing to split or normalise any more."""
+        merge, alphabet = self.model.tokenize, self.alphabet
+        for w in words:
+            yield [self.special[w]] if w in self.special else [t.id for t in merge(w.encode().decode("latin-1").translate(alphabet))]
 
-    def entries(self, words: list[str]) -> dict[str, tuple[int, str, bytes]]:
-        """Word to number of ids, their decimal string, and the bytes they decode to."""
-        return {w: (len(i), ",".join(map(str, i)), b"".join(map(self.pieces.__getitem__, i))) for w, i in zip(words, self.ids(words), strict=True)}
+    def entries(self, words: list[str]) -> dict[str, str]:
+        """Word to its ids, decimal and joined by commas."""
+        return {w: ",".join(map(str, i)) for w, i in zip(words, self.ids(words), strict=True)}
+
+    def decode(self, ids: str) -> str:
+        """Text of decimal ids joined by commas; bytes that are no characters are replaced, as the tokenizer does."""
+        return b"".join(map(self.piece_of, ids.split(","))).decode("utf-8", "replace") if ids else ""
 
 
 def distinct_words(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -89,18 +96,25 @@ def distinct_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def encoded_words(words: DataFrame, codec: Codec, most: int = TABLE_WORDS) -> pa.Table:
-    """Columns word, ids (decimal, joined by commas) of the words for the broadcast table: the most frequent, none longer than WORD_CHARS.
+    """Columns word, ids (decimal, joined by commas) of the words for the broadcast table, none longer than WORD_CHARS: all that occur so often, by a
+    power of two, that no more than `most` do.
 
-    An executor encodes them; at most `most` rows of bounded length come to the driver.
+    Executors encode them, each word once; at most `most` rows of bounded length come to the driver.
     """
+    words = durable(words.filter(F.length("word") <= WORD_CHARS), "words")
+    left, least = most, 1
+    for power, n in sorted(((r[0], r[1]) for r in words.groupBy(F.floor(F.log2("n")).alias("power")).count().collect()), reverse=True):
+        if n > left:
+            least = 1 << (power + 1)
+            break
+        left -= n
 
     def run(batches):
         for b in batches:
             w = b.column("word").to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array([",".join(map(str, i)) for i in codec.open().ids(w)], pa.string())], names=["word", "ids"])
 
-    top = words.filter(F.length("word") <= WORD_CHARS).orderBy(F.desc("n"), "word").limit(most).select("word")
-    return top.mapInArrow(run, "word string, ids string").toArrow()
+    return words.filter(F.col("n") >= least).select("word").mapInArrow(run, "word string, ids string").toArrow()
 
 
 #: Columns that encode can make besides n_tokens.
@@ -123,34 +137,42 @@ def encode(docs: DataFrame, codec: Codec, text: str = "text", table: pa.Table |
         if not state:
             c, known = shared.value
             c.open()
-            state["known"] = {}
-            for b in known.to_batches(5000):
-                for w, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    i = s.split(",")
-                    state["known"][w] = (len(i), s, b"".join([c.pieces[int(x)] for x in i]))
-            state["codec"] = c
+            state["known"] = {w: i for b in known.to_batches(5000) for w, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+            state.update(codec=c, rare=[])
         return state["codec"], state["known"]
 
     def run(data, at):
-        c, table = opened()
+        c, known = opened()
+        get = known.get
         raw = memoryview(data)
-        out, found, fresh, size = {o: [] for o in new}, [], set(), 0
+        out, waiting, fresh, size = {o: [] for o in new}, [], set(), 0
 
         def done():
-            own = c.entries(sorted(fresh)) if fresh else {}
-            for words in found:
-                e = [table.get(w) or own[w] for w in words]
-                ids, decoded = ",".join([x[1] for x in e]), b"".join([x[2] for x in e]).decode("utf-8", "replace")
-                out["n_tokens"].append(sum([x[0] for x in e]))
+            if fresh:
+                own = c.entries(sorted(fresh))
+                known.update(own)
+                state["rare"] += own
+                fresh.clear()
+            for words, ids in waiting:
+                ids = ",".join(map(get, words)) if ids is None else ids
+                decoded = c.decode(ids)
+                out["n_tokens"].append(ids.count(",") + 1 if ids else 0)
                 for o in outputs:
                     out[o].append(sha256(ids.encode()).hexdigest() if o == "ids_sha256" else sha256(decoded.encode()).hexdigest() if o == "decoded_sha256" else decoded if o == "decoded" else np.array(ids.split(","), np.int32) if ids else [])
-            found.clear()
-            fresh.clear()
+            waiting.clear()
+            if len(state["rare"]) > REMEMBERED:
+                for w in state["rare"]:
+                    known.pop(w, None)
+                state["rare"] = []
 
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             words = c.words(str(raw[a:b], "utf-8"))
-            fresh.update(w for w in words if w not in table)
-            found.append(words)
+            found = list(map(get, words))
+            if None in found:
+                fresh.update([w for w, x in zip(words, found, strict=True) if x is None])
+                waiting.append((words, None))
+            else:
+                waiting.append((None, ",".join(found)))
             if (size := size + b - a) > 1_000_000:
                 done()
                 size = 0
