@@ -24,6 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Rows that go to Python at once. Texts are some KB on average and may be very long, so Spark's default of 10,000 is too many for small executors.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows in an Arrow batch, unless the session asks for fewer still."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000") or 10000)
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
@@ -102,6 +114,7 @@ def map_texts(df: DataFrame, text: str, fn, added: str) -> DataFrame:
     """df without its text column and with the columns that fn makes of it. fn(bytes, offsets) gives one Arrow array for each."""
     from pyspark.sql.types import StructType
 
+    small_batches(df.sparkSession)
     new = StructType.fromDDL(added)
     if clash := {c.lower() for c in df.columns if c != text} & {f.name.lower() for f in new}:
         raise ValueError(f"columns {sorted(clash)} are there already")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import utf8
+from meridian.llm.common import small_batches, utf8
 
 ITEM = "struct<pos:int,kind:string,text:string,digest:string,caption:string>"
 _BLOCK = {"p", "div", "br", "li", "ul", "ol", "tr", "td", "th", "table", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "figure", "blockquote", "pre", "title"}
@@ -145,6 +145,7 @@ def media_features(media: DataFrame, form: str = "media") -> DataFrame:
     """media with figures of each stored image, which is read back from its bytes, instead of the image. A null image has null figures."""
     from pyspark.sql.types import StructType
 
+    small_batches(media.sparkSession)
     new = StructType.fromDDL(FEATURES)
     others = [c for c in media.columns if c != form and c.lower() not in {f.name for f in new}]
 

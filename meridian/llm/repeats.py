@@ -24,14 +24,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import durable, groups, utf8
+from meridian.llm.common import durable, groups, small_batches, utf8
 
 GRAM = 32
 BUCKET = 16_000
 #: Bytes of texts whose hashes are held at once; a longer text goes in overlapping parts. Under 2 ** 24, a place's bits in a key.
 PIECE = 2_000_000
 #: Segments whose columns are held at once.
-TOGETHER = 32_000
+TOGETHER = 16_000
 #: Strings in a block, level by level, of buckets that are too large.
 BLOCKS = (32, 1)
 _PLACE = np.uint64((1 << 24) - 1)
@@ -165,9 +165,11 @@ def columnwise(group: np.ndarray, bodies: list[bytes], off: np.ndarray, number:
     end = lo + size
     left = width - 1  # columns from -left to length - 1
     table = np.zeros((left + length, m), np.uint8)
-    flat = np.frombuffer(b"".join(bodies), np.uint8)
-    seg = np.repeat(np.arange(m), size)
-    table[np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size) + left, seg] = flat
+    for i in range(0, m, 500):  # few at a time: the index takes eight times the bytes
+        part = size[i : i + 500]
+        flat = np.frombuffer(b"".join(bodies[i : i + 500]), np.uint8)
+        shift = lo[i : i + 500] + left - (np.cumsum(part) - part)
+        table[np.arange(len(flat)) + np.repeat(shift, part), np.repeat(np.arange(i, i + len(part)), part)] = flat
     found = np.zeros((left + 1, m), bool)
     by_end = np.argsort(-end, kind="stable")
     ends = -end[by_end]
@@ -291,6 +293,7 @@ def _runs(length: int):
 def repeated_spans(texts: DataFrame, length: int = 400, bucket: int = BUCKET) -> DataFrame:
     """Columns of SPAN: bytes of texts (column text) covered by strings of `length` bytes that also start elsewhere. Spans may overlap."""
     spark = texts.sparkSession
+    small_batches(spark)
     dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
     z = compressed(texts)
     once = z.groupBy("k1", "k2").agg(F.first("z").alias("z"))  # in each partition first, so many copies are no large group
