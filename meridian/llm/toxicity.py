@@ -123,7 +123,10 @@ class Model:
                 ends.append(e)
             ids = np.concatenate([words(data[a:b], np.array([0, b - a]))[0] for a, b in zip(ends, ends[1:], strict=False)])
             step = PIECE // 8
-            best = [self.pooled(*padded(x, np.array([0, len(x)]))) for x in (ids[i : i + step + PAD] for i in range(0, max(len(ids), 1), step))]
+            best = []
+            for i in range(0, max(len(ids), 1), step):
+                part, begin, end = padded(ids[i : i + step + PAD], np.array([0, len(ids[i : i + step + PAD])]))
+                best.append(self.pooled(part, begin, np.minimum(end, step)))  # windows that begin later belong to the next part
             return np.max(best, 0) @ self.out + self.out_bias
         return self.pooled(*padded(*words(data, at))) @ self.out + self.out_bias
 
