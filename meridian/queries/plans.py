@@ -1 +1,146 @@
-"""Placeholder."""
+"""The warehouse's plans over stand-in record tables. The stand-ins are SQL that Spark and DuckDB both read."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from meridian.plans import contributions as ct
+from meridian.queries.base import query, table
+
+ORG, PARENT, INDUSTRY, POL = 100_000_000, 200_000_000, 300_000_000, 400_000_000
+
+STANDINS = {
+    "contribution": """SELECT o_orderkey AS transaction_id, year(o_orderdate) AS cycle, CASE WHEN o_orderstatus = 'F' THEN 'urn:fec:transaction' ELSE 'urn:nimsp:transaction' END AS transaction_namespace,
+  CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN CASE WHEN o_custkey % 2 = 0 THEN '11' ELSE '24k' END WHEN 2 THEN '99' ELSE NULL END AS transaction_type, CAST(o_totalprice AS DECIMAL(15,2)) AS amount,
+  c_name AS contributor_name, CAST(c_custkey AS STRING) AS contributor_ext_id, CASE WHEN c_custkey % 2 = 0 THEN 'I' ELSE 'C' END AS contributor_type, left(c_mktsegment, 5) AS contributor_category, n_name AS contributor_state,
+  CASE WHEN c_nationkey % 4 = 0 THEN '' ELSE 'Org ' || CAST(c_nationkey AS STRING) END AS organization_name, CAST(c_nationkey AS STRING) AS organization_ext_id, CASE WHEN n_regionkey > 2 THEN 'Parent ' || CAST(n_regionkey AS STRING) END AS parent_organization_name,
+  'Recipient ' || CAST(o_orderkey % 53 AS STRING) AS recipient_name, CASE WHEN o_orderkey % 53 % 7 > 0 THEN CAST(o_orderkey % 53 AS STRING) END AS recipient_ext_id, CASE WHEN o_orderkey % 53 % 3 > 0 THEN 'P' ELSE 'C' END AS recipient_type,
+  CASE o_orderkey % 53 % 4 WHEN 0 THEN 'D' WHEN 1 THEN 'R' WHEN 2 THEN 'I' ELSE NULL END AS recipient_party, CASE WHEN o_orderkey % 53 = 11 THEN 'Z4100' END AS recipient_category,
+  'NATION_' || CAST(o_orderkey % 53 % 25 AS STRING) AS recipient_state, CASE o_orderkey % 53 % 5 WHEN 0 THEN 'federal:house' WHEN 1 THEN 'federal:senate' WHEN 2 THEN 'state:upper' WHEN 3 THEN 'federal:president' ELSE '' END AS seat
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
+    "entity": f"""SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN 'individual' ELSE 'organization' END AS type FROM customer
+  UNION ALL SELECT {ORG} + n_nationkey, 'Org ' || CAST(n_nationkey AS STRING), 'organization' FROM nation UNION ALL SELECT {PARENT} + r_regionkey, 'Parent ' || CAST(r_regionkey AS STRING), 'organization' FROM region
+  UNION ALL SELECT {INDUSTRY} + n, CASE WHEN n = 2 THEN 'unknown' ELSE 'Industry ' || CAST(n AS STRING) END, 'industry' FROM (SELECT DISTINCT length(c_mktsegment) % 3 AS n FROM customer) x
+  UNION ALL SELECT {POL} + k, 'Politician ' || CAST(k AS STRING), 'politician' FROM (SELECT DISTINCT o_orderkey % 53 AS k FROM orders) y""",
+    "alias": "SELECT id AS entity_id, upper(name) AS alias FROM entity",
+    "attribute": f"""SELECT id AS entity_id, 'urn:person' AS namespace, CAST(id AS STRING) AS value FROM entity WHERE id < {ORG} AND id % 3 = 0
+  UNION ALL SELECT id, 'urn:org', CAST(id - {ORG} AS STRING) FROM entity WHERE id >= {ORG} AND id < {PARENT} UNION ALL SELECT id, 'urn:politician', CAST(id - {POL} AS STRING) FROM entity WHERE id >= {POL}
+  UNION ALL SELECT id, 'urn:industry', 'A' || CAST(id - {INDUSTRY} AS STRING) FROM entity WHERE id >= {INDUSTRY} AND id < {POL}""",
+    "category": "SELECT DISTINCT lower(left(c_mktsegment, 5)) AS catcode, 'A' || CAST(length(c_mktsegment) % 3 AS STRING) AS catorder FROM customer",
+    "org_metadata": f"""SELECT id AS entity_id, id % 3 > 0 AS is_org, id % 5 = 0 AS lobbying_firm, id % 7 = 1 AS is_pol_group, CASE WHEN id % 11 = 5 THEN {PARENT} END AS parent_entity_id FROM entity WHERE type = 'organization'""",
+    "individual_metadata": "SELECT id AS entity_id, id % 3 = 0 AS is_lobbyist FROM entity WHERE type = 'individual'",
+}
+CTES = ", ".join(f"{n} AS ({s})" for n, s in STANDINS.items())
+
+
+def tables(spark, sf) -> ct.Tables:
+    for name in ("orders", "customer", "nation", "region"):
+        table(spark, sf, name).createOrReplaceTempView(name)
+    return {n: spark.sql(f"WITH {CTES} SELECT * FROM {n}") for n in STANDINS}
+
+
+RELEVANT = """relevant AS (SELECT * FROM (SELECT * REPLACE ((cycle + cycle % 2)::INTEGER AS cycle), CASE
+  WHEN coalesce(contributor_type, '') IN ('', 'I') AND coalesce(transaction_type, '') IN ('', '10', '11', '15', '15e', '15j', '22y') AND coalesce(recipient_category, '') NOT LIKE 'Z4%'
+    THEN CASE recipient_type WHEN 'P' THEN 'individual' WHEN 'C' THEN 'individual_to_organization' END
+  WHEN contributor_type = 'C' AND coalesce(transaction_type, '') IN ('', '24k', '24r', '24z') THEN CASE recipient_type WHEN 'P' THEN 'organization' WHEN 'C' THEN 'org_to_pac' END END AS subset
+  FROM contribution) WHERE subset IS NOT NULL)"""
+ASSOC = f"""{RELEVANT},
+contributor_a AS (SELECT entity_id, transaction_id FROM relevant JOIN alias ON lower(alias) = lower(contributor_name) JOIN entity ON id = entity_id AND type IN ('individual', 'organization') WHERE contributor_name <> ''
+  UNION SELECT entity_id, transaction_id FROM relevant JOIN attribute ON namespace = 'urn:person' AND value = contributor_ext_id),
+organization_a AS (SELECT entity_id, transaction_id FROM relevant JOIN alias ON lower(alias) = lower(organization_name) JOIN entity ON id = entity_id AND type = 'organization' WHERE organization_name <> ''
+  UNION SELECT entity_id, transaction_id FROM relevant JOIN attribute ON namespace = 'urn:org' AND value = organization_ext_id),
+parent_a AS (SELECT DISTINCT entity_id, transaction_id FROM relevant JOIN alias ON lower(alias) = lower(parent_organization_name) JOIN entity ON id = entity_id AND type = 'organization'),
+industry_a AS (SELECT DISTINCT entity_id, transaction_id FROM relevant JOIN category ON upper(catcode) = upper(contributor_category) JOIN attribute ON namespace = 'urn:industry' AND value = catorder),
+recipient_a AS (SELECT entity_id, transaction_id FROM relevant JOIN alias ON lower(alias) = lower(recipient_name) JOIN entity ON id = entity_id AND type = 'organization' WHERE recipient_name <> ''
+  UNION SELECT entity_id, transaction_id FROM relevant JOIN attribute ON namespace = 'urn:politician' AND value = recipient_ext_id)"""
+WITH = f"WITH {CTES}, {ASSOC}"
+EDGES = {"organization": "(SELECT * FROM organization_a UNION SELECT * FROM parent_a)", "individual": "contributor_a", "industry": "industry_a"}
+DIMENSIONS = {
+    "party": "coalesce(recipient_party, '')", "seat": "coalesce(seat, '')", "recipient_type": "recipient_type",
+    "state_fed": "CASE transaction_namespace WHEN 'urn:fec:transaction' THEN 'federal' WHEN 'urn:nimsp:transaction' THEN 'state' ELSE 'other' END",
+    "indiv_pac": "CASE WHEN subset IN ('organization', 'org_to_pac') THEN 'direct' ELSE 'indiv' END",
+    "in_state": "CASE WHEN coalesce(contributor_state, '') = '' THEN '' WHEN contributor_state = recipient_state THEN 'in-state' ELSE 'out-of-state' END",
+}
+
+
+def _cycles(body: str, keys: str, measures: str) -> str:
+    """Figures per cycle and, as cycle -1, in all."""
+    return f"SELECT {keys}, cycle, {measures} FROM {body} GROUP BY {keys}, cycle UNION ALL SELECT {keys}, -1, {measures} FROM {body} GROUP BY {keys}"
+
+
+def _aggregate(who: str, by: str) -> str:
+    subsets = ", ".join(f"'{s}'" for s in ct.SUBSETS[who])
+    body = f"(SELECT entity_id, cycle, amount, {DIMENSIONS[by]} AS {by} FROM relevant JOIN {EDGES[who]} USING (transaction_id) WHERE subset IN ({subsets}))"
+    return _cycles(body, f"entity_id, {by}", "count(*) AS count, sum(amount) AS amount")
+
+
+def _plain(df):
+    """Decimals as doubles, ranks and counts as longs: the types that both engines give."""
+    kinds = {"decimal": "double", "int": "int"}
+    return df.select(*[F.col(f.name).cast("double" if f.dataType.simpleString().startswith("decimal") else "long" if f.name.startswith("rank") else kinds.get("none", f.dataType.simpleString())).alias(f.name) for f in df.schema])
+
+
+query("subset_totals", f"{WITH} SELECT subset, cycle, count(*) AS count, sum(amount)::DOUBLE AS amount FROM relevant GROUP BY ALL")(
+    lambda s, d: _plain(ct.relevant(tables(s, d)).groupBy("subset", "cycle").agg(F.count("*").alias("count"), F.sum("amount").alias("amount")))
+)
+for _kind in ("contributor", "organization", "parent", "industry", "recipient"):
+    query(f"assoc_{_kind}_links", f"{WITH} SELECT entity_id, transaction_id FROM {_kind}_a")(lambda s, d, k=_kind: ct.association(tables(s, d), k).select(F.col("entity_id").cast("long"), "transaction_id"))
+query("assoc_biggest_organization", f"{WITH} SELECT DISTINCT coalesce(p.entity_id, o.entity_id) AS entity_id, transaction_id FROM organization_a o FULL JOIN parent_a p USING (transaction_id)")(
+    lambda s, d: ct.biggest_association(tables(s, d)).select(F.col("entity_id").cast("long"), "transaction_id")
+)
+
+for _who, _dims in {"organization": ("party", "state_fed", "seat", "recipient_type", "indiv_pac"), "individual": ("party", "state_fed", "seat", "recipient_type", "in_state"), "industry": ("party", "state_fed", "recipient_type", "indiv_pac")}.items():
+    for _by in _dims:
+        query(f"aggregate_{_who}_by_{_by}", f"""{WITH}, g AS ({_aggregate(_who, _by)}) SELECT entity_id, {_by}, cycle, count, amount::DOUBLE AS amount,
+rank() OVER (PARTITION BY entity_id, cycle ORDER BY count DESC) AS rank_by_count, rank() OVER (PARTITION BY entity_id, cycle ORDER BY amount DESC) AS rank_by_amount FROM g""")(
+            lambda s, d, w=_who, b=_by: _plain(ct.aggregate(tables(s, d), w, b))
+        )
+
+MEMBERS = {
+    "parentmost_orgs": "SELECT DISTINCT entity_id FROM org_metadata WHERE is_org AND parent_entity_id IS NULL", "lobbying_orgs": "SELECT DISTINCT entity_id FROM org_metadata WHERE lobbying_firm AND parent_entity_id IS NULL",
+    "pol_groups": "SELECT DISTINCT entity_id FROM org_metadata WHERE is_pol_group AND parent_entity_id IS NULL", "individuals": "SELECT id AS entity_id FROM entity WHERE type = 'individual'",
+    "lobbyists": "SELECT DISTINCT entity_id FROM individual_metadata WHERE is_lobbyist", "industries": "SELECT id AS entity_id FROM entity WHERE type = 'industry' AND name <> 'unknown'",
+}
+
+
+def _ranked(group: str, by: str) -> str:
+    fold = f"CASE WHEN {by} IN ('D', 'R') THEN {by} ELSE 'Other' END" if by == "party" else by
+    return f"""g AS ({_aggregate(ct.GROUPS[group][0], by)}), m AS ({MEMBERS[group]}),
+f AS (SELECT entity_id, {fold} AS dim, cycle, sum(count)::BIGINT AS count, sum(amount) AS amount FROM g JOIN m USING (entity_id) WHERE coalesce({by}, '') <> '' GROUP BY ALL),
+r AS (SELECT entity_id, dim AS {by}, cycle, count, amount, rank() OVER (PARTITION BY dim, cycle ORDER BY count DESC) AS rank_by_count, rank() OVER (PARTITION BY dim, cycle ORDER BY amount DESC) AS rank_by_amount FROM f)"""
+
+
+for _group, _dims in ct.BY.items():
+    for _by in _dims:
+        query(f"ranked_{_group}_by_{_by}", f"{WITH}, {_ranked(_group, _by)} SELECT * REPLACE (amount::DOUBLE AS amount) FROM r")(lambda s, d, g=_group, b=_by: _plain(ct.ranked(tables(s, d), g, b)))
+        query(f"summary_{_group}_by_{_by}", f"""{WITH}, {_ranked(_group, _by)}, t AS (SELECT {_by}, cycle, sum(count)::BIGINT AS total_count, sum(amount)::DOUBLE AS total_amount FROM r GROUP BY ALL)
+SELECT r.* REPLACE (amount::DOUBLE AS amount), total_count, total_amount FROM r JOIN t USING ({_by}, cycle) WHERE rank_by_amount <= 10""")(lambda s, d, g=_group, b=_by: _plain(ct.summary(tables(s, d), g, b)))
+
+
+def _pivot(who: str, to: str) -> str:
+    direct, people = ("organization", "individual") if to == "candidates" else ("org_to_pac", "individual_to_organization")
+    body = f"(SELECT e.entity_id, recipient_name, r.entity_id AS recipient_id, cycle, amount, subset FROM relevant JOIN {EDGES[who]} e USING (transaction_id) LEFT JOIN recipient_a r USING (transaction_id) WHERE subset IN ('{direct}', '{people}'))"
+    return _cycles(body, "entity_id, recipient_name, recipient_id", f"count(*) AS total_count, count_if(subset = '{direct}') AS pacs_count, count_if(subset <> '{direct}') AS indivs_count, sum(amount) AS total_amount, coalesce(sum(amount) FILTER (subset = '{direct}'), 0) AS pacs_amount, coalesce(sum(amount) FILTER (subset <> '{direct}'), 0) AS indivs_amount")
+
+
+_DOUBLES = "REPLACE (total_amount::DOUBLE AS total_amount, pacs_amount::DOUBLE AS pacs_amount, indivs_amount::DOUBLE AS indivs_amount, total_count::BIGINT AS total_count, pacs_count::BIGINT AS pacs_count, indivs_count::BIGINT AS indivs_count)"
+query("org_to_recipients_pivot", f"{WITH}, g AS ({_pivot('organization', 'candidates')}) SELECT * {_DOUBLES} FROM g")(lambda s, d: _plain(ct.pivot(tables(s, d), "organization", "candidates")))
+for _who in ("organization", "industry"):
+    for _to in ("candidates", "pacs"):
+        query(f"top_{_who}_to_{_to}", f"{WITH}, g AS ({_pivot(_who, _to)}), r AS (SELECT *, rank() OVER (PARTITION BY entity_id, cycle ORDER BY total_amount DESC) AS rank FROM g) SELECT * {_DOUBLES} FROM r WHERE rank <= 10")(
+            lambda s, d, w=_who, t=_to: _plain(ct.top_recipients(tables(s, d), w, t))
+        )
+query("top_individual_to_candidates", f"{WITH}, g AS ({_pivot('individual', 'candidates')}), r AS (SELECT *, rank() OVER (PARTITION BY entity_id, cycle ORDER BY total_amount DESC) AS rank FROM g) SELECT * {_DOUBLES} FROM r WHERE rank <= 10")(
+    lambda s, d: _plain(ct.top_recipients(tables(s, d), "individual", "candidates"))
+)
+for _by, _expr, _extra, _subsets in (
+    ("sector", "coalesce(left(catorder, 1), 'Y')", "LEFT JOIN category ON upper(catcode) = upper(contributor_category)", "'individual', 'organization'"),
+    ("contributor_type", "coalesce(contributor_type, '')", "", "'individual', 'organization'"), ("in_state", DIMENSIONS["in_state"], "", "'individual'"),
+):
+    _body = f"(SELECT entity_id, cycle, amount, {_expr} AS {_by} FROM relevant JOIN recipient_a USING (transaction_id) {_extra} WHERE subset IN ({_subsets}))"
+    query(f"politician_by_{_by}", f"{WITH}, g AS ({_cycles(_body, f'entity_id, {_by}', 'count(*) AS count, sum(amount) AS amount')}) SELECT * REPLACE (amount::DOUBLE AS amount) FROM g")(lambda s, d, b=_by: _plain(ct.politician_sources(tables(s, d), b)))
+
+_both = "(SELECT entity_id, cycle, amount, true AS given FROM relevant JOIN (SELECT * FROM contributor_a UNION SELECT * FROM organization_a UNION SELECT * FROM parent_a UNION ALL SELECT * FROM industry_a) USING (transaction_id) UNION ALL SELECT entity_id, cycle, amount, false FROM relevant JOIN recipient_a USING (transaction_id))"
+query("entity_totals", f"{WITH} {_cycles(_both, 'entity_id', 'count_if(given)::BIGINT AS contributor_count, count_if(NOT given)::BIGINT AS recipient_count, coalesce(sum(amount) FILTER (given), 0)::DOUBLE AS contributor_amount, coalesce(sum(amount) FILTER (NOT given), 0)::DOUBLE AS recipient_amount')}")(
+    lambda s, d: _plain(ct.entity_totals(tables(s, d)))
+)
