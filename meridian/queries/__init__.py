@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from meridian.queries import aggregates, entities, etl, filters, joins, plans, windows  # noqa: F401
+from meridian.queries import aggregates, entities, etl, filters, joins, plans, records, windows  # noqa: F401
 from meridian.queries.base import QUERIES, SQL  # noqa: F401
