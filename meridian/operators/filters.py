@@ -39,11 +39,15 @@ class Field:
         return self.make(*parts)
 
 
+def _column(column: str | Column) -> Column:
+    return F.col(column) if isinstance(column, str) else column  # made when asked for: schemas may be stated before there is a session
+
+
 def comparison(column: str | Column, cast: Callable = str) -> Field:
     """=, < (at most), > (at least), >< (between, both ends in)."""
-    c = F.col(column) if isinstance(column, str) else column
 
     def make(op: str, *args: str) -> Column:
+        c = _column(column)
         values = [F.lit(cast(a)) for a in args]
         if op == "><":
             return c.between(*values)
@@ -53,8 +57,7 @@ def comparison(column: str | Column, cast: Callable = str) -> Field:
 
 
 def inclusion(column: str | Column, cast: Callable = str) -> Field:
-    c = F.col(column) if isinstance(column, str) else column
-    return Field(lambda *args: c.isin(*[cast(a) for a in args]))
+    return Field(lambda *args: _column(column).isin(*[cast(a) for a in args]))
 
 
 def upper_inclusion(column: str) -> Field:
@@ -111,7 +114,7 @@ def titled(column: str) -> Field:
 
 def exists(has: str | Column) -> Field:
     """A flag column, made by a semi join beforehand."""
-    return Field(lambda *args: F.col(has) if args[0].lower() in ("1", "true", "t") else F.lit(True))
+    return Field(lambda *args: _column(has) if args[0].lower() in ("1", "true", "t") else F.lit(True))
 
 
 def build(schema: dict[str, Field], params: dict[str, str]) -> Column:
