@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import durable, map_texts
+from meridian.llm.common import durable, map_texts, tidy
 
 SEED = 42
 BYTES = 8
@@ -162,7 +162,7 @@ def links(nodes: DataFrame, bits: int = 4, fp: str = "_fp", list_most: int = LIS
         split = not long.isEmpty()
         short = keyed.join(long, "key", "left_anti") if split else keyed
         dealt = short.select("key", "fp").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
-        made = dealt.mapInArrow(_list_links(bits), "a long, b long")
+        made = dealt.mapInArrow(tidy(_list_links(bits)), "a long, b long")
         found = made if found is None else found.unionByName(made)
         if not split:
             return durable(found.distinct(), "simhash-links")
@@ -192,8 +192,8 @@ def components(edges: DataFrame) -> DataFrame:
     return root if root is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _marked(docs: DataFrame, text: str, doc_id: str, shingle: int, bits: int, list_most: int, keep: list[str]) -> DataFrame:
-    """Columns _id, keep_0 and so on, _fp, component_id, root."""
+def _marked(docs: DataFrame, text: str, doc_id: str, shingle: int, bits: int, list_most: int, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows with _id, keep_0 and so on, _fp; and for each _fp component_id and root."""
     if not 0 <= bits <= 4:
         raise ValueError("the index finds links of 4 bits at most")
     carried = docs.select(F.col(doc_id).alias("_id"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)], F.col(text).alias("_text"))
@@ -202,7 +202,7 @@ def _marked(docs: DataFrame, text: str, doc_id: str, shingle: int, bits: int, li
     comp = components(links(nodes, bits, list_most=list_most))
     rooted = durable(nodes.join(comp.withColumnRenamed("node", "_fp"), "_fp", "left").select("_fp", "least", F.coalesce("root", "_fp").alias("root")), "simhash-roots")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(rooted.join(least, "root").select("_fp", "component_id", "root"), "_fp")
+    return rows, rooted.join(least, "root").select("_fp", "component_id", "root")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, bits: int = 4, list_most: int = LIST_MOST) -> DataFrame:
@@ -212,15 +212,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     null ones too, have fingerprint 0 and link like others. A null id has a component but is nobody's smallest; it is null where no row of
     it has an id. Rows that repeat are linked. bits: 4 at most. An empty table gives no rows.
     """
-    return _marked(docs, text, doc_id, shingle, bits, list_most, []).select(F.col("_id").alias(doc_id), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows, roots = _marked(docs, text, doc_id, shingle, bits, list_most, [])
+    return rows.join(roots, "_fp").select(F.col("_id").alias(doc_id), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def first_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, bits: int = 4, list_most: int = LIST_MOST) -> DataFrame:
     """One row of docs for each component, that with the smallest id; columns as before. Of rows equal in id, or all without one, any one stays.
 
-    Minima are taken in each partition first, so a component with a third of all rows makes no large group.
+    The row to keep is found from ids and fingerprints alone, by minima that each partition takes first, so a component with a third of all
+    rows makes no large group; only then are whole rows dealt, once, by their own key.
     """
-    marked = _marked(docs, text, doc_id, shingle, bits, list_most, docs.columns)
-    row = F.struct(*[f"keep_{i}" for i in range(len(docs.columns))])
-    best = marked.groupBy("root").agg(F.min_by(row, F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"))).alias("row"))
-    return best.select(*[F.col(f"row.keep_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    rows, roots = _marked(docs, text, doc_id, shingle, bits, list_most, docs.columns)
+    key = [F.col("_id").isNull().alias("none"), F.coalesce("_id", F.lit("0").cast(rows.schema["_id"].dataType)).alias("id"), F.col("_fp").alias("fp")]
+    best = durable(rows.select("_fp", *key).join(roots, "_fp").groupBy("root").agg(F.min(F.struct("none", "id", "fp")).alias("best")).select("best.*"), "simhash-kept")
+    row = F.struct(*[f"keep_{i}" for i in range(len(docs.columns))]).alias("row")
+    kept = rows.select(*key, row).join(best, ["none", "id", "fp"], "left_semi").groupBy("none", "id", "fp").agg(F.first("row").alias("row"))
+    return kept.select(*[F.col(f"row.keep_{i}").alias(c) for i, c in enumerate(docs.columns)])
