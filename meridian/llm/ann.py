@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridian.llm.common import durable
+from meridian.llm.common import durable, small_batches, tidy
 
 
 @dataclass
@@ -169,6 +169,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec
     """
     p = params or Params()
     spark = rows.sparkSession
+    small_batches(spark)
     all_ = valid(rows, vec_id, vector)
     dims = all_.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max("norm2").alias("top")).orderBy(F.desc("n"), "d").first()
     schema = "query_id long, rank int, vec_id long, score double"
@@ -209,7 +210,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row, col].astype(np.int32)), pa.array(col == 0), part.column("vec_id").take(take), part.column("v").take(take)], names=["list", "own", "vec_id", "v"])
 
-    postings = durable(all_.mapInArrow(assign, "list int, own boolean, vec_id long, v array<double>"), "ann-postings")
+    postings = durable(all_.mapInArrow(tidy(assign), "list int, own boolean, vec_id long, v array<double>"), "ann-postings")
     sizes = {r["list"]: (r["n"], r["own"]) for r in postings.groupBy("list").agg(F.count("*").alias("n"), F.sum(F.col("own").cast("long")).alias("own")).collect()}
     n_lists = len(graph.centroids)
     blocks = np.array([-(-sizes.get(i, (0, 0))[0] // p.block) for i in range(n_lists)])
@@ -240,7 +241,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec
     # a block is a hash of the id, so a list of any length is dealt in parts
     wide = spark.createDataFrame([(i, int(n)) for i, n in enumerate(blocks.tolist()) if n > 1] or [(-1, 1)], "list int, blocks int")
     stored = postings.join(F.broadcast(wide), "list", "left").select("list", F.pmod(F.xxhash64("vec_id"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"), "vec_id", "v")
-    probes = asked.mapInArrow(ask, "list int, block int, query_id long, q array<double>")
+    probes = asked.mapInArrow(tidy(ask), "list int, block int, query_id long, q array<double>")
 
     def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import durable, map_texts
+from meridian.llm.common import durable, map_texts, tidy
 
 #: The pattern that splits texts before byte-level merges, white space as Unicode has it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -114,7 +114,7 @@ def encoded_words(words: DataFrame, codec: Codec, most: int = TABLE_WORDS) -> pa
             w = b.column("word").to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array([",".join(map(str, i)) for i in codec.open().ids(w)], pa.string())], names=["word", "ids"])
 
-    return words.filter(F.col("n") >= least).select("word").mapInArrow(run, "word string, ids string").toArrow()
+    return words.filter(F.col("n") >= least).select("word").mapInArrow(tidy(run), "word string, ids string").toArrow()
 
 
 #: Columns that encode can make besides n_tokens.
@@ -180,4 +180,4 @@ def encode(docs: DataFrame, codec: Codec, text: str = "text", table: pa.Table |
         kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
         return [pa.array(v, kinds.get(o, pa.string())) for o, v in out.items()]
 
-    return map_texts(rest.withColumn("__text", F.col(text)), "__text", run, ", ".join(["n_tokens long", *[f"{o} {OUTPUTS[o]}" for o in outputs]]))
+    return map_texts(rest.withColumn("__text", F.col(text)), "__text", run, ", ".join(["n_tokens long", *[f"{o} {OUTPUTS[o]}" for o in outputs]]), state.clear)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -40,7 +42,7 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -105,12 +107,32 @@ def groups(at: np.ndarray, most: int) -> list[tuple[int, int]]:
     return out
 
 
-def spans(at: np.ndarray, bytes_most: int = 2_000_000, rows_most: int = 512) -> list[tuple[int, int]]:
+def spans(at: np.ndarray, bytes_most: int = 1_000_000, rows_most: int = 512) -> list[tuple[int, int]]:
     """Like groups, with at most rows_most texts each."""
     return [(i, min(i + rows_most, b)) for a, b in groups(at, bytes_most) for i in range(a, b, rows_most)]
 
 
-def map_texts(df: DataFrame, text: str, fn, added: str) -> DataFrame:
+def tidy(run, done=None):
+    """run over batches, then done(), and what is left behind given back: workers live on, and their allocators would keep it.
+
+    A task's function is made anew from its pickled form and can hold itself in a cycle; done lets go of what it has loaded.
+    """
+
+    def whole(batches):
+        yield from run(batches)
+        if done:
+            done()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return whole
+
+
+def map_texts(df: DataFrame, text: str, fn, added: str, done=None) -> DataFrame:
     """df without its text column and with the columns that fn makes of it. fn(bytes, offsets) gives one Arrow array for each."""
     from pyspark.sql.types import StructType
 
@@ -126,7 +148,7 @@ def map_texts(df: DataFrame, text: str, fn, added: str) -> DataFrame:
             made = fn(*utf8(b.column(text)))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in others], *made], names=names)
 
-    return df.select(*others, text).mapInArrow(run, StructType([*df.select(*others).schema, *new]))
+    return df.select(*others, text).mapInArrow(tidy(run, done), StructType([*df.select(*others).schema, *new]))
 
 
 def sigmoid(z):

@@ -25,7 +25,7 @@ FAMILIES = {
 }
 #: Letters in lower case, bytes of other scripts as they are, all else a space.
 LETTER = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint32)
-PIECE = 2_000_000
+PIECE = 1_000_000
 
 
 def _counts(data: np.ndarray, at: np.ndarray) -> np.ndarray:

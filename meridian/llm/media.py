@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import small_batches, utf8
+from meridian.llm.common import small_batches, tidy, utf8
 
 ITEM = "struct<pos:int,kind:string,text:string,digest:string,caption:string>"
 _BLOCK = {"p", "div", "br", "li", "ul", "ol", "tr", "td", "th", "table", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "figure", "blockquote", "pre", "title"}
@@ -164,7 +164,7 @@ def media_features(media: DataFrame, form: str = "media") -> DataFrame:
             made = [pa.array([r[k] for r in out], pa.int64() if f.dataType.typeName() == "long" else pa.string()) for k, f in enumerate(new)]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in others], *made], names=[*others, *new.names])
 
-    return media.select(*others, form).mapInArrow(run, StructType([*media.select(*others).schema, *new]))
+    return media.select(*others, form).mapInArrow(tidy(run), StructType([*media.select(*others).schema, *new]))
 
 
 def payload_of(text) -> F.Column:

@@ -24,12 +24,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import durable, groups, small_batches, utf8
+from meridian.llm.common import durable, groups, small_batches, tidy, utf8
 
 GRAM = 32
 BUCKET = 16_000
 #: Bytes of texts whose hashes are held at once; a longer text goes in overlapping parts. Under 2 ** 24, a place's bits in a key.
-PIECE = 2_000_000
+PIECE = 1_000_000
 #: Segments whose columns are held at once.
 TOGETHER = 16_000
 #: Strings in a block, level by level, of buckets that are too large.
@@ -149,7 +149,7 @@ def compressed(docs: DataFrame) -> DataFrame:
     from pyspark.sql.types import StructType
 
     others = [c for c in docs.columns if c != "text"]
-    return docs.mapInArrow(_compressed(others), StructType([*docs.select(*others).schema, *StructType.fromDDL("k1 long, k2 long, z binary")]))
+    return docs.mapInArrow(tidy(_compressed(others)), StructType([*docs.select(*others).schema, *StructType.fromDDL("k1 long, k2 long, z binary")]))
 
 
 def columnwise(group: np.ndarray, bodies: list[bytes], off: np.ndarray, number: np.ndarray, length: int) -> np.ndarray:
@@ -297,7 +297,7 @@ def repeated_spans(texts: DataFrame, length: int = 400, bucket: int = BUCKET) ->
     dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
     z = compressed(texts)
     once = z.groupBy("k1", "k2").agg(F.first("z").alias("z"))  # in each partition first, so many copies are no large group
-    every = durable(texts.mapInArrow(_segments(length), SEGMENT), "segments")
+    every = durable(texts.mapInArrow(tidy(_segments(length)), SEGMENT), "segments")
     # written tables before each join: both its sides are then dealt anew, and Spark can split a bucket with very many rows
     twice = durable(every.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "buckets")
     rows = durable(every.join(twice, "h", "left_semi"), "segments-shared")
@@ -312,12 +312,12 @@ def repeated_spans(texts: DataFrame, length: int = 400, bucket: int = BUCKET) ->
         many = durable(segs.groupBy("h").agg(F.count("*").alias("m"), F.min("weight").alias("least")).filter("m > 1 and least = 1").select("h", "m"), "buckets-several")
         several = durable(segs.join(many, "h").selectExpr("h", "seg", "k1", "k2", "place - (place & 3) + least(weight, 2) as place", "m"), "segments-several")
         want = lambda d: once.join(d.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "seg", "place")).alias("want")), ["k1", "k2"])
-        body = want(several.filter(F.col("m") <= bucket)).mapInArrow(_bodies(length, None), SEGMENT + ", body binary")
-        spans.append(body.repartition(dealt, "h").sortWithinPartitions("h").mapInArrow(_runs(length), SPAN))
+        body = want(several.filter(F.col("m") <= bucket)).mapInArrow(tidy(_bodies(length, None)), SEGMENT + ", body binary")
+        spans.append(body.repartition(dealt, "h").sortWithinPartitions("h").mapInArrow(tidy(_runs(length)), SPAN))
         large = several.filter(F.col("m") > bucket)
         if large.isEmpty():
             break
-        rows = durable(want(large).mapInArrow(_bodies(length, BLOCKS[level]), SEGMENT), "segments-split")
+        rows = durable(want(large).mapInArrow(tidy(_bodies(length, BLOCKS[level])), SEGMENT), "segments-split")
     out = spans[0]
     for x in spans[1:]:
         out = out.unionByName(x)
@@ -340,7 +340,8 @@ def cut(docs: DataFrame, text: str = "text", length: int = 400, bucket: int = BU
     spans = repeated_spans(docs.select(whole.alias("text")).filter(F.octet_length("text") >= length), length, bucket)
     per_text = durable(spans.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "spans")
     packed = compressed(docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(others)], whole.alias("text")))
-    joined = packed.join(per_text, ["k1", "k2"], "left").select(*[f"c{i}" for i in range(len(others))], "z", "spans")
+    # never a broadcast: with an exchange in between, a task needs one Python worker at a time
+    joined = packed.hint("merge").join(per_text, ["k1", "k2"], "left").select(*[f"c{i}" for i in range(len(others))], "z", "spans")
     name = "kept_sha256" if digests else "kept"
 
     def run(batches):
@@ -375,5 +376,5 @@ def cut(docs: DataFrame, text: str = "text", length: int = 400, bucket: int = BU
 
     from pyspark.sql.types import StructType
 
-    made = joined.mapInArrow(run, StructType([*joined.select(*[f"c{i}" for i in range(len(others))]).schema, *StructType.fromDDL(f"n_bytes long, n_removed long, n_spans long, {name} string")]))
+    made = joined.mapInArrow(tidy(run), StructType([*joined.select(*[f"c{i}" for i in range(len(others))]).schema, *StructType.fromDDL(f"n_bytes long, n_removed long, n_spans long, {name} string")]))
     return made.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(others)], "n_bytes", "n_removed", "n_spans", name)

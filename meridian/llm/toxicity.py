@@ -26,7 +26,7 @@ DIMS, WIDTHS, FILTERS = 8, (1, 2, 3), 8
 PAD = max(WIDTHS)
 #: A score of this much and over is toxic; each language's own threshold is moved to it.
 CUT = 0.3
-PIECE = 2_000_000
+PIECE = 500_000
 
 #: 0: skipped (ASCII marks and digits), 1: between words, 2: part of a word.
 _KIND = np.array([1 if b == 32 or 9 <= b <= 13 else 2 if 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 0 for b in range(256)], np.uint8)
@@ -255,7 +255,7 @@ def rate(docs: DataFrame, model: Model | None, text: str = "text", score: str =
 
     def run(data, at):
         out = [np.zeros(0)]
-        for a, b in spans(at, 1_000_000):
+        for a, b in spans(at, 500_000):
             d, o = data[at[a] : at[b]], at[a : b + 1] - at[a]
             lang = np.array(model.lang.langs, object)[model.lang.predict(langid.features(d, o))[0]] if model.lang else ["und"] * (b - a)
             out.append(model.score(model.logits(d, o), lang))
