@@ -117,16 +117,22 @@ def recipient_result(code_: Column) -> Column:
 
 
 def occupation_pair(both: Column, occupation: Column, employer: Column) -> Column:
-    """Struct occupation, employer: the given pair, else the parts of a text with one slash."""
+    """Struct occupation, employer: the given pair if neither is empty, else the parts of an `employer/occupation` with one slash; other texts are an occupation."""
     parts = F.split(both, "/")
-    given = (F.coalesce(occupation, F.lit("")) != "") | (F.coalesce(employer, F.lit("")) != "")
-    pick = lambda own, i: F.when(given, own).when(F.size(parts) == 2, F.trim(F.try_element_at(parts, F.lit(i + 1)))).otherwise(F.when(F.lit(i == 0), both))
-    return F.struct(pick(occupation, 0).alias("occupation"), pick(employer, 1).alias("employer"))
+    given = (F.coalesce(occupation, F.lit("")) != "") & (F.coalesce(employer, F.lit("")) != "")
+    two = F.size(parts) == 2
+    part = lambda i: F.try_element_at(parts, F.lit(i))
+    return F.struct(
+        F.when(given, occupation).when(two, part(2)).otherwise(F.coalesce(both, F.lit(""))).alias("occupation"),
+        F.when(given, employer).when(two, part(1)).otherwise("").alias("employer"),
+    )
 
 
 def contributor_kind(category: Column, name: Column) -> Column:
-    """I for a person: a name with a comma, or none of a company's category; else C."""
-    return F.when(F.upper(F.left(category, F.lit(1))).isin("X", "Y") & F.contains(name, F.lit(",")), "I").when(F.contains(name, F.lit(",")), "I").otherwise("C")
+    """I for a person, C for a group, null where the category says neither. J1, Z2, Z9 are neither; J2, Z1, Z5 and names without a comma are groups."""
+    two = F.left(F.coalesce(category, F.lit("")), F.lit(2))
+    group = two.isin("J2", "Z1", "Z5") | F.coalesce((name != "") & ~F.contains(name, F.lit(",")), F.lit(False))
+    return F.when(~two.isin("J1", "Z2", "Z9"), F.when(group, "C").otherwise("I"))
 
 
 def refund(kind: Column, amount: Column) -> Column:

@@ -131,9 +131,9 @@ def etl_ascii_fold(spark, sf):
     return table(spark, sf, "documents").filter("source is not null").select("source", text.ascii_fold(F.concat(F.lit("Ünïcödé "), "source")).alias("folded")).distinct()
 
 
-@query("etl_occupation_pair", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'LAWYER' ELSE 'RETIRED' END AS occupation, CASE WHEN n_nationkey % 2 = 0 THEN 'ACME' END AS employer FROM nation")
+@query("etl_occupation_pair", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'LAWYER' ELSE 'RETIRED' END AS occupation, CASE WHEN n_nationkey % 2 = 0 THEN 'ACME' ELSE '' END AS employer FROM nation")
 def etl_occupation_pair(spark, sf):
-    both = F.when(F.col("n_nationkey") % 2 == 0, "LAWYER/ACME").otherwise("RETIRED")
+    both = F.when(F.col("n_nationkey") % 2 == 0, "ACME/LAWYER").otherwise("RETIRED")
     return table(spark, sf, "nation").select("n_nationkey", cl.occupation_pair(both, F.lit(None).cast("string"), F.lit("")).alias("p")).select("n_nationkey", "p.*")
 
 
@@ -161,3 +161,10 @@ def recipient_fallback(spark, sf):
 @query("referential_filter", "SELECT event_id FROM events WHERE user_id IN (SELECT s_suppkey FROM supplier)")
 def referential_filter(spark, sf):
     return table(spark, sf, "events").join(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("user_id")), "user_id", "left_semi").select("event_id")
+
+
+@query("etl_contributor_kind", "SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'C' WHEN 2 THEN 'C' ELSE 'I' END AS kind FROM nation")
+def etl_contributor_kind(spark, sf):
+    k = F.col("n_nationkey") % 4
+    category = F.when(k == 0, "Z2100").when(k == 1, "J2200").otherwise("A1000")
+    return table(spark, sf, "nation").select("n_nationkey", cl.contributor_kind(category, F.when(k == 2, "Acme Corp").otherwise("Smith, Ann")).alias("kind"))
