@@ -85,7 +85,10 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
 
 
 def place_of(start, n, off, weight):
-    """First byte of a segment, its number of strings, the anchor's distance and how often it occurs (1, or 2 for more), in one number."""
+    """First byte of a segment, its number of strings, the anchor's distance and how often it occurs (1, or 2 for more), in one number.
+
+    3 stands for a segment that its own text has before, in a row with 2: known to be repeated, it needs no comparing.
+    """
     return (start << 30) | (n << 16) | (off << 2) | weight
 
 
@@ -124,8 +127,14 @@ def _segments(length: int):
             doc = np.searchsorted(own, begin, "right") - 1 + a
             raw = piece.tobytes()
             seg = [xxhash.xxh3_64_intdigest(raw[i : i + n - 1 + length]) for i, n in zip(begin.tolist(), number.tolist(), strict=True)]
-            place = place_of(begin + base - at[doc], number, anchor - begin, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), _signed(seg), pa.array(k1[doc]), pa.array(k2[doc]), pa.array(place)], names=["h", "seg", "k1", "k2", "place"])
+            seg = np.array(seg, np.uint64)
+            order = np.lexsort((begin, seg, h, doc))
+            again = np.append(False, (doc[order][1:] == doc[order][:-1]) & (h[order][1:] == h[order][:-1]) & (seg[order][1:] == seg[order][:-1]))
+            weight = np.ones(len(begin), np.int64)
+            weight[order[np.flatnonzero(again[1:] & ~again[:-1])]] = 2
+            weight[order[again]] = 3
+            place = place_of(begin + base - at[doc], number, anchor - begin, weight)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(k1[doc]), pa.array(k2[doc]), pa.array(place)], names=["h", "seg", "k1", "k2", "place"])
 
     return lambda batches: (made for b in batches for made in of(b.column(0)))
 
@@ -299,14 +308,16 @@ def repeated_spans(texts: DataFrame, length: int = 400, bucket: int = BUCKET) ->
     once = z.groupBy("k1", "k2").agg(F.first("z").alias("z"))  # in each partition first, so many copies are no large group
     every = durable(texts.mapInArrow(tidy(_segments(length)), SEGMENT), "segments")
     # written tables before each join: both its sides are then dealt anew, and Spark can split a bucket with very many rows
-    twice = durable(every.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "buckets")
-    rows = durable(every.join(twice, "h", "left_semi"), "segments-shared")
-    spans = []
+    known, other = every.filter("place & 3 = 3"), every.filter("place & 3 < 3")
+    twice = durable(other.groupBy("h").agg(F.sum(F.expr("place & 3")).alias("c")).filter("c > 1").select("h"), "buckets")
+    rows = durable(other.join(twice, "h", "left_semi"), "segments-shared")
+    span = lambda d: d.selectExpr("k1", "k2", "shiftright(place, 30) as begin", f"shiftright(place, 30) + (shiftright(place, 16) & 16383) - 1 + {length} as end")
+    spans = [span(known)]
     for level in range(len(BLOCKS) + 1):
         # any one row stands for equal segments; first() takes all its columns from the same row
         segs = durable(rows.groupBy("h", "seg").agg(F.sum(F.expr("place & 3")).alias("weight"), *[F.first(c).alias(c) for c in ("k1", "k2", "place")]), "segments-distinct")
         whole = rows.join(segs.filter("weight > 1").select("h", "seg"), ["h", "seg"], "left_semi")
-        spans.append(whole.selectExpr("k1", "k2", "shiftright(place, 30) as begin", f"shiftright(place, 30) + (shiftright(place, 16) & 16383) - 1 + {length} as end"))
+        spans.append(span(whole))
         if level == len(BLOCKS):
             break  # whole strings: different ones in a bucket are not equal
         many = durable(segs.groupBy("h").agg(F.count("*").alias("m"), F.min("weight").alias("least")).filter("m > 1 and least = 1").select("h", "m"), "buckets-several")
