@@ -25,9 +25,12 @@ def _unpacked(packed: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; lang itself stays as it came."""
+    """Documents whose language can be told; lang itself stays as it came. Where no document has a language to learn from, all with a letter stay."""
+    model = langid.fit(docs)
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     rows = _packed(docs, "text").withColumn("body", F.col("text"))
-    found = langid.identify(rows, langid.fit(docs), text="body", pred="pred", score="score")
+    found = langid.identify(rows, model, text="body", pred="pred", score="score")
     return _unpacked(found.filter((F.col("pred") != "und") & (F.col("score") >= LEAST_SCORE)), docs.columns)
 
 

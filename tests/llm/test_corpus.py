@@ -326,3 +326,5 @@ def test_pipeline_of_nothing_and_of_odd_rows(spark):
         for _, stage in cp.STAGES:
             rows = stage(spark, rows, SF)
         assert rows.count() in (0, 1, 2, 3, 4)
+    untold = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(r["text"] for r in cp.STAGES[0][1](spark, untold, SF).collect()) == ["other words then", "some words here", "some words here"]
