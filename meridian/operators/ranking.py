@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,11 +42,14 @@ def most_frequent(df: DataFrame, keys: list[str], values: list[str]) -> DataFram
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """rank() over all rows without a single-partition window: ranges are sorted apart, and each range starts from the rows before it.
 
-    The rows of each range are counted first; only these few counts come together.
+    The rows of each range are counted first; only these few counts come together. Ranges are cut by a sample, so the dealt rows are checkpointed:
+    counts and ranks must see the same ranges.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())  # equal order keys lie in one range
+    if spark.sparkContext.getCheckpointDir() is None:  # as in tests; a cluster names its shared folder
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="meridian-"))
+    dealt = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).checkpoint()  # equal order keys lie in one range
     before = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     offsets = before.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
     own = F.rank().over(Window.partitionBy("_part").orderBy(*order))
