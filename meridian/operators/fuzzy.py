@@ -24,7 +24,7 @@ def match_people(subjects: DataFrame, targets: DataFrame, nicknames: DataFrame |
         for side in ("subject", "match"):
             own = family.select(F.col("name").alias(f"_n_{side}"), F.col("_f").alias(f"_f_{side}"))
             d = s if side == "subject" else m
-            d = d.join(own, d[f"{side}.first"] == own[f"_n_{side}"], "left").drop(f"_n_{side}")
+            d = d.join(F.broadcast(own), d[f"{side}.first"] == own[f"_n_{side}"], "left").drop(f"_n_{side}")
             s, m = (d, m) if side == "subject" else (s, d)
         nick = F.coalesce(F.arrays_overlap("_f_subject", "_f_match"), F.lit(False))
     else:

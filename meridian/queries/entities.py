@@ -91,19 +91,20 @@ def update_from_values(spark, sf):
 
 
 def _people(spark, sf):
-    c = table(spark, sf, "customer").filter("c_custkey < 400")
+    """Every customer as a person: a last name for each 24 customers, so last names grow with the table; nations of even number are subjects, of odd number targets."""
+    c = table(spark, sf, "customer")
     first = F.element_at(F.array(*[F.lit(x) for x in ("John", "Jon", "Mary", "Ann", "Peter")]), (F.col("c_custkey") % 5 + 1).cast("int"))
-    last = F.concat(F.lit("Smith"), (F.col("c_custkey") % 37).cast("string"))
+    last = F.concat(F.lit("Smith"), F.floor(F.col("c_custkey") / 24).cast("string"))
     middle = F.element_at(F.array(F.lit(" A"), F.lit(" Adam"), F.lit(""), F.lit(" B")), (F.col("c_custkey") % 4 + 1).cast("int"))
-    return c.select(F.col("c_custkey").alias("id"), first.alias("first"), middle.alias("middle"), last.alias("last"))
+    return c.select(F.col("c_custkey").alias("id"), first.alias("first"), middle.alias("middle"), last.alias("last"), (F.col("c_nationkey") % 2 == 0).alias("is_subject"))
 
 
 @query("fuzzy_match_top_score")
 def fuzzy_match_top_score(spark, sf):
     """Names as `Last, First Middle` against `First Middle Last`; Python tests hold the scores."""
     p = _people(spark, sf)
-    subjects = p.filter("id < 200").select("id", F.concat("last", F.lit(", "), "first", "middle").alias("name"))
-    targets = p.filter("id >= 200").select("id", F.concat("first", "middle", F.lit(" "), "last").alias("name"))
+    subjects = p.filter("is_subject").select("id", F.concat("last", F.lit(", "), "first", "middle").alias("name"))
+    targets = p.filter("not is_subject").select("id", F.concat("first", "middle", F.lit(" "), "last").alias("name"))
     nick = spark.createDataFrame([("john", 1), ("jon", 1)], "name string, family int")
     return fuzzy.match_people(subjects, targets, nick, keep_unmatched=True)
 
@@ -120,8 +121,8 @@ def fuzzy_organizations(spark, sf):
 @query("reconcile_names")
 def reconcile_names(spark, sf):
     p = _people(spark, sf)
-    named = p.select("id", F.concat("first", "middle", F.lit(" "), "last").alias("name"), F.lit("individual").alias("kind"))
-    return fuzzy.reconcile(named.filter("id < 100"), named.filter("id >= 100"))
+    named = p.select("id", F.concat("first", "middle", F.lit(" "), "last").alias("name"), F.lit("individual").alias("kind"), "is_subject")
+    return fuzzy.reconcile(named.filter("is_subject"), named.filter("not is_subject"))
 
 
 @query("close_match_ratio", "SELECT p_partkey, 1.0::DOUBLE AS ratio FROM part WHERE p_name = 'red widget'")
