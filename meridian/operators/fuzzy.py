@@ -45,7 +45,7 @@ def org_keys(name: Column) -> dict[str, Column]:
 
 
 def match_organizations(subjects: DataFrame, targets: DataFrame) -> DataFrame:
-    """Columns subject_id, match_id, tier, confidence: of the surest way that finds any match for a subject, all matches.
+    """Columns subject_id, match_id, tier, confidence: of the surest way in which names agree as wholes, all matches. Names inside longer ones: cascade_organizations.
 
     Each way is an equality join on its key, together one join on (way, key).
     """
@@ -62,6 +62,64 @@ def match_organizations(subjects: DataFrame, targets: DataFrame) -> DataFrame:
     return hits.join(surest, "subject_id").filter("tier = _best").select("subject_id", "match_id", F.element_at(F.array(*[F.lit(w) for w in ways]), F.col("tier") + 1).alias("tier"), score.alias("confidence"))
 
 
+#: Ways of the cascade, in order: which text of the subject the target's name holds, and how.
+CASCADE = ("kernel", "name", "expanded", "words", "firm")
+#: Abbreviations in names of organisations, and words that say little.
+ABBREVIATIONS = {
+    "acad": "academy", "assn": "association", "assns": "associations", "assoc": "association", "cmte": "committee", "co": "company", "cos": "companies", "colg": "college",
+    "corp": "corporation", "dept": "department", "fdn": "foundation", "inc": "incorporated", "inst": "institute", "intl": "international", "ltd": "limited", "natl": "national",
+    "univ": "university",
+}
+FILLERS = ("the", "and", "of", "in", "for", "group", "llc")
+
+
+def org_texts(name: Column) -> dict[str, Column]:
+    """Lower case: low (as it stands), expanded (no marks, abbreviations in full), kernel (expanded without company words and fillers), firm (first two words of the kernel)."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(name), r"[/\\\s]+", " "), "[,.*:;+]+", "")
+    full = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
+    words = F.transform(F.filter(F.split(bare, " "), lambda w: w != ""), lambda w: F.coalesce(full[w], w))
+    kernel = F.filter(words, lambda w: ~w.isin(*FILLERS, *ABBREVIATIONS.values()))
+    return {"low": F.trim(F.lower(name)), "expanded": F.array_join(words, " "), "kernel": F.array_join(kernel, " "), "firm": F.array_join(F.slice(kernel, 1, 2), ", ")}
+
+
+#: Runs of g characters of each of an array of texts.
+_GRAMS = "array_distinct(flatten(transform({parts}, p -> if(length(p) >= {g}, transform(sequence(1, length(p) - {g} + 1), i -> substring(p, i, {g})), cast(array() as array<string>)))))"
+
+
+def organization_candidates(subjects: DataFrame, targets: DataFrame) -> DataFrame:
+    """Columns subject_id, match_id, tier, confidence: all targets that the first way of CASCADE with any result finds for a subject (id, name; ids distinct).
+
+    kernel, name, expanded: the target's name contains that text of the subject; words: the kernel's words follow one another in it with anything between; firm: it
+    begins with the first two. An empty text finds nothing. A text that is contained has all its runs of three characters in the target (shorter texts: runs of two or
+    one), so candidates come by the one that the fewest targets have and are then verified. Confidence: 4 for equal expanded names, 3 for equal kernels or for `a, b et al`
+    of a list of partners, else 2.
+    """
+    texts = lambda d, p: d.select(F.col("id").alias(f"{p}_id"), *[c.alias(f"{p}_{n}") for n, c in org_texts(F.col("name")).items()])
+    s, m = texts(subjects, "subject"), texts(targets, "match")
+    of = {"kernel": "subject_kernel", "name": "subject_low", "expanded": "subject_expanded", "words": "subject_kernel", "firm": "subject_firm"}
+    ways = F.array(*[F.struct(F.lit(i).alias("tier"), F.col(of[w]).alias("key"), (F.split(of[w], " ") if w == "words" else F.array(of[w])).alias("parts")) for i, w in enumerate(CASCADE)])
+    keys = s.select("subject_id", F.inline(ways)).filter("key <> ''").withColumn("g", F.expr("least(3, array_max(transform(parts, p -> length(p))))"))
+    wanted = keys.select("subject_id", "tier", "key", F.explode(F.expr(_GRAMS.format(parts="parts", g="g"))).alias("gram"))
+    own = F.explode(F.expr("array_union(array_union({}, {}), {})".format(*[_GRAMS.format(parts="array(match_low)", g=g) for g in (1, 2, 3)])))
+    posted = m.select("match_id", own.alias("gram"))
+    often = posted.groupBy("gram").agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    rarest = wanted.join(often, "gram", "left").groupBy("subject_id", "tier", "key").agg(F.min(F.struct(n.alias("n"), "gram")).alias("_g")).filter("_g.n > 0").select("subject_id", "tier", "key", "_g.gram")
+    pairs = rarest.join(posted, "gram").drop("gram").join(m, "match_id")
+    words = F.concat(F.lit(r"(?s)\Q"), F.replace("key", F.lit(" "), F.lit(r"\E.*\Q")), F.lit(r"\E"))
+    way = lambda name: F.col("tier") == CASCADE.index(name)
+    found = pairs.filter(F.when(way("words"), F.rlike("match_low", words)).when(way("firm"), F.startswith("match_low", "key")).otherwise(F.contains("match_low", "key")))
+    first = found.withColumn("_first", F.min("tier").over(Window.partitionBy("subject_id"))).filter("tier = _first").join(s, "subject_id")
+    partners = F.contains("subject_low", F.lit(",")) & (F.concat("subject_firm", F.lit(", et al")) == F.col("match_low"))
+    score = F.when(F.col("match_expanded") == F.col("subject_expanded"), 4.0).when((F.col("match_kernel") == F.col("subject_kernel")) | partners, 3.0).otherwise(2.0)
+    return first.select("subject_id", "match_id", F.element_at(F.array(*[F.lit(w) for w in CASCADE]), F.col("tier") + 1).alias("tier"), score.alias("confidence"))
+
+
+def cascade_organizations(subjects: DataFrame, targets: DataFrame) -> DataFrame:
+    """Of organization_candidates all at a subject's highest confidence."""
+    return organization_candidates(subjects, targets).withColumn("_r", F.rank().over(Window.partitionBy("subject_id").orderBy(F.desc("confidence")))).filter("_r = 1").drop("_r")
+
+
 def reconcile(queries: DataFrame, targets: DataFrame, limits: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """Columns query_id, match_id, confidence, match: the two best levels of confidence for each query (id, name, kind: individual or organization).
 

@@ -118,6 +118,24 @@ def fuzzy_organizations(spark, sf):
     return fuzzy.match_organizations(s, t)
 
 
+def _organizations(spark, sf):
+    """Every part as an organisation; eight parts share a word (four targets, four subjects), so the words grow with the table."""
+    k, word = F.col("p_partkey") % 8, F.concat(F.lit("Q"), F.floor(F.col("p_partkey") / 8).cast("string"), F.lit("x"))
+    color = F.element_at(F.array(*[F.lit(x) for x in ("Red", "Blue", "Iron", "Stone", "Gold")]), (F.floor(F.col("p_partkey") / 8) % 5 + 1).cast("int"))
+    forms = ("%s %s Corp", "Old %s %2$s Factory and Bank of %2$s Co.", "%s Bros %s Trust", "%s, %s, et al", "%s %s, Inc.", "%s %s Trust", "%s %s, Smith & Jones", "Bank of %2$s")
+    name = F.format_string("", word)
+    for i, f in enumerate(forms):
+        name = F.when(k == i, F.format_string(f, color, word)).otherwise(name)
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), name.alias("name"), (k >= 4).alias("is_subject"))
+
+
+@query("fuzzy_organizations_cascade")
+def fuzzy_organizations_cascade(spark, sf):
+    """Names inside longer names, words with others between, firms by their first partners; Python tests hold the pairs."""
+    o = _organizations(spark, sf)
+    return fuzzy.cascade_organizations(o.filter("is_subject"), o.filter("not is_subject"))
+
+
 @query("reconcile_names")
 def reconcile_names(spark, sf):
     p = _people(spark, sf)

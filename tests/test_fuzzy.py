@@ -1,12 +1,14 @@
 """Fuzzy matching against brute force in plain Python, over all rows of the smallest tables."""
 
+import re
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from meridian.functions.names import parse_person
-from meridian.queries import QUERIES
+from meridian.operators import fuzzy
+from meridian.queries import QUERIES, entities
 from tests.conftest import SF
 
 FIRSTS, MIDDLES, NICK = ("John", "Jon", "Mary", "Ann", "Peter"), (" A", " Adam", "", " B"), {"john", "jon"}
@@ -77,3 +79,53 @@ def test_reconcile_individuals_equals_brute_force(spark, people):
     df = QUERIES["reconcile_names"](spark, SF)
     got = [tuple(r) for r in df.filter(F.col("query_id").isin(*subjects)).select("query_id", "match_id", "confidence", "match").collect()]
     assert len(got) == len(set(got)) and set(got) == want and len({w[0] for w in want}) > 40
+
+
+def org_texts(name):
+    words = [fuzzy.ABBREVIATIONS.get(w, w) for w in re.sub("[,.*:;+]+", "", re.sub(r"[/\\\\\s]+", " ", name.lower())).split()]
+    kernel = [w for w in words if w not in {*fuzzy.FILLERS, *fuzzy.ABBREVIATIONS.values()}]
+    return name.lower().strip(), " ".join(words), " ".join(kernel), ", ".join(kernel[:2])
+
+
+def brute_cascade(subjects, targets):
+    """All pairs of the first way that finds any: subject, match, way, score."""
+    out = set()
+    for i, name in subjects.items():
+        low, full, kernel, firm = org_texts(name)
+        ways = {"kernel": (kernel, lambda m: kernel in m), "name": (low, lambda m: low in m), "expanded": (full, lambda m: full in m), "words": (kernel, lambda m: re.search(".*".join(map(re.escape, kernel.split())), m)), "firm": (firm, lambda m: m.startswith(firm))}
+        for way, (key, test) in ways.items():
+            if hits := [j for j, t in targets.items() if key and test(t.lower().strip())]:
+                for j in hits:
+                    m_low, m_full, m_kernel, _ = org_texts(targets[j])
+                    partners = "," in low and firm + ", et al" == m_low
+                    out.add((i, j, way, 4.0 if m_full == full else 3.0 if m_kernel == kernel or partners else 2.0))
+                break
+    return out
+
+
+ORGANIZATIONS = {
+    0: "Mass. Inst. of Tech", 1: "Acme", 2: "Acme Corp.", 3: "Big Iron Works, Inc.", 4: "Patton, Boggs & Blow", 5: "The Group", 6: "3M", 7: "Nobody At All", 8: "Bank of Ohio", 9: "AT&T Inc", 10: "a(b", 11: "",
+}
+TARGETS = {
+    100: "The Mass Institute of Tech Fund", 101: "Pacme Corporation", 102: "ACME corporation", 103: "Acme Company", 104: "Big Old Iron Heavy Works", 105: "Patton, Boggs, et al", 106: "The Group Inc",
+    107: "3M Co", 108: "First Bank of Ohio", 109: "AT&T, Incorporated", 110: "x a(b y", 111: "Works Iron Big", 112: "",
+}
+
+
+def test_organization_cascade_equals_brute_force(spark):
+    frame = lambda d: spark.createDataFrame(list(d.items()), "id int, name string")
+    want = brute_cascade(ORGANIZATIONS, TARGETS)
+    got = [tuple(r) for r in fuzzy.organization_candidates(frame(ORGANIZATIONS), frame(TARGETS)).select("subject_id", "match_id", "tier", "confidence").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {w[2] for w in want} == set(fuzzy.CASCADE) and {w[3] for w in want} == {2.0, 3.0, 4.0}
+    assert {(0, 100, "expanded", 2.0), (1, 101, "kernel", 2.0), (2, 102, "kernel", 4.0), (3, 104, "words", 2.0), (4, 105, "firm", 3.0), (8, 108, "name", 2.0)} <= want
+
+
+def test_organization_query_equals_brute_force(spark):
+    rows = entities._organizations(spark, SF).collect()
+    assert len(rows) == spark.read.parquet(f"{SF}/part.parquet").count()
+    pairs = brute_cascade({r["id"]: r["name"] for r in rows if r["is_subject"]}, {r["id"]: r["name"] for r in rows if not r["is_subject"]})
+    best = {i: max(s for k, _, _, s in pairs if k == i) for i, *_ in pairs}
+    got = [tuple(r) for r in QUERIES["fuzzy_organizations_cascade"](spark, SF).select("subject_id", "match_id", "tier", "confidence").collect()]
+    assert len(got) == len(set(got)) and set(got) == {w for w in pairs if w[3] == best[w[0]]}
+    assert {g[2] for g in got} == {"kernel", "name", "words", "firm"}
