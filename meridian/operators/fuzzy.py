@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,20 +122,30 @@ def cascade_organizations(subjects: DataFrame, targets: DataFrame) -> DataFrame:
     return organization_candidates(subjects, targets).withColumn("_r", F.rank().over(Window.partitionBy("subject_id").orderBy(F.desc("confidence")))).filter("_r = 1").drop("_r")
 
 
+#: Lower and upper limit of confidence of each kind that is reconciled.
+LIMITS = {"individual": (1.2, 3.0), "politician": (1.0, 2.0), "organization": (1.0, 4.0)}
+#: What stands between the names of running mates.
+MATES = r"\s*[/&]\s*"
+
+
 def reconcile(queries: DataFrame, targets: DataFrame, limits: dict[str, tuple[float, float]] | None = None) -> DataFrame:
-    """Columns query_id, match_id, confidence, match: the two best levels of confidence for each query (id, name, kind: individual or organization).
+    """Columns query_id, match_id, confidence, match: the two best levels of confidence for each query (id, name, kind: individual, politician or organization).
 
-    match is true where the confidence is at the kind's upper limit or over and nothing else is as good; under the lower limit nothing is returned.
+    match is true where the confidence is at the kind's upper limit or over, however many are as good; under the lower limit nothing is returned. Running mates
+    are no single politician and are left out on both sides.
     """
-    limits = limits or {"individual": (1.2, 3.0), "organization": (1.0, 2.0)}
+    limits = {**LIMITS, **(limits or {})}
     pick = lambda d, kind: d.filter(F.col("kind") == kind).select("id", "name")
-    people = match_people_all(pick(queries, "individual"), pick(targets, "individual"), limits["individual"][0]).withColumn("kind", F.lit("individual"))
-    orgs = match_organizations(pick(queries, "organization"), pick(targets, "organization")).select("subject_id", "match_id", "confidence").withColumn("kind", F.lit("organization"))
-    w = Window.partitionBy("subject_id")
-    both = people.unionByName(orgs).withColumn("_r", F.dense_rank().over(w.orderBy(F.desc("confidence")))).filter("_r <= 2")
-    sure = F.when(F.col("kind") == "individual", limits["individual"][1]).otherwise(limits["organization"][1])
-    alone = F.count_if(F.col("_r") == 1).over(w) == 1
-    return both.select(F.col("subject_id").alias("query_id"), "match_id", "confidence", ((F.col("_r") == 1) & alone & (F.col("confidence") >= sure)).alias("match"))
+    single = lambda d: d.filter(~F.rlike("name", F.lit(MATES)))
+    found = [
+        match_people_all(pick(queries, "individual"), pick(targets, "individual"), limits["individual"][0]),
+        match_people_all(single(pick(queries, "politician")), single(pick(targets, "politician")), limits["politician"][0]),
+        organization_candidates(pick(queries, "organization"), pick(targets, "organization")).select("subject_id", "match_id", "confidence").filter(F.col("confidence") >= limits["organization"][0]),
+    ]
+    kinds = [f.withColumn("_sure", F.lit(limits[k][1])).withColumn("kind", F.lit(k)) for k, f in zip(("individual", "politician", "organization"), found, strict=True)]
+    ranks = F.dense_rank().over(Window.partitionBy("kind", "subject_id").orderBy(F.desc("confidence")))
+    both = reduce(DataFrame.unionByName, kinds).withColumn("_r", ranks).filter("_r <= 2")
+    return both.select(F.col("subject_id").alias("query_id"), "match_id", "confidence", (F.col("confidence") >= F.col("_sure")).alias("match"))
 
 
 def match_people_all(subjects: DataFrame, targets: DataFrame, threshold: float) -> DataFrame:

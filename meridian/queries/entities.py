@@ -90,13 +90,13 @@ def update_from_values(spark, sf):
     return en.fill_from(n, "n_name", manual, ["code"], only_null=False).select("n_nationkey", "code")
 
 
-def _people(spark, sf):
+def _people(spark, sf, source="customer", key="c_custkey", nation="c_nationkey"):
     """Every customer as a person: a last name for each 24 customers, so last names grow with the table; nations of even number are subjects, of odd number targets."""
-    c = table(spark, sf, "customer")
-    first = F.element_at(F.array(*[F.lit(x) for x in ("John", "Jon", "Mary", "Ann", "Peter")]), (F.col("c_custkey") % 5 + 1).cast("int"))
-    last = F.concat(F.lit("Smith"), F.floor(F.col("c_custkey") / 24).cast("string"))
-    middle = F.element_at(F.array(F.lit(" A"), F.lit(" Adam"), F.lit(""), F.lit(" B")), (F.col("c_custkey") % 4 + 1).cast("int"))
-    return c.select(F.col("c_custkey").alias("id"), first.alias("first"), middle.alias("middle"), last.alias("last"), (F.col("c_nationkey") % 2 == 0).alias("is_subject"))
+    k = F.col(key)
+    first = F.element_at(F.array(*[F.lit(x) for x in ("John", "Jon", "Mary", "Ann", "Peter")]), (k % 5 + 1).cast("int"))
+    last = F.concat(F.lit("Smith"), F.floor(k / 24).cast("string"))
+    middle = F.element_at(F.array(F.lit(" A"), F.lit(" Adam"), F.lit(""), F.lit(" B")), (k % 4 + 1).cast("int"))
+    return table(spark, sf, source).select(k.alias("id"), first.alias("first"), middle.alias("middle"), last.alias("last"), (F.col(nation) % 2 == 0).alias("is_subject"))
 
 
 @query("fuzzy_match_top_score")
@@ -138,8 +138,13 @@ def fuzzy_organizations_cascade(spark, sf):
 
 @query("reconcile_names")
 def reconcile_names(spark, sf):
-    p = _people(spark, sf)
-    named = p.select("id", F.concat("first", "middle", F.lit(" "), "last").alias("name"), F.lit("individual").alias("kind"), "is_subject")
+    """All customers as individuals, all suppliers as politicians (ids -1, -3, ...), all parts as organisations (ids -2, -4, ...)."""
+    people = _people(spark, sf).select("id", F.concat("first", "middle", F.lit(" "), "last").alias("name"), F.lit("individual").alias("kind"), "is_subject")
+    p = _people(spark, sf, "supplier", "s_suppkey", "s_nationkey")
+    title = F.when(F.col("is_subject"), F.concat(F.lit("Rep. "), "first", "middle", F.lit(" "), "last", F.lit(" (D)"))).otherwise(F.concat("last", F.lit(", "), "first", "middle"))
+    politicians = p.select((-2 * F.col("id") - 1).alias("id"), title.alias("name"), F.lit("politician").alias("kind"), "is_subject")
+    orgs = _organizations(spark, sf).select((-2 * F.col("id") - 2).alias("id"), "name", F.lit("organization").alias("kind"), "is_subject")
+    named = people.unionByName(politicians).unionByName(orgs)
     return fuzzy.reconcile(named.filter("is_subject"), named.filter("not is_subject"))
 
 
