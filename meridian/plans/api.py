@@ -60,7 +60,7 @@ ENDPOINTS = {
     "org/recipient_pacs": _top("orgs_to_pacs", ("-total_amount", "-total_count"), name="recipient_name", id="recipient_id", **_GIVEN),
     "org/recipients/party_breakdown": _pie("organization_by_party", "party", PARTIES, "Other"),
     "org/recipients/level_breakdown": _pie("organization_by_state_fed", "state_fed", LEVELS),
-    "industry/orgs": _top("industries_to_candidates", ("-total_amount",), name="recipient_name", id="recipient_id", **_GIVEN),
+    "industry/orgs": _top("top_orgs_by_industry", ("-total_amount",), name="organization_name", id="organization_entity", **_GIVEN),
     "pols/top": _top("entity_totals", ("-recipient_amount", "-recipient_count"), None, id="entity_id", count="recipient_count", amount="recipient_amount"),
     "givers/top": _top("entity_totals", ("-contributor_amount", "-contributor_count"), None, id="entity_id", count="contributor_count", amount="contributor_amount"),
     "entity/totals": Endpoint("entity_totals", {c: c for c in ("contributor_count", "recipient_count", "contributor_amount", "recipient_amount")}, "one"),

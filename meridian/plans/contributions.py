@@ -142,6 +142,31 @@ def top_recipients(t: Tables, who: str, to: str, n: int = TOP_N) -> DataFrame:
     return top_n(pivot(t, who, to), ["entity_id", "cycle"], [F.desc("total_amount")], n)
 
 
+def top_orgs_by_industry(t: Tables, n: int = TOP_N) -> DataFrame:
+    """agg_top_orgs_by_industry: the organizations that gave most in each industry (entity_id), per cycle and in all.
+
+    Groups' records count as direct under the organization's or the contributor's name, people's under the organization's. Names without an entity
+    have a row for each side in a cycle, because the original's full join does not match their null ids; over all cycles they are one.
+    """
+    rel = relevant(t).filter("subset <> 'org_to_pac'").select("transaction_id", "cycle", "amount", (F.col("subset") == "organization").alias("_direct"), "contributor_name", "organization_name")
+    industry = association(t, "industry")
+    org = association(t, "organization").withColumnRenamed("entity_id", "organization_entity")
+    named = t["entity"].select(F.col("id").alias("organization_entity"), F.col("name").alias("_name"))
+    facts = rel.join(industry, "transaction_id").join(org, "transaction_id", "left").join(named, "organization_entity", "left")
+    own = F.when(F.col("_direct"), F.col("contributor_name")).otherwise(F.col("organization_name"))
+    facts = facts.withColumn("organization_name", F.coalesce("_name", own)).filter("organization_name <> ''")
+    keys, direct = ["entity_id", "organization_name", "organization_entity"], F.col("_direct")
+    zero = lambda c: F.coalesce(F.sum(F.when(c, F.col("amount"))), F.lit(0))
+    side = F.when(F.col("organization_entity").isNull(), direct)
+    cycles = facts.groupBy(*keys, "cycle", side.alias("_side")).agg(
+        F.count("*").alias("total_count"), F.count_if(direct).alias("pacs_count"), F.count_if(~direct).alias("indivs_count"),
+        F.sum("amount").alias("total_amount"), zero(direct).alias("pacs_amount"), zero(~direct).alias("indivs_amount"),
+    ).drop("_side")
+    figures = [c for c in cycles.columns if c not in (*keys, "cycle")]
+    total = cycles.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in figures]).withColumn("cycle", F.lit(-1))
+    return top_n(cycles.unionByName(total), ["entity_id", "cycle"], [F.desc("total_amount")], n).drop("rank")
+
+
 def politician_sources(t: Tables, by: str, top: int | None = None) -> DataFrame:
     """What each recipient got, by sector, contributor type or place, per cycle and in all. by: sector, contributor_type or in_state."""
     rel = relevant(t).filter(F.col("subset").isin("individual", "organization"))

@@ -144,3 +144,18 @@ _both = "(SELECT entity_id, cycle, amount, true AS given FROM relevant JOIN (SEL
 query("entity_totals", f"{WITH} {_cycles(_both, 'entity_id', 'count_if(given)::BIGINT AS contributor_count, count_if(NOT given)::BIGINT AS recipient_count, coalesce(sum(amount) FILTER (given), 0)::DOUBLE AS contributor_amount, coalesce(sum(amount) FILTER (NOT given), 0)::DOUBLE AS recipient_amount')}")(
     lambda s, d: _plain(ct.entity_totals(tables(s, d)))
 )
+
+_figures = "total_count, pacs_count, indivs_count, total_amount, pacs_amount, indivs_amount"
+
+
+def _givers(name: str, subsets: str) -> str:
+    """One side of top_orgs_by_industry."""
+    return f"""(SELECT i.entity_id, coalesce(e.name, c.{name}) AS organization_name, o.entity_id AS organization_entity, c.cycle, count(*) AS count, sum(amount) AS amount
+FROM relevant c JOIN industry_a i USING (transaction_id) LEFT JOIN organization_a o USING (transaction_id) LEFT JOIN entity e ON e.id = o.entity_id WHERE c.subset IN ({subsets}) AND coalesce(e.name, c.{name}) <> '' GROUP BY ALL)"""
+
+
+query("top_orgs_by_industry", f"""{WITH}, g AS (SELECT entity_id, organization_name, organization_entity, cycle, coalesce(p.count, 0) + coalesce(q.count, 0) AS total_count, coalesce(p.count, 0) AS pacs_count, coalesce(q.count, 0) AS indivs_count,
+coalesce(p.amount, 0) + coalesce(q.amount, 0) AS total_amount, coalesce(p.amount, 0) AS pacs_amount, coalesce(q.amount, 0) AS indivs_amount
+FROM {_givers("contributor_name", "'organization'")} p FULL JOIN {_givers("organization_name", "'individual', 'individual_to_organization'")} q USING (entity_id, organization_name, organization_entity, cycle)),
+a AS (SELECT * FROM g UNION ALL SELECT entity_id, organization_name, organization_entity, -1, {", ".join(f"sum({c})" for c in _figures.split(", "))} FROM g GROUP BY entity_id, organization_name, organization_entity),
+r AS (SELECT *, rank() OVER (PARTITION BY entity_id, cycle ORDER BY total_amount DESC) AS rank FROM a) SELECT * EXCLUDE (rank) {_DOUBLES} FROM r WHERE rank <= 10""")(lambda s, d: _plain(ct.top_orgs_by_industry(tables(s, d))))
