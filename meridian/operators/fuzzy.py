@@ -10,17 +10,25 @@ from pyspark.sql import functions as F
 from meridian.functions import names, text
 
 THRESHOLD = 1.2
+#: What stands between the names of running mates.
+MATES = r"\s*[/&]\s*"
 #: Confidence of the ways in which organisation names agree.
 ORG_SCORES = {"kernel": 4.0, "name": 3.0, "expanded": 3.0, "prefix": 2.0}
 
 
-def match_people(subjects: DataFrame, targets: DataFrame, nicknames: DataFrame | None = None, threshold: float = THRESHOLD, keep_unmatched: bool = False) -> DataFrame:
+def _parsed(d: DataFrame, p: str) -> DataFrame:
+    """Columns prefixed; the parsed name as the prefix itself, and _last of those that have a last name."""
+    rest = [F.col(c).alias(f"{p}_{c}") for c in d.columns if c not in ("id", "name")]
+    return d.select(F.col("id").alias(f"{p}_id"), names.person(F.col("name")).alias(p), *rest).withColumn("_last", F.col(f"{p}.last")).filter("_last is not null")
+
+
+def match_people(subjects: DataFrame, targets: DataFrame, nicknames: DataFrame | None = None, threshold: float = THRESHOLD, keep_unmatched: bool = False, on: tuple[str, ...] = (), metadata: Column | None = None) -> DataFrame:
     """Columns subject_id, match_id, confidence. subjects and targets: id, name. nicknames: name, family, distinct pairs.
 
-    Both sides are parsed once, before they are joined on the last name. Confidence -1 and no match_id stand for a subject without a match.
+    Both sides are parsed once, before they are joined on the last name and on the columns of `on`, which both sides have. Confidence -1 and no match_id stand for a
+    subject without a match. metadata: an expression over subject_x and match_x of further columns x; it comes as metadata_confidence and does not choose among matches.
     """
-    parsed = lambda d, p: d.select(F.col("id").alias(f"{p}_id"), names.person(F.col("name")).alias(p)).withColumn("_last", F.col(f"{p}.last")).filter("_last is not null")
-    s, m = parsed(subjects, "subject"), parsed(targets, "match")
+    s, m = _parsed(subjects, "subject"), _parsed(targets, "match")
     if nicknames is not None:
         family = nicknames.groupBy("name").agg(F.collect_set("family").alias("_f"))
         for side in ("subject", "match"):
@@ -31,12 +39,54 @@ def match_people(subjects: DataFrame, targets: DataFrame, nicknames: DataFrame |
         nick = F.coalesce(F.arrays_overlap("_f_subject", "_f_match"), F.lit(False))
     else:
         nick = F.lit(False)
-    scored = s.join(m, "_last").select("subject_id", "match_id", names.person_score(F.col("subject"), F.col("match"), nick).alias("confidence")).filter(F.col("confidence") >= threshold)
+    for c in on:
+        s, m = s.withColumn(f"_on_{c}", F.col(f"subject_{c}")), m.withColumn(f"_on_{c}", F.col(f"match_{c}"))
+    extra = [] if metadata is None else [metadata.cast("double").alias("metadata_confidence")]
+    pairs = s.join(m, ["_last", *[f"_on_{c}" for c in on]])
+    scored = pairs.select("subject_id", "match_id", names.person_score(F.col("subject"), F.col("match"), nick).alias("confidence"), *extra).filter(F.col("confidence") >= threshold)
     best = scored.withColumn("_r", F.rank().over(Window.partitionBy("subject_id").orderBy(F.desc("confidence")))).filter("_r = 1").drop("_r")
     if not keep_unmatched:
         return best
     none = subjects.select(F.col("id").alias("subject_id")).join(best.select("subject_id").distinct(), "subject_id", "left_anti")
-    return best.unionByName(none.select("subject_id", F.lit(None).cast(best.schema["match_id"].dataType).alias("match_id"), F.lit(-1.0).alias("confidence")))
+    return best.unionByName(none.select("subject_id", F.lit(None).cast(best.schema["match_id"].dataType).alias("match_id"), F.lit(-1.0).alias("confidence")), allowMissingColumns=True)
+
+
+def match_politicians(subjects: DataFrame, targets: DataFrame, nicknames: DataFrame | None = None) -> DataFrame:
+    """Columns subject_id, match_id, confidence, by last name, cycle, state and district held.
+
+    subjects: id, name, cycle, state, district (a number or empty). targets: id, name, cycle, state, district (as `CA-07`; null, empty or `_` for none), a row for each cycle.
+    Each running mate of a target counts, the best of them; subjects that are running mates are left out.
+    """
+    held = F.coalesce("district", F.lit(""))
+    s = subjects.filter(~F.rlike("name", F.lit(MATES))).withColumn("district", F.when(held == "", "").otherwise(F.concat("state", F.lit("-"), F.lpad("district", 2, "0"))))
+    t = targets.withColumn("district", F.when(held == "_", "").otherwise(held)).withColumn("name", F.explode(F.split("name", MATES)))
+    return match_people(s, t, nicknames, on=("cycle", "state", "district")).distinct()
+
+
+#: Seats of the chambers of earmarks' members.
+CHAMBERS = {"s": "federal:senate", "h": "federal:house"}
+
+
+def match_members(members: DataFrame, earmarks: DataFrame, politicians: DataFrame) -> DataFrame:
+    """Columns id, match_id, outcome (matched, none, many): the only politician of a member's name, seat, party and state.
+
+    members: id, name, chamber, party, state. earmarks: name, chamber, states (`CA; NV`). politicians: id, first, last (lower case), party, state, seat, a row for each alias.
+    What a member does not state is not asked for. Without a state, or if none is found in it, all states of the earmarks of that name and chamber are tried.
+    """
+    said = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(""))
+    states = earmarks.select("name", "chamber", F.explode(F.split("states", ";")).alias("_s")).select("name", "chamber", F.trim("_s").alias("_s")).filter("length(_s) = 2")
+    possible = states.groupBy("name", "chamber").agg(F.collect_set("_s").alias("_possible"))
+    seat = F.create_map(*[F.lit(x) for kv in CHAMBERS.items() for x in kv])[F.col("chamber")]
+    m = members.join(possible, ["name", "chamber"], "left").select("id", names.person(F.col("name")).alias("_n"), seat.alias("_seat"), said("party").alias("_party"), said("state").alias("_state"), "_possible")
+    p = politicians.select(F.col("id").alias("_pid"), *[F.col(c).alias(f"p_{c}") for c in ("first", "last", "party", "state", "seat")])
+    same = (F.col("_n.last") == F.col("p_last")) & (F.col("_n.first").isNull() | (F.col("_n.first") == F.col("p_first")))
+    same = same & (F.col("_seat").isNull() | (F.col("_seat") == F.col("p_seat"))) & ((F.col("_party") == "") | (F.col("_party") == F.col("p_party")))
+    first, second = F.when(F.col("_state") == F.col("p_state"), F.col("_pid")), F.when(F.array_contains("_possible", F.col("p_state")), F.col("_pid"))
+    g = m.join(p, same, "left").groupBy("id").agg(
+        F.countDistinct(first).alias("n1"), F.min(first).alias("m1"), F.countDistinct(second).alias("n2"), F.min(second).alias("m2"),
+    )
+    n, match = F.when(F.col("n1") > 0, F.col("n1")).otherwise(F.col("n2")), F.when(F.col("n1") > 0, F.col("m1")).otherwise(F.col("m2"))
+    return g.select("id", F.when(n == 1, match).alias("match_id"), F.when(n == 1, "matched").when(n == 0, "none").otherwise("many").alias("outcome"))
 
 
 def org_keys(name: Column) -> dict[str, Column]:
@@ -124,8 +174,6 @@ def cascade_organizations(subjects: DataFrame, targets: DataFrame) -> DataFrame:
 
 #: Lower and upper limit of confidence of each kind that is reconciled.
 LIMITS = {"individual": (1.2, 3.0), "politician": (1.0, 2.0), "organization": (1.0, 4.0)}
-#: What stands between the names of running mates.
-MATES = r"\s*[/&]\s*"
 
 
 def reconcile(queries: DataFrame, targets: DataFrame, limits: dict[str, tuple[float, float]] | None = None) -> DataFrame:
@@ -150,5 +198,4 @@ def reconcile(queries: DataFrame, targets: DataFrame, limits: dict[str, tuple[fl
 
 def match_people_all(subjects: DataFrame, targets: DataFrame, threshold: float) -> DataFrame:
     """All pairs over a threshold, not only the best."""
-    parsed = lambda d, p: d.select(F.col("id").alias(f"{p}_id"), names.person(F.col("name")).alias(p)).withColumn("_last", F.col(f"{p}.last")).filter("_last is not null")
-    return parsed(subjects, "subject").join(parsed(targets, "match"), "_last").select("subject_id", "match_id", names.person_score(F.col("subject"), F.col("match"), F.lit(False)).alias("confidence")).filter(F.col("confidence") >= threshold)
+    return _parsed(subjects, "subject").join(_parsed(targets, "match"), "_last").select("subject_id", "match_id", names.person_score(F.col("subject"), F.col("match"), F.lit(False)).alias("confidence")).filter(F.col("confidence") >= threshold)

@@ -158,3 +158,32 @@ def close_match_ratio(spark, sf):
 def unique_name_match(spark, sf):
     """A name that only one entity has."""
     return table(spark, sf, "part").groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey"), F.count("*").alias("n")).filter("n = 1").drop("n")
+
+
+def _state(nation):
+    """Two letters for each nation."""
+    return F.concat(F.char(F.floor(nation / 5) + 65), F.char(nation % 5 + 65))
+
+
+@query("match_politicians_by_seat")
+def match_politicians_by_seat(spark, sf):
+    """All suppliers as politicians, all customers as those who name one; Python tests hold the pairs."""
+    p = _people(spark, sf, "supplier", "s_suppkey", "s_nationkey").withColumn("state", _state(F.col("id") % 5))
+    t = p.select("id", F.concat("first", "middle", F.lit(" "), "last").alias("name"), F.lit(2010).alias("cycle"), "state", F.when(F.col("id") % 2 == 0, F.concat("state", F.lit("-07"))).otherwise("_").alias("district"))
+    k = F.col("c_custkey")
+    c = _people(spark, sf).withColumnRenamed("id", "c_custkey").withColumn("last", F.concat(F.lit("Smith"), F.floor(k / 360).cast("string")))
+    s = c.select(k.alias("id"), F.concat("last", F.lit(", "), "first", "middle").alias("name"), F.lit(2010).alias("cycle"), _state(k % 5).alias("state"), F.when(k % 2 == 0, "7").otherwise("").alias("district"))
+    return fuzzy.match_politicians(s, t)
+
+
+@query("match_members_unique")
+def match_members_unique(spark, sf):
+    """All customers as members of earmarks, all suppliers as politicians; every third member has no state."""
+    p = _people(spark, sf, "supplier", "s_suppkey", "s_nationkey")
+    politicians = p.select("id", F.lower("first").alias("first"), F.lower("last").alias("last"), F.lit("D").alias("party"), _state(F.col("id") % 25).alias("state"), F.lit("federal:house").alias("seat"))
+    k = F.col("c_custkey")
+    name = F.concat("first", F.lit(" Smith"), F.floor(k / 360).cast("string"))
+    c = _people(spark, sf).withColumnRenamed("id", "c_custkey")
+    members = c.select(k.alias("id"), name.alias("name"), F.lit("h").alias("chamber"), F.when(k % 2 == 0, "D").otherwise("").alias("party"), F.when(k % 3 > 0, _state(k % 25)).alias("state"))
+    earmarks = c.select(name.alias("name"), F.lit("h").alias("chamber"), F.concat(_state(F.floor(k / 7) % 4), F.lit("; ")).alias("states")).distinct()
+    return fuzzy.match_members(members, earmarks, politicians)

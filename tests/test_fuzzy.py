@@ -147,3 +147,47 @@ def test_reconcile_limits_by_kind(spark):
     t = spark.createDataFrame([(11, "Smith, John", "individual"), (12, "Smith, John", "politician"), (13, "Red Bolt Corporation", "organization"), (14, "Kerry/Edwards", "politician"), (15, "Old Red Bolt Works", "organization"), (16, "Red Bolt Corp", "organization")], "id int, name string, kind string")
     got = {tuple(r) for r in fuzzy.reconcile(q, t).select("query_id", "match_id", "confidence", "match").collect()}
     assert got == {(1, 11, 2.2, False), (2, 12, 2.2, True), (3, 13, 3.0, False), (3, 16, 3.0, False), (3, 15, 2.0, False), (4, 13, 4.0, True), (4, 16, 4.0, True), (4, 15, 2.0, False), (5, 12, 1.3, False)}
+
+
+def test_members_two_passes(spark):
+    """A state, a wrong state, no state, several politicians, a first name that differs, another chamber."""
+    pol = [(1, "john", "smith", "D", "CA", "federal:house"), (1, "johnny", "smith", "D", "CA", "federal:house"), (2, "john", "smith", "R", "NV", "federal:house"), (3, "john", "smith", "D", "CA", "federal:senate"), (4, "ann", "doe", "D", "TX", "federal:house"), (5, "ann", "doe", "R", "UT", "federal:house")]
+    members = [(1, "John Smith", "h", "", "CA"), (2, "John Smith", "h", None, "OR"), (3, "John Smith", "h", "R", None), (4, "Ann Doe", "h", "", ""), (5, "Ann Doe", "h", "R", ""), (6, "Bob Doe", "h", "", "TX"), (7, "John Smith", "s", "", "CA"), (8, "Doe", "h", "", "TX"), (9, "Ann Doe", "s", "", "TX")]
+    earmarks = [("John Smith", "h", "NV; OR; Nevada"), ("Ann Doe", "h", "TX"), ("Ann Doe", "h", "UT;"), ("Ann Doe", "s", "TX")]
+    make = spark.createDataFrame
+    got = {tuple(r) for r in fuzzy.match_members(make(members, "id int, name string, chamber string, party string, state string"), make(earmarks, "name string, chamber string, states string"), make(pol, "id int, first string, last string, party string, state string, seat string")).collect()}
+    assert got == {(1, 1, "matched"), (2, 2, "matched"), (3, 2, "matched"), (4, None, "many"), (5, 5, "matched"), (6, None, "none"), (7, 3, "matched"), (8, 4, "matched"), (9, None, "none")}
+
+
+def test_extra_keys_metadata_and_unmatched(spark):
+    s = spark.createDataFrame([(1, "John Smith", "CA"), (2, "John Smith", "NV"), (3, "John Smith", "TX")], "id int, name string, state string")
+    t = spark.createDataFrame([(11, "Smith, John", "CA", "town clerk"), (12, "Smith, John", "NV", "city"), (13, "Smith, John", "CA", "none")], "id int, name string, state string, job string")
+    job = F.when(F.contains("match_job", F.lit("clerk")), 1).when(F.contains("match_job", F.lit("city")), 0.5).otherwise(0)
+    got = {tuple(r) for r in fuzzy.match_people(s, t, keep_unmatched=True, on=("state",), metadata=job).select("subject_id", "match_id", "confidence", "metadata_confidence").collect()}
+    assert got == {(1, 11, 2.2, 1.0), (1, 13, 2.2, 0.0), (2, 12, 2.2, 0.5), (3, None, -1.0, None)}
+
+
+def test_politicians_by_cycle_state_district_and_mates(spark):
+    s = spark.createDataFrame([(1, "John Smith", 2010, "CA", "7"), (2, "John Smith", 2010, "CA", ""), (3, "John Smith", 2008, "CA", "7"), (4, "Kerry/Smith", 2010, "CA", "7"), (5, "Joe Kerry", 2010, "MA", None)], "id int, name string, cycle int, state string, district string")
+    t = spark.createDataFrame([(11, "Smith, John", 2010, "CA", "CA-07"), (12, "Smith, John", 2010, "CA", "_"), (13, "Kerry, Joe / Smith, John", 2010, "MA", None), (14, "Smith, John", 2010, "NV", "NV-07")], "id int, name string, cycle int, state string, district string")
+    assert {tuple(r) for r in fuzzy.match_politicians(s, t).collect()} == {(1, 11, 2.2), (2, 12, 2.2), (5, 13, 2.2)}
+
+
+def test_queries_of_politicians_and_members_use_all_rows(spark):
+    state = lambda n: chr(65 + n // 5) + chr(65 + n % 5)
+    sup = sorted(r["s_suppkey"] for r in spark.read.parquet(f"{SF}/supplier.parquet").collect())
+    cust = sorted(r["c_custkey"] for r in spark.read.parquet(f"{SF}/customer.parquet").collect())
+    want = set()
+    for c in cust:
+        a = parse_person(f"{FIRSTS[c % 5]}{MIDDLES[c % 4]} Smith{c // 360}")
+        hits = {k: s for k in sup if k % 5 == c % 5 and k % 2 == c % 2 and (s := score(a, parse_person(f"{FIRSTS[k % 5]}{MIDDLES[k % 4]} Smith{k // 24}"), False)) >= 1.2}
+        want |= {(c, k, s) for k, s in hits.items() if s == max(hits.values())}
+    assert want and {tuple(r) for r in QUERIES["match_politicians_by_seat"](spark, SF).collect()} == want
+    possible, found = defaultdict(set), set()
+    for c in cust:
+        possible[c % 5, c // 360].add(state(c // 7 % 4))
+    for c in cust:
+        near = {k for k in sup if k % 5 == c % 5 and k // 24 == c // 360}
+        hits = {k for k in near if c % 3 and state(k % 25) == state(c % 25)} or {k for k in near if state(k % 25) in possible[c % 5, c // 360]}
+        found.add((c, min(hits) if len(hits) == 1 else None, {0: "none", 1: "matched"}.get(len(hits), "many")))
+    assert {tuple(r) for r in QUERIES["match_members_unique"](spark, SF).collect()} == found
