@@ -71,6 +71,12 @@ def etl_state_district(spark, sf):
     return n.select("n_nationkey", cl.state_district(F.lit("CA"), F.concat(F.lit("00"), F.col("n_nationkey").cast("string"))).alias("district"))
 
 
+@query("etl_state_district_all", "SELECT n_nationkey, CASE WHEN n_nationkey > 0 THEN 'CA-' || n_nationkey END AS district FROM nation")
+def etl_state_district_all(spark, sf):
+    """Every nation, those with an inner zero too."""
+    return table(spark, sf, "nation").select("n_nationkey", cl.state_district(F.lit("CA"), F.concat(F.lit("00"), F.col("n_nationkey").cast("string"))).alias("district"))
+
+
 @query("etl_refund_sign", "SELECT o_orderkey, CASE WHEN o_orderkey % 6 < 2 THEN -o_totalprice ELSE o_totalprice END AS amount FROM orders")
 def etl_refund_sign(spark, sf):
     kind = F.when(F.col("o_orderkey") % 6 == 0, "22Y").when(F.col("o_orderkey") % 6 == 1, "22z").otherwise("15")

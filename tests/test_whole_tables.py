@@ -8,3 +8,8 @@ def test_money_is_shown_for_every_order(spark):
     rows = {r["o_orderkey"]: r["o_totalprice"] for r in spark.read.parquet(f"{SF}/orders.parquet").collect()}
     got = {r["o_orderkey"]: r["shown"] for r in QUERIES["money_display_all"](spark, SF).collect()}
     assert got == {k: f"{v:,.2f}" for k, v in rows.items()} and len(got) == 1500
+
+
+def test_districts_keep_inner_zeros(spark):
+    got = {r["n_nationkey"]: r["district"] for r in QUERIES["etl_state_district_all"](spark, SF).collect()}
+    assert got == {k: f"CA-{k}" if k else None for k in range(25)}
