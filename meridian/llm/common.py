@@ -2,51 +2,92 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words of a text: runs of bytes that are no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a local one only where none is set, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder that the session names. Where none is set: a local one if all runs in this process, as in tests, else an error."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        at = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="meridian-")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all its machines share")
+        at = tempfile.mkdtemp(prefix="meridian-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
-#: Rows that go to Python at once. Texts are some KB on average and may be very long, so Spark's default of 10,000 is too many for small executors.
-BATCH_ROWS = 1000
+#: Rows and bytes that go to Python at once. Texts are some KB on average and may be very long, so Spark's defaults are too much for small executors.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: Rows that Spark reads of a Parquet file at once. Its default of 4096 makes arrays of tens of MB of texts, anew for each batch, which drive the heap up.
+READ_ROWS = 256
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Fewer rows in an Arrow batch, unless the session asks for fewer still."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000") or 10000)
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Fewer rows and bytes in an Arrow batch and in what is read at once, unless the session asks for fewer still: settings of the session, for tables
+    of texts. A row that is longer makes a batch of its own.
+    """
+    if int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) > READ_ROWS:
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size)) > BATCH_BYTES:
+        spark.conf.set(size, str(BATCH_BYTES))
+
+
+_tables: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("tables", default=None)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a written table of ours from the shared folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that durable() writes inside are deleted at the end, but for those it is told to keep."""
+    mine: list[str] = []
+    before = _tables.set(mine)
+    try:
+        yield
+    finally:
+        _tables.reset(before)
+        for path in mine:
+            delete(spark, path)
 
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage and survives lost executors."""
+
+def durable(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df written to the shared folder and read again: cuts the lineage and survives lost executors.
+
+    The table stays until the scratch() around it ends; with keep, until the one around that does; where there is none, until the folder is emptied.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not keep and (mine := _tables.get()) is not None:
+        mine.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -65,20 +106,25 @@ def unit_hash(*cols: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(F.lit(17), *cols), 11) / F.lit(float(1 << 53))).cast("double")
 
 
+#: Different values that bounded_sample takes classes from; more is an error, as they are then no classes.
+MAX_CLASSES = 20_000
+
+
 def bounded_sample(df: DataFrame, by: str, per_class: int, total: int, key: list[str]) -> DataFrame:
-    """About per_class distinct rows of each value of by, and about total of all, chosen by a hash of key.
+    """About per_class distinct rows of each value of by, and about total of all (one of each class at least), chosen by a hash of key.
 
-    Sizes are counted over the whole table first, so that rare classes keep all their rows. Equal rows count once.
+    Sizes are counted over the whole table first, so that rare classes keep all their rows. Equal rows count once. Over MAX_CLASSES values: an error.
     """
-    sizes = {r[0]: r[1] for r in df.groupBy(by).count().orderBy(F.desc("count")).limit(1000).collect()}
+    sizes = df.filter(F.col(by).isNotNull()).groupBy(by).count().limit(MAX_CLASSES + 1).collect()
+    if len(sizes) > MAX_CLASSES:
+        raise ValueError(f"over {MAX_CLASSES} values of {by}")
     if not sizes:
-        return df
+        return df.limit(0)
     want = max(1, min(per_class, total // len(sizes)))
-    rate = F.lit(0.0)
-    for value, n in sizes.items():
-        rate = F.when(F.col(by) == F.lit(value), F.lit(min(1.0, want / n))).otherwise(rate)
+    rates = df.sparkSession.createDataFrame([(r[0], min(1.0, want / r[1])) for r in sizes], T.StructType([T.StructField("_by", df.schema[by].dataType), T.StructField("_rate", T.DoubleType())]))
     h = F.xxhash64(F.lit(17), *[F.col(k) for k in key])
-    return df.filter(unit_hash(*[F.col(k) for k in key]) < rate).withColumn("_h", h).dropDuplicates(["_h"]).drop("_h")
+    picked = df.join(F.broadcast(rates), F.col(by) == F.col("_by")).filter(unit_hash(*[F.col(k) for k in key]) < F.col("_rate")).drop("_by", "_rate")
+    return picked.withColumn("_h", h).dropDuplicates(["_h"]).drop("_h")
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -24,12 +24,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import durable, groups, small_batches, tidy, utf8
+from meridian.llm.common import durable, groups, scratch, small_batches, tidy, utf8
 
 GRAM = 32
 BUCKET = 16_000
 #: Bytes of texts whose hashes are held at once; a longer text goes in overlapping parts. Under 2 ** 24, a place's bits in a key.
-PIECE = 1_000_000
+PIECE = 1 << 18
 #: Segments whose columns are held at once.
 TOGETHER = 16_000
 #: Strings in a block, level by level, of buckets that are too large.
@@ -307,10 +307,11 @@ def repeated_spans(texts: DataFrame, length: int = 400, bucket: int = BUCKET) ->
     z = compressed(texts)
     once = z.groupBy("k1", "k2").agg(F.first("z").alias("z"))  # in each partition first, so many copies are no large group
     every = durable(texts.mapInArrow(tidy(_segments(length)), SEGMENT), "segments")
-    # written tables before each join: both its sides are then dealt anew, and Spark can split a bucket with very many rows
+    # joins by h go by another number for it: an aggregate's own dealing is then not taken over, so both sides are dealt anew and Spark can split a bucket with very many rows
+    g = F.expr("h ^ 1").alias("g")
     known, other = every.filter("place & 3 = 3"), every.filter("place & 3 < 3")
-    twice = durable(other.groupBy("h").agg(F.sum(F.expr("place & 3")).alias("c")).filter("c > 1").select("h"), "buckets")
-    rows = durable(other.join(twice, "h", "left_semi"), "segments-shared")
+    twice = other.groupBy("h").agg(F.sum(F.expr("place & 3")).alias("c")).filter("c > 1").select(g)
+    rows = durable(other.select("*", g).join(twice, "g", "left_semi").drop("g"), "segments-shared")
     span = lambda d: d.selectExpr("k1", "k2", "shiftright(place, 30) as begin", f"shiftright(place, 30) + (shiftright(place, 16) & 16383) - 1 + {length} as end")
     spans = [span(known)]
     for level in range(len(BLOCKS) + 1):
@@ -320,15 +321,15 @@ def repeated_spans(texts: DataFrame, length: int = 400, bucket: int = BUCKET) ->
         spans.append(span(whole))
         if level == len(BLOCKS):
             break  # whole strings: different ones in a bucket are not equal
-        many = durable(segs.groupBy("h").agg(F.count("*").alias("m"), F.min("weight").alias("least")).filter("m > 1 and least = 1").select("h", "m"), "buckets-several")
-        several = durable(segs.join(many, "h").selectExpr("h", "seg", "k1", "k2", "place - (place & 3) + least(weight, 2) as place", "m"), "segments-several")
+        many = segs.groupBy("h").agg(F.count("*").alias("m"), F.min("weight").alias("least")).filter("m > 1 and least = 1")
+        several = lambda b: segs.select("*", g).join(b.select(g), "g").selectExpr("h", "seg", "k1", "k2", "place - (place & 3) + least(weight, 2) as place")  # noqa: B023, E731
         want = lambda d: once.join(d.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "seg", "place")).alias("want")), ["k1", "k2"])
-        body = want(several.filter(F.col("m") <= bucket)).mapInArrow(tidy(_bodies(length, None)), SEGMENT + ", body binary")
+        body = want(several(many.filter(F.col("m") <= bucket))).mapInArrow(tidy(_bodies(length, None)), SEGMENT + ", body binary")
         spans.append(body.repartition(dealt, "h").sortWithinPartitions("h").mapInArrow(tidy(_runs(length)), SPAN))
-        large = several.filter(F.col("m") > bucket)
+        large = many.filter(F.col("m") > bucket)
         if large.isEmpty():
             break
-        rows = durable(want(large).mapInArrow(tidy(_bodies(length, BLOCKS[level])), SEGMENT), "segments-split")
+        rows = durable(want(several(large)).mapInArrow(tidy(_bodies(length, BLOCKS[level])), SEGMENT), "segments-split")
     out = spans[0]
     for x in spans[1:]:
         out = out.unionByName(x)
@@ -348,8 +349,9 @@ def cut(docs: DataFrame, text: str = "text", length: int = 400, bucket: int = BU
     new = {"n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"}
     others = [c for c in docs.columns if c.lower() not in new and c != text]
     whole = F.coalesce(F.col(text), F.lit(""))
-    spans = repeated_spans(docs.select(whole.alias("text")).filter(F.octet_length("text") >= length), length, bucket)
-    per_text = durable(spans.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "spans")
+    with scratch(docs.sparkSession):
+        spans = repeated_spans(docs.select(whole.alias("text")).filter(F.octet_length("text") >= length), length, bucket)
+        per_text = durable(spans.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "spans", keep=True)
     packed = compressed(docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(others)], whole.alias("text")))
     # never a broadcast: with an exchange in between, a task needs one Python worker at a time
     joined = packed.hint("merge").join(per_text, ["k1", "k2"], "left").select(*[f"c{i}" for i in range(len(others))], "z", "spans")
