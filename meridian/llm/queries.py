@@ -56,11 +56,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    payload = media.payload_of(F.col("text"))
-    pages = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), media.page_of(F.sha2(payload, 256), F.lit("text as samples")).alias("html"))
-    found = media.resolve(media.sequences(pages), media.media_features(media.store(docs)))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    text = F.col("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), media.payload_of(text).alias("payload"))
+    digest = F.sha2("payload", 256).alias("page")
+    pages = docs.select(digest, media.page_of(F.col("payload")).alias("html")).dropDuplicates(["page"])
+    figures = media.reassembled(media.resolve(media.sequences(pages), media.store(docs)), "page")
+    return docs.select("doc_id", "n_bytes", digest).join(figures, "page").drop("page")
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

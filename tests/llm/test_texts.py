@@ -154,30 +154,77 @@ def test_table_bound(odd):
     assert 0 < bpe.encoded_words(bpe.distinct_words(odd), codec, most=5).num_rows <= 5
 
 
+def brute_media(text):
+    """All figures of a text, by plain code."""
+    raw = (text or "").encode()
+    payload = raw + b" " * (-len(raw) % 192 if raw else 192)
+    parts = [payload[i : i + media.PART] for i in range(0, len(payload), media.PART)]
+    forms = [media.stored(p) for p in parts]
+    x = np.frombuffer(payload, np.uint8).astype(float)
+    feature = f"{len(x) // 192}x192;mean={x.mean():.4f};dev={x.std():.4f};hist={'/'.join(str(int(((x >= a) & (x < a + 32)).sum())) for a in range(0, 256, 32))}"
+    return len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), sum(map(len, forms)), sha256(b"".join(forms)).hexdigest(), feature, list(range(0, 2 * len(parts), 2)), [f"part {i + 1} of {len(parts)}" for i in range(len(parts))]
+
+
+FIGURES = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "positions", "captions")
+
+
+def near_equal(a, b):
+    """Figures are equal, means and deviations but for the last digit."""
+    number = lambda f: [float(x) for x in f.replace("mean=", "").replace("dev=", "").replace("x192", "").split(";hist")[0].split(";")]
+    return a[:5] == b[:5] and a[6:] == b[6:] and a[5].split("hist")[1] == b[5].split("hist")[1] and np.allclose(number(a[5]), number(b[5]), atol=2e-4)
+
+
+def test_pictures_are_lossless():
+    x = bytes(np.random.default_rng(1).integers(0, 256, 192 * 7).astype(np.uint8))
+    form = media.stored(x)
+    assert media.read_back(form) == x and form[:8] == b"\x89PNG\r\n\x1a\n"
+    for bad in (b"", form[:-1], form[:-20], form[:60] + bytes([form[60] ^ 1]) + form[61:]):
+        with pytest.raises((ValueError, zlib.error, IndexError, Exception)):
+            media.read_back(bad)
+
+
 def test_media(odd, spark):
-    payload = media.payload_of(F.col("text"))
-    stored = odd.select(F.coalesce("text", F.lit("")).alias("t"), payload.alias("p"), media.stored(payload).alias("media"))
-    for r in stored.collect():
-        raw = r["t"].encode()
-        assert bytes(r["p"]) == raw + b" " * (-len(raw) % 192 if raw else 192)
-        assert media.read_back(np.frombuffer(r["media"], np.uint8)).tobytes() == bytes(r["p"])
-    with pytest.raises(ValueError):
-        media.read_back(np.frombuffer(bytes(r["media"])[:-1], np.uint8))
-    store = media.media_features(media.store(odd))
-    different = {bytes(r["p"]) for r in stored.collect()}
-    assert store.count() == len(different)
-    f = {r["digest"]: r for r in store.collect()}
-    d = bytes(stored.filter("t = 'the'").first()["p"])
-    assert f[sha256(d).hexdigest()]["tail_crc32"] == zlib.crc32(d[-16:])
-    assert media.media_features(spark.createDataFrame([("x", None)], "digest string, media binary")).first()["payload_bytes"] is None
+    docs = odd.withColumn("payload", media.payload_of(F.col("text")))
+    pages = docs.select(F.sha2("payload", 256).alias("page"), media.page_of(F.col("payload")).alias("html")).distinct()
+    found = media.resolve(media.sequences(pages), media.store(docs))
+    got = {r["page"]: tuple(r[f] for f in FIGURES) for r in media.reassembled(found, "page").collect()}
+    want = {w[1]: w for w in map(brute_media, [*ODD, "no id"])}
+    assert got.keys() == want.keys()
+    for k in want:
+        assert near_equal(got[k], want[k])
+    assert media.store(docs).count() == len({p for t in [*ODD, "no id"] for p in (lambda b: [b[i : i + media.PART] for i in range(0, len(b), media.PART)])((t or "").encode() + b" " * (-len((t or "").encode()) % 192 if t else 192))})
+
+
+def test_media_query_equals_brute_force(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = QUERIES["op6_media_columns"](spark, SF).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(docs)
+    for r in rows:
+        assert r["n_bytes"] == len((docs[r["doc_id"]] or "").encode())
+        assert near_equal(tuple(r[f] for f in FIGURES), brute_media(docs[r["doc_id"]]))
+
+
+def test_media_of_nothing_and_of_lost_parts(spark, odd):
+    docs = odd.limit(0).withColumn("payload", media.payload_of(F.col("text")))
+    pages = docs.select("doc_id", media.page_of(F.col("payload")).alias("html"))
+    assert media.store(docs).count() == 0 and media.sequences(pages).count() == 0
+    found = media.resolve(media.sequences(pages), media.store(docs))
+    assert found.count() == 0 and media.reassembled(found, "doc_id").count() == 0
+    html = '<img src="sha256:aa"><img src="sha256:bb">'
+    some = media.sequences(spark.createDataFrame([(1, html), (2, '<img src="sha256:aa">'), (None, '<img src="sha256:aa">'), (2, '<img src="sha256:aa">')], "id long, html string"))
+    got = {r["id"]: r for r in media.reassembled(media.resolve(some, spark.createDataFrame([("aa", media.stored(b"a" * 192))], "digest string, media binary")), "id").collect()}
+    assert got[1]["payload_bytes"] is None and got[1]["positions"] == [0, 1] and got[None]["payload_bytes"] is None
+    assert got[2]["payload_bytes"] == 384  # the page is there twice: its pictures follow each other
 
 
 def test_interleaved_order_and_captions(spark):
     html = '<p>one <b>two</b></p><figure><img src="sha256:aa" alt="old"><figcaption>a  caption</figcaption></figure>three<script>no</script><img data-digest="bb" alt="alt"><p>four'
-    pages = spark.createDataFrame([(1, html, "u"), (2, None, None), (3, "", "u"), (3, "", "u")], "page_id long, html string, caption string")
+    pages = spark.createDataFrame([(1, html, "u", 5), (2, None, None, None), (3, "", "u", 6), (3, "", "u", 6)], "page_id long, html string, caption string, pos int")
     s = media.sequences(pages)
     items = {r["page_id"]: r["items"] for r in s.collect()}
     assert [(i["kind"], i["text"] or i["digest"], i["caption"]) for i in items[1]] == [("text", "one two", None), ("media", "aa", "a caption"), ("text", "three", None), ("media", "bb", "alt"), ("text", "four", None)]
     assert items[2] == items[3] == []
-    got = media.resolve(s.select("page_id", "items"), spark.createDataFrame([("aa", b"x", 7)], "digest string, media binary, pos int")).collect()
-    assert {(r["digest"], r["pos"], r["media_pos"]) for r in got} == {("aa", 1, 7), ("bb", 3, None)}
+    found = media.resolve(s, spark.createDataFrame([("aa", b"x", 7), (None, b"y", 8)], "digest string, media binary, pos int"))
+    assert found.columns == ["page_id", "page_caption", "page_pos", "pos", "caption", "digest", "media", "media_pos"]
+    assert {(r["digest"], r["pos"], r["caption"], r["page_caption"], r["page_pos"], r["media_pos"]) for r in found.collect()} == {("aa", 1, "a caption", "u", 5, 7), ("bb", 3, "alt", "u", 5, None)}
+    assert media.resolve(s, spark.createDataFrame([], "digest string, media binary")).filter("media is not null").count() == 0
