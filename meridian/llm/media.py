@@ -123,7 +123,7 @@ def resolve(pages: DataFrame, media: DataFrame, items: str = "items", digest: st
 
 WIDTH = 192
 #: Bytes of a payload in one picture, at most; a multiple of WIDTH. A longer payload is several pictures with text between them.
-PART = 10 * WIDTH
+PART = 40 * WIDTH
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, positions array<int>, captions array<string>"
 
@@ -231,20 +231,21 @@ def store(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     return part.mapInArrow(tidy(run), "digest string, media binary").groupBy("digest").agg(F.first("media").alias("media"))
 
 
-def reassembled(found: DataFrame, key: str, form: str = "media") -> DataFrame:
+def reassembled(found: DataFrame, key: str, form: str = "media", pictures: str | None = None) -> DataFrame:
     """Columns key and FEATURES: a row for each key of resolve()'s rows, from its pictures in the order of their positions.
 
     Pictures are read back from their stored bytes one after the other, so a payload of any length takes little memory. media_bytes and media_sha256 are of
     all stored pictures in that order. A key with a picture that was not found has null figures, and so has a null key, under which all
-    such rows come together. An empty table stays empty.
+    such rows come together. An empty table stays empty. pictures: a column with the number of pictures of the row's page, where keys are pages; the rows
+    of a page with one picture are then read where they lie, and only others are dealt by key.
     """
     from pyspark.sql.types import StructType
 
     spark = found.sparkSession
     small_batches(spark)
     new = StructType.fromDDL(FEATURES)
-    rows = found.select(F.col(key).alias("key"), "pos", "caption", F.col(form).alias("form"))
-    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "pos")
+    rows = found.select(F.col(key).alias("key"), "pos", "caption", F.col(form).alias("form"), F.lit(0).alias("n") if pictures is None else F.col(pictures).alias("n"))
+    deal = lambda d: d.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "pos")
     schema = StructType([StructType(rows.schema.fields[:1])["key"], *new])
 
     def run(batches):
@@ -282,4 +283,7 @@ def reassembled(found: DataFrame, key: str, form: str = "media") -> DataFrame:
 
     arrow = to_arrow_schema(schema)
     types, names = [f.type for f in arrow], arrow.names
-    return dealt.mapInArrow(tidy(run), schema).withColumnRenamed("key", key)
+    several = deal(rows if pictures is None else rows.filter("n <> 1 or n is null")).drop("n").mapInArrow(tidy(run), schema)
+    if pictures is not None:
+        several = rows.filter("n = 1").drop("n").mapInArrow(tidy(run), schema).unionByName(several)
+    return several.withColumnRenamed("key", key)

@@ -58,9 +58,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), media.payload_of(text).alias("payload"))
-    digest = F.sha2("payload", 256).alias("page")
+    digest = F.unhex(F.sha2("payload", 256)).alias("page")
     pages = docs.select(digest, media.page_of(F.col("payload")).alias("html")).dropDuplicates(["page"])
-    figures = media.reassembled(media.resolve(media.sequences(pages), media.store(docs)), "page")
+    items = media.sequences(pages).withColumn("pictures", F.size(F.filter("items", lambda x: x["kind"] == "media")))
+    figures = media.reassembled(media.resolve(items, media.store(docs)), "page", pictures="pictures")
     return docs.select("doc_id", "n_bytes", digest).join(figures, "page").drop("page")
 
 
