@@ -1,9 +1,12 @@
 """Approximate nearest neighbours by balanced posting lists.
 
-Centroids come from splitting a bounded sample in two again and again until every part is small, so lists are balanced. They are held in memory as a
-graph of neighbours, which a best-first search walks for many vectors at once. A vector goes to the list of its nearest centroid and, where others are
-nearly as near, to those as well, so vectors at a boundary are in several lists. A query reads the lists whose centroid is not further
-than a stated ratio of the nearest one's distance. Lists are stored and read in blocks, so a long list is many small groups.
+Centroids come from splitting a bounded sample in two again and again until every part is small, so lists are balanced; their number grows with the
+square root of the rows. They are held in memory as a graph of neighbours, which a best-first search walks for many vectors at once. A vector goes to the
+list of its nearest centroid and, where it lies at a boundary, to those of other centroids that are nearly as near. A query reads the lists whose centroid is
+not further than a stated ratio of the nearest one's distance; where the search ends before that ratio, the distances to all centroids are computed. Both
+ratios are fitted on the sample: the cheapest pair that finds the wanted share of its true neighbours.
+
+Lists are dealt in tiles: short lists together, long ones in blocks. So is what asks for them, which makes every group small.
 
 Largest inner product becomes smallest distance by one more dimension that brings all vectors to the same norm.
 """
@@ -22,16 +25,17 @@ from meridian.llm.common import durable, small_batches, tidy
 
 @dataclass
 class Params:
-    sample: int = 30_000  # vectors that the centroids are fitted on, at most
-    list_size: int = 64  # vectors of the sample in a list, at most
-    max_lists: int = 20_000  # bounds what is broadcast, whatever the input
-    copies: int = 6  # lists that a vector is in, at most
-    spread: float = 1.2  # a vector is in each list within this ratio of its nearest centroid's distance
-    recall: float = 0.97  # the ratio that selects a query's lists is set so that this share of neighbours in the sample is found
-    tried: int = 400  # queries of the sample that the ratio is set by
+    lists: float = 3.0  # times the square root of the number of rows: number of lists
+    max_lists: int = 8192  # bounds what is broadcast and, with per_list, the sample, whatever the input
+    per_list: int = 24  # vectors of the sample in a list, at most; the sample has lists * per_list vectors
+    copies: int = 4  # lists that a vector is in, at most
+    spreads: tuple[float, ...] = (1.005, 1.02, 1.1)  # a vector is in each list within such a ratio of its nearest centroid's distance; the cheapest is taken
+    recall: float = 0.95  # share of true neighbours in the sample that the ratio which selects a query's lists has to find
+    tried: int = 600  # queries of the sample that the ratios are fitted by
     degree: int = 32  # neighbours of a centroid in the graph
-    beam: int = 192  # candidates that the graph search keeps, and lists that a query reads at most
-    block: int = 2048  # vectors in a block of a list, about
+    beam: int = 128  # candidates that the graph search keeps; what lies further is found exactly
+    tile: int = 2048  # vectors in a tile, about
+    asking: int = 4096  # queries of a tile in a group, about
 
 
 def _split(x: np.ndarray, most: int, rng) -> list[np.ndarray]:
@@ -123,28 +127,91 @@ class Graph:
         return np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
 
 
-def fit_ratio(x: np.ndarray, centroids: np.ndarray, k: int, p: Params) -> float:
-    """Over all true neighbours in the sample of some of its vectors: the ratio, to the nearest centroid's distance, of the nearest list
-    that holds the neighbour; of these ratios the one that p.recall of them do not exceed.
+def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1) - 2 * x @ c.T, 0))
+
+
+@dataclass
+class Index:
+    """Centroids and the two ratios. top: the largest squared norm."""
+
+    graph: Graph
+    top: float
+    spread: float
+    ratio: float
+    copies: int
+    beam: int
+
+    def lifted(self, v: np.ndarray) -> np.ndarray:
+        """One more dimension: all have the same norm, so the nearest has the largest product."""
+        v = v / np.sqrt(self.top)
+        return np.concatenate([v, np.sqrt(np.maximum(1 - (v * v).sum(1), 0))[:, None]], 1).astype(np.float32)
+
+    def lists(self, x: np.ndarray, spread: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Of each lifted vector its nearest lists, and which of them it is in: the first always."""
+        ids, d = self.graph.search(x, 32)
+        ids, d = ids[:, : self.copies], np.sqrt(d[:, : self.copies])
+        keep = d <= d[:, :1] * (self.spread if spread is None else spread)
+        keep[:, 0] = True
+        return ids, keep
+
+    def chosen(self, x: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+        """Lists that each lifted query reads, as a row of booleans: those within the ratio, and the nearest ones until they hold over k rows.
+
+        own: rows whose nearest centroid each is. Where the search's last list is still wanted, all centroids are looked at.
+        """
+        n = len(self.graph.centroids)
+        out = np.zeros((len(x), n), bool)
+
+        def select(rows, ids, d):
+            near = d <= np.maximum(d[:, :1] * self.ratio, 1e-9)
+            near |= np.cumsum(own[ids], 1) - own[ids] <= k
+            np.put_along_axis(sub := np.zeros((len(rows), n), bool), ids, near, 1)
+            out[rows] = sub
+            return near[:, -1]
+
+        ids, d = self.graph.search(x, self.beam)
+        more = np.flatnonzero(select(np.arange(len(x)), ids, np.sqrt(d)))
+        if len(more) and ids.shape[1] < n:
+            d = _distances(x[more], self.graph.centroids)
+            order = np.argsort(d, 1, kind="stable")
+            select(more, order, np.take_along_axis(d, order, 1))
+        return out
+
+
+def train(v: np.ndarray, top: float, lists: int, k: int, p: Params) -> Index:
+    """An index from a sample. Ratios are those that read the fewest rows and find p.recall of the sample's own true neighbours of some of its vectors.
+
+    Lists of a neighbour come from the same search that stores it, so what the search misses is in the ratio.
     """
-    if len(x) <= 50 * k or len(centroids) == 1:  # a sample this small says little; all lists are read
-        return np.inf
-    norm = (centroids**2).sum(1)
-    to = lambda v: np.sqrt(np.maximum((v**2).sum(1)[:, None] + norm - 2 * v @ centroids.T, 0))
-    copies = min(p.copies, len(centroids))
-    lists = np.zeros((len(x), copies), np.int64)
-    for i in range(0, len(x), 4096):
-        d = to(x[i : i + 4096])
-        order = np.argsort(d, 1)[:, :copies]
-        near = np.take_along_axis(d, order, 1)
-        lists[i : i + 4096] = np.where(near <= near[:, :1] * p.spread, order, order[:, :1])
+    rng = np.random.default_rng(11)
+    index = Index(None, top, 1.0, np.inf, p.copies, p.beam)
+    x = index.lifted(v)
+    x = x[np.lexsort(x.T[:4])]
+    parts = _split(x, max(1, -(-len(x) // lists)), rng)
+    index.graph = Graph.build(np.stack([x[r].mean(0) for r in parts]), p.degree, rng)
+    if len(x) < 2:
+        index.spread = p.spreads[0]
+        return index
     ask = np.arange(0, len(x), max(1, len(x) // p.tried))
-    s = x[ask] @ x.T
-    s[np.arange(len(ask)), ask] = -np.inf
-    true = np.argpartition(-s, k, 1)[:, :k]
-    d = to(x[ask])
-    ratio = np.take_along_axis(d, lists[true].reshape(len(ask), -1), 1).reshape(*true.shape, copies).min(2) / np.maximum(d.min(1), 1e-9)[:, None]
-    return float(np.quantile(ratio, p.recall))
+    true = np.zeros((len(ask), min(k, len(x) - 1)), np.int64)
+    for i in range(0, len(ask), 256):
+        s = x[ask[i : i + 256]] @ x.T
+        s[np.arange(len(s)), ask[i : i + 256]] = -np.inf
+        true[i : i + 256] = np.argpartition(-s, true.shape[1] - 1, 1)[:, : true.shape[1]]
+    d = _distances(x[ask], index.graph.centroids)
+    d0 = np.maximum(d.min(1, keepdims=True), 1e-9)
+    best = np.inf
+    for spread in p.spreads:
+        own = [index.lists(x[i : i + 1024], spread) for i in range(0, len(x), 1024)]
+        ids, keep = np.concatenate([o[0] for o in own]), np.concatenate([o[1] for o in own])
+        size = np.bincount(ids[keep], minlength=d.shape[1])
+        to = np.stack([np.where(keep[t], d[j][ids[t]], np.inf).min(1) for j, t in enumerate(true)])
+        ratio = float(np.quantile(to / d0, p.recall)) + 1e-6
+        cost = float(((d <= d0 * ratio) @ size).mean())
+        if cost < best:
+            best, index.spread, index.ratio = cost, spread, ratio
+    return index
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -159,110 +226,147 @@ def valid(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") ->
     return v.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).filter(F.exists("v", lambda x: x != 0))
 
 
+def fit(vectors: DataFrame, k: int, p: Params) -> tuple[Index, int, int] | None:
+    """An index of valid() rows of the most frequent length, that length and the number of rows; None without any."""
+    dims = vectors.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max("norm2").alias("top")).orderBy(F.desc("n"), "d").first()
+    if dims is None:
+        return None
+    dim, total = dims["d"], dims["n"]
+    lists = int(np.clip(round(p.lists * total**0.5), 1, p.max_lists))
+    most = lists * p.per_list
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(5), "vec_id", "v"), 11) / F.lit(float(1 << 53))
+    picked = vectors.filter((F.size("v") == dim) & (draw < min(1.0, most / total))).select(F.col("v").cast("array<float>").alias("v")).limit(2 * most).toArrow()
+    x = picked.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim) if picked.num_rows else np.zeros((1, dim))
+    return train(x, dims["top"], lists, k, p), dim, total
+
+
+@dataclass
+class Tiles:
+    """How lists are dealt: list i has the tiles first[i] to first[i] + number[i] - 1, the queries of tile t are in asking[t] groups."""
+
+    first: np.ndarray
+    number: np.ndarray
+    asking: np.ndarray
+    own: np.ndarray
+
+    @classmethod
+    def of(cls, sizes: np.ndarray, own: np.ndarray, tile: int) -> Tiles:
+        first, number = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // tile))
+        at, filled = 0, 0
+        for i, n in enumerate(sizes.tolist()):
+            if filled and (number[i] > 1 or filled + n > tile):
+                at, filled = at + 1, 0
+            first[i] = at
+            if number[i] > 1:
+                at += int(number[i])
+            else:
+                filled += max(n, 1)
+        return cls(first, number, np.ones(int((first + number).max()), np.int64), own)
+
+    def ask(self, share: np.ndarray, queries: int, most: int) -> None:
+        """share: the part of all queries that reads each list, as far as known."""
+        part = np.zeros(len(self.asking))
+        for i, n in enumerate(self.number.tolist()):
+            part[self.first[i] : self.first[i] + n] += share[i]
+        self.asking = np.maximum(1, np.ceil(np.minimum(part, 1) * queries / most)).astype(np.int64)
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", params: Params | None = None) -> DataFrame:
     """Columns query_id, rank (from 1), vec_id, score: of each query the k rows found with the largest inner product, ties to the smaller id.
 
-    A row with the query's own id is no candidate; vectors that valid() leaves out are neither candidates nor queries. Scores are summed in double
-    precision over the given vectors. A query gets k rows, or all other rows if there are fewer: it reads further lists
-    until these hold enough. All vectors have one length (the most frequent; others take no part). Of rows that repeat an id, the largest vector (as arrays
-    compare) counts. Other columns are not looked at.
+    A row with the query's own id is no candidate; vectors that valid() leaves out are neither candidates nor queries, and products that are not finite
+    in double precision are left out. Scores are summed in double precision over the given vectors. A query gets k rows, or all other rows if there are fewer: it
+    reads further lists until these hold enough. All vectors have one length (the most frequent; others take no part). Of rows that repeat an id, the
+    largest vector (as arrays compare) counts. Other columns are not looked at, whatever their names. Without valid rows or queries the result is empty.
     """
     p = params or Params()
     spark = rows.sparkSession
     small_batches(spark)
     all_ = valid(rows, vec_id, vector)
-    dims = all_.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max("norm2").alias("top")).orderBy(F.desc("n"), "d").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if dims is None:
-        return spark.createDataFrame([], schema)
-    dim, total, top = dims["d"], dims["n"], dims["top"]
+    fitted = fit(all_, k, p)
+    if fitted is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    index, dim, _ = fitted
     one = lambda d: d.filter(F.size("v") == dim).groupBy("vec_id").agg(F.max("v").alias("v"))
     all_, asked = one(all_), one(valid(queries, vec_id, vector))
-
-    def lifted(v):  # one more dimension: all have the same norm, so the nearest has the largest product
-        v = v / np.sqrt(top)
-        return np.concatenate([v, np.sqrt(np.maximum(1 - (v * v).sum(1), 0))[:, None]], 1).astype(np.float32)
-
-    rate = min(1.0, p.sample / total)
-    picked = all_.filter((F.shiftrightunsigned(F.xxhash64(F.lit(5), "vec_id", "v"), 11) / F.lit(float(1 << 53))) < rate).select("v").limit(2 * p.sample).collect()
-    x = lifted(np.array([r["v"] for r in picked]).reshape(-1, dim) if picked else np.zeros((1, dim)))
-    x = x[np.lexsort(x.T[:4])]
-    rng = np.random.default_rng(11)
-    most = max(p.list_size, len(x) // p.max_lists)
-    parts = _split(x, most, rng)
-    graph = Graph.build(np.stack([x[r].mean(0) for r in parts]), p.degree, rng)
-    g = spark.sparkContext.broadcast(graph)
-    ratio = fit_ratio(x, graph.centroids, k, p)
-
-    def near(v, beam, most, ratio):
-        ids, d = g.value.search(v, beam)
-        d = np.sqrt(d)
-        keep = d <= np.maximum(d[:, :1] * ratio, 1e-9)
-        keep[:, most:] = False
-        return ids, keep
+    g = spark.sparkContext.broadcast(index)
 
     def assign(batches):
         for b in batches:
             for i in range(0, b.num_rows, 1024):
                 part = b.slice(i, 1024)
-                ids, keep = near(lifted(_vectors(part.column("v"))), 32, p.copies, p.spread)
+                ids, keep = g.value.lists(g.value.lifted(_vectors(part.column("v"))))
                 row, col = np.nonzero(keep)
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row, col].astype(np.int32)), pa.array(col == 0), part.column("vec_id").take(take), part.column("v").take(take)], names=["list", "own", "vec_id", "v"])
 
     postings = durable(all_.mapInArrow(tidy(assign), "list int, own boolean, vec_id long, v array<double>"), "ann-postings")
-    sizes = {r["list"]: (r["n"], r["own"]) for r in postings.groupBy("list").agg(F.count("*").alias("n"), F.sum(F.col("own").cast("long")).alias("own")).collect()}
-    n_lists = len(graph.centroids)
-    blocks = np.array([-(-sizes.get(i, (0, 0))[0] // p.block) for i in range(n_lists)])
-    own = np.array([sizes.get(i, (0, 0))[1] for i in range(n_lists)])
-    per_list = spark.sparkContext.broadcast((blocks, own))
+    n_lists = len(index.graph.centroids)
+    sizes, own = np.zeros(n_lists, np.int64), np.zeros(n_lists, np.int64)
+    for r in postings.groupBy("list").agg(F.count("*").alias("n"), F.sum(F.col("own").cast("long")).alias("own")).collect():
+        sizes[r["list"]], own[r["list"]] = r["n"], r["own"]
+    tiles = Tiles.of(sizes, own, p.tile)
+    n_asked = asked.count()
+    some = asked.filter(F.shiftrightunsigned(F.xxhash64(F.lit(6), "vec_id"), 11) / F.lit(float(1 << 53)) < min(1.0, p.tried / max(n_asked, 1))).select("v").limit(2 * p.tried).toArrow()
+    if some.num_rows:
+        tiles.ask(index.chosen(index.lifted(_vectors(some.column("v").combine_chunks())), own, k).mean(0), n_asked, p.asking)
+    dealt = spark.sparkContext.broadcast(tiles)
 
     def ask(batches):
-        blocks, own = per_list.value
+        t = dealt.value
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                v = lifted(_vectors(part.column("v")))
-                ids, keep = near(v, p.beam, p.beam, ratio)
-                # lists until they hold k rows besides the query itself
-                full = np.cumsum(own[ids], 1) - own[ids] <= k
-                keep |= full
-                row, col = np.nonzero(keep)
-                lists = ids[row, col]
-                short = np.flatnonzero(own[ids].sum(1) <= k)  # the search's lists are too few: all lists
-                if len(short):
-                    row = np.concatenate([row[~np.isin(row, short)], np.repeat(short, n_lists)])
-                    lists = np.concatenate([lists[~np.isin(np.nonzero(keep)[0], short)], np.tile(np.arange(n_lists), len(short))])
-                n = blocks[lists]
-                row, block = np.repeat(row, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(lists, n).astype(np.int32)), pa.array(block.astype(np.int32)), part.column("vec_id").take(take), part.column("v").take(take)], names=["list", "block", "query_id", "q"])
-
-    # a block is a hash of the id, so a list of any length is dealt in parts
-    wide = spark.createDataFrame([(i, int(n)) for i, n in enumerate(blocks.tolist()) if n > 1] or [(-1, 1)], "list int, blocks int")
-    stored = postings.join(F.broadcast(wide), "list", "left").select("list", F.pmod(F.xxhash64("vec_id"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"), "vec_id", "v")
-    probes = asked.mapInArrow(tidy(ask), "list int, block int, query_id long, q array<double>")
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                row, lists = np.nonzero(g.value.chosen(g.value.lifted(_vectors(part.column("v"))), t.own, k))
+                n = t.number[lists]
+                row, lists = np.repeat(row, n), np.repeat(lists, n)
+                tile = t.first[lists] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (tile[1:] != tile[:-1]))) if len(row) else np.zeros(0, np.int64)
+                take = pa.array(row[new])
+                wanted = pa.ListArray.from_arrays(pa.array(np.append(new, len(row)).astype(np.int32)), pa.array(lists.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(tile[new].astype(np.int32)), wanted, part.column("vec_id").take(take), part.column("v").take(take)], names=["tile", "lists", "query_id", "q"])
+
+    # a tile of a long list and a group of a tile's queries are hashes of the ids
+    some_of = lambda of, n: F.pmod(F.xxhash64(F.lit(23), of), n).cast("int")
+    places = spark.createDataFrame([(i, int(f), int(n)) for i, (f, n) in enumerate(zip(tiles.first, tiles.number, strict=True))], "list int, first int, number int")
+    groups = spark.createDataFrame([(i, int(n)) for i, n in enumerate(tiles.asking)], "tile int, groups int")
+    stored = postings.join(F.broadcast(places), "list").select((F.col("first") + some_of("vec_id", F.col("number"))).alias("tile"), "list", "vec_id", "v")
+    stored = stored.join(F.broadcast(groups), "tile").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
+    probes = asked.mapInArrow(tidy(ask), "tile int, lists array<int>, query_id long, q array<double>").join(F.broadcast(groups), "tile").withColumn("part", some_of("query_id", F.col("groups"))).drop("groups")
 
     def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not left.num_rows or not right.num_rows:
             return empty
-        x, xi = _vectors(left.column("v").combine_chunks()), left.column("vec_id").to_numpy()
+        ids, place, column = np.unique(left.column("vec_id").to_numpy(), return_index=True, return_inverse=True)  # a vector in several lists of the tile once
+        x = _vectors(left.column("v").combine_chunks())[place]
+        of = left.column("list").to_numpy()
+        by = np.argsort(of, kind="stable")
+        names, start = np.unique(of[by], return_index=True)
+        members = dict(zip(names.tolist(), np.split(column[by], start[1:]), strict=True))
         q, qi = _vectors(right.column("q").combine_chunks()), right.column("query_id").to_numpy()
+        wanted = right.column("lists").combine_chunks()
+        reads, edge = wanted.flatten().to_numpy(), wanted.offsets.to_numpy() - wanted.offsets[0].as_py()
+        reader = np.repeat(np.arange(len(q)), np.diff(edge))
         out = []
-        step = max(1, 4_000_000 // len(x))
+        step = max(1, 2_000_000 // len(ids))
         for i in range(0, len(q), step):
-            s = q[i : i + step] @ x.T
-            s[qi[i : i + step, None] == xi[None]] = -np.inf
-            n = min(k, len(x))
-            least = np.partition(s, len(x) - n, 1)[:, len(x) - n]
+            s = np.full((min(step, len(q) - i), len(ids)), -np.inf)
+            own = (reader >= i) & (reader < i + step)
+            for name in np.unique(reads[own]).tolist():
+                if name in members:
+                    who, cols = reader[own & (reads == name)], members[name]
+                    s[np.ix_(who - i, cols)] = q[who] @ x[cols].T
+            s[qi[i : i + step, None] == ids[None]] = -np.inf
+            n = min(k, len(ids))
+            least = np.partition(s, len(ids) - n, 1)[:, len(ids) - n]
             for j in range(len(s)):
-                c = np.flatnonzero((s[j] >= least[j] - 1e-9 * (1 + abs(least[j]) if np.isfinite(least[j]) else 1)) & np.isfinite(s[j]))
+                c = np.flatnonzero((s[j] >= (least[j] - 1e-9 * (1 + abs(least[j])) if np.isfinite(least[j]) else -np.inf)) & np.isfinite(s[j]))
                 exact = (x[c] * q[i + j]).sum(1)  # the same order of sums wherever the vector is
-                best = np.lexsort((xi[c], -exact))[:k]
-                out.append((np.full(len(best), qi[i + j]), xi[c][best], exact[best]))
+                best = np.lexsort((ids[c], -exact))[:k]
+                out.append((np.full(len(best), qi[i + j]), ids[c][best], exact[best]))
         return pa.table({"query_id": np.concatenate([o[0] for o in out]), "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])}) if out else empty
 
-    found = stored.groupBy("list", "block").cogroup(probes.groupBy("list", "block")).applyInArrow(score, "query_id long, vec_id long, score double")
+    found = stored.groupBy("tile", "part").cogroup(probes.groupBy("tile", "part")).applyInArrow(score, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

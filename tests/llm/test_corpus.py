@@ -235,7 +235,7 @@ def test_neighbours(spark):
     x[500:900] = x[500]  # many equal vectors
     rows = [(i, v.tolist(), "z") for i, v in enumerate(x)] + [(5001, None, "z"), (5002, [0.0] * 16, "z"), (5003, [float("nan")] * 16, None), (5004, [1.0, None] * 8, "z"), (5005, [float("inf")] + [0.0] * 15, "z"), (None, x[0].tolist(), "z"), (5006, [1.0] * 3, "z"), (5007, [], "z"), (7, x[7].tolist(), "z")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
-    small = ann.Params(sample=2000, list_size=32, block=64)
+    small = ann.Params(tile=64, asking=20)
     got = ann.nearest(df, df.filter("vec_id % 20 = 0"), k=20, params=small).collect()
     by = {}
     for r in got:
@@ -261,6 +261,65 @@ def test_few_neighbours(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def brute_neighbours(x, ids, queries, k):
+    """Of each query (a place in x) the ids of its k nearest, by the contract's measure and ties."""
+    out = {}
+    for q in queries:
+        s = (x * x[q]).sum(1)
+        s[q] = -np.inf
+        out[int(ids[q])] = ids[np.lexsort((ids, -s))[:k]].tolist()
+    return out
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_neighbours_of_embeddings(spark, sf):
+    """The query itself, with its own parameters: recall of 0.9 at least against brute force."""
+    at = f"/root/testdata/{sf}"
+    rows = spark.read.parquet(f"{at}/embeddings.parquet").orderBy("vec_id").collect()
+    x, ids = np.array([r["embedding"] for r in rows], float), np.array([r["vec_id"] for r in rows])
+    want = brute_neighbours(x, ids, np.flatnonzero(ids % 20 == 0), 20)
+    got = {}
+    for r in sorted(queries.op1_ann(spark, at).collect()):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert len(got[r["query_id"]]) == r["rank"]
+    assert got.keys() == want.keys() and all(len(g) == min(20, len(x) - 1) for g in got.values())
+    assert np.mean([len(set(got[q]) & set(want[q])) / len(want[q]) for q in want]) >= 0.9
+
+
+def test_index_prunes_and_its_lists_grow():
+    """Vectors in groups: few lists are read, few vectors are stored more than once, and recall holds without a limit on lists."""
+    rng = np.random.default_rng(8)
+    p = ann.Params()
+    n = {}
+    for rows in (4000, 16_000):
+        x = np.repeat(rng.normal(size=(80, 24)) * 3, rows // 80, 0) + rng.normal(size=(rows, 24))
+        v = x / np.sqrt((x * x).sum(1).max())
+        lists = int(round(p.lists * rows**0.5))
+        index = ann.train(x[rng.permutation(rows)[: lists * p.per_list]], float((x * x).sum(1).max()), lists, 20, p)
+        ids, keep = index.lists(index.lifted(x))
+        n[rows] = len(index.graph.centroids)
+        assert keep.sum() < 3 * rows
+        own = np.bincount(ids[:, 0], minlength=n[rows])
+        size = np.bincount(ids[keep], minlength=n[rows])
+        ask = np.arange(0, rows, 50)
+        reads = index.chosen(index.lifted(x[ask]), own, 20)
+        assert (reads @ size).mean() < 0.5 * rows
+        s = v[ask] @ v.T
+        s[np.arange(len(ask)), ask] = -np.inf
+        true = np.argpartition(-s, 20, 1)[:, :20]
+        assert np.mean([(reads[j][ids[t]] & keep[t]).any(1).mean() for j, t in enumerate(true)]) >= 0.9
+        narrow = ann.Index(index.graph, index.top, index.spread, index.ratio, index.copies, 2)  # a search that ends at once gives the same lists
+        assert (narrow.chosen(index.lifted(x[ask]), own, 20) == ann.Index(index.graph, index.top, index.spread, index.ratio, index.copies, n[rows]).chosen(index.lifted(x[ask]), own, 20)).mean() > 0.999
+    assert n[16_000] > 1.7 * n[4000]
+
+
+def test_tiles_hold_all_lists():
+    t = ann.Tiles.of(np.array([5, 0, 300, 40, 60, 1, 99, 2]), np.zeros(8, np.int64), 100)
+    assert t.number.tolist() == [1, 1, 3, 1, 1, 1, 1, 1] and t.first.tolist() == [0, 0, 1, 4, 4, 5, 5, 6]
+    t.ask(np.array([0.5, 0, 1, 0, 0, 0, 0, 0.1]), 1000, 100)
+    assert t.asking.tolist() == [5, 10, 10, 10, 1, 1, 1]
+
+
 def test_graph_search_finds_the_nearest_centroids():
     rng = np.random.default_rng(4)
     c = rng.normal(size=(500, 12)).astype(np.float32)
