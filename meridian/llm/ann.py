@@ -4,7 +4,8 @@ Centroids come from splitting a bounded sample in two again and again until ever
 square root of the rows. They are held in memory as a graph of neighbours, which a best-first search walks for many vectors at once. A vector goes to the
 list of its nearest centroid and, where it lies at a boundary, to those of other centroids that are nearly as near. A query reads the lists whose centroid is
 not further than a stated ratio of the nearest one's distance; where the search ends before that ratio, the distances to all centroids are computed. Both
-ratios are fitted on the sample: the cheapest pair that finds the wanted share of its true neighbours.
+ratios are fitted on the sample: the cheapest pair that finds the wanted share of its true neighbours. A query is first compared with some rows drawn from
+all; lists then give only rows that reach the k-th best of these, so few leave a list whatever their number.
 
 Lists are dealt in tiles: short lists together, long ones in blocks. So is what asks for them, which makes every group small.
 
@@ -29,13 +30,16 @@ class Params:
     max_lists: int = 8192  # bounds what is broadcast and, with per_list, the sample, whatever the input
     per_list: int = 24  # vectors of the sample in a list, at most; the sample has lists * per_list vectors
     copies: int = 4  # lists that a vector is in, at most
-    spreads: tuple[float, ...] = (1.005, 1.02, 1.1)  # a vector is in each list within such a ratio of its nearest centroid's distance; the cheapest is taken
+    spreads: tuple[float, ...] = (1.002, 1.02, 1.1)  # a vector is in each list within such a ratio of its nearest centroid's distance; the cheapest is taken
     recall: float = 0.95  # share of true neighbours in the sample that the ratio which selects a query's lists has to find
-    tried: int = 600  # queries of the sample that the ratios are fitted by
+    tested: int = 8192  # rows of another sample, drawn from all, that the ratios are fitted on, at most
+    tried: int = 600  # of these, those that are tried as queries
     degree: int = 32  # neighbours of a centroid in the graph
     beam: int = 128  # candidates that the graph search keeps; what lies further is found exactly
     tile: int = 2048  # vectors in a tile, about
     asking: int = 4096  # queries of a tile in a group, about
+    bar: float = 20.0  # times the square root of the number of rows: rows that each query is compared with first, for a product that its k nearest reach
+    max_bar: int = 100_000  # bounds these, as they are broadcast
 
 
 def _split(x: np.ndarray, most: int, rng) -> list[np.ndarray]:
@@ -143,10 +147,15 @@ class Index:
     beam: int
 
     def lifted(self, v: np.ndarray) -> np.ndarray:
-        """One more dimension: all have the same norm, so the nearest has the largest product."""
+        """Rows with one more dimension, in which all have the same norm: so the nearest to a probe has the largest product."""
         v = v / np.sqrt(self.top)
         return np.concatenate([v, np.sqrt(np.maximum(1 - (v * v).sum(1), 0))[:, None]], 1).astype(np.float32)
 
+    def probe(self, v: np.ndarray) -> np.ndarray:
+        """Queries among lifted rows: of norm 1, nothing in the dimension more."""
+        v = v / np.sqrt((v * v).sum(1))[:, None]
+        return np.concatenate([v, np.zeros((len(v), 1))], 1).astype(np.float32)
+
     def lists(self, x: np.ndarray, spread: float | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Of each lifted vector its nearest lists, and which of them it is in: the first always."""
         ids, d = self.graph.search(x, 32)
@@ -156,7 +165,7 @@ class Index:
         return ids, keep
 
     def chosen(self, x: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
-        """Lists that each lifted query reads, as a row of booleans: those within the ratio, and the nearest ones until they hold over k rows.
+        """Lists that each probe reads, as a row of booleans: those within the ratio, and the nearest ones until they hold over k rows.
 
         own: rows whose nearest centroid each is. Where the search's last list is still wanted, all centroids are looked at.
         """
@@ -179,27 +188,30 @@ class Index:
         return out
 
 
-def train(v: np.ndarray, top: float, lists: int, k: int, p: Params) -> Index:
-    """An index from a sample. Ratios are those that read the fewest rows and find p.recall of the sample's own true neighbours of some of its vectors.
+def train(v: np.ndarray, test: np.ndarray, top: float, lists: int, k: int, p: Params, total: int) -> Index:
+    """An index from a sample v, and ratios from another sample of all rows (total): those that read the fewest rows and find p.recall of the true neighbours that
+    some of its vectors have in it. As many neighbours of each are looked for as k of all rows leave there, for those are as near as the k nearest of all.
 
     Lists of a neighbour come from the same search that stores it, so what the search misses is in the ratio.
     """
     rng = np.random.default_rng(11)
-    index = Index(None, top, 1.0, np.inf, p.copies, p.beam)
+    index = Index(None, top, p.spreads[0], np.inf, p.copies, p.beam)
     x = index.lifted(v)
     x = x[np.lexsort(x.T[:4])]
     parts = _split(x, max(1, -(-len(x) // lists)), rng)
     index.graph = Graph.build(np.stack([x[r].mean(0) for r in parts]), p.degree, rng)
+    test = test[np.lexsort(test.T[:4])]
+    x = index.lifted(test)
     if len(x) < 2:
-        index.spread = p.spreads[0]
         return index
     ask = np.arange(0, len(x), max(1, len(x) // p.tried))
-    true = np.zeros((len(ask), min(k, len(x) - 1)), np.int64)
+    probes = index.probe(test[ask])
+    true = np.zeros((len(ask), min(-(-k * len(x) // max(total, len(x))), len(x) - 1)), np.int64)
     for i in range(0, len(ask), 256):
-        s = x[ask[i : i + 256]] @ x.T
+        s = probes[i : i + 256] @ x.T
         s[np.arange(len(s)), ask[i : i + 256]] = -np.inf
         true[i : i + 256] = np.argpartition(-s, true.shape[1] - 1, 1)[:, : true.shape[1]]
-    d = _distances(x[ask], index.graph.centroids)
+    d = _distances(probes, index.graph.centroids)
     d0 = np.maximum(d.min(1, keepdims=True), 1e-9)
     best = np.inf
     for spread in p.spreads:
@@ -233,11 +245,13 @@ def fit(vectors: DataFrame, k: int, p: Params) -> tuple[Index, int, int] | None:
         return None
     dim, total = dims["d"], dims["n"]
     lists = int(np.clip(round(p.lists * total**0.5), 1, p.max_lists))
-    most = lists * p.per_list
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(5), "vec_id", "v"), 11) / F.lit(float(1 << 53))
-    picked = vectors.filter((F.size("v") == dim) & (draw < min(1.0, most / total))).select(F.col("v").cast("array<float>").alias("v")).limit(2 * most).toArrow()
-    x = picked.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim) if picked.num_rows else np.zeros((1, dim))
-    return train(x, dims["top"], lists, k, p), dim, total
+
+    def drawn(seed: int, most: int) -> np.ndarray:
+        draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "vec_id", "v"), 11) / F.lit(float(1 << 53))
+        rows = vectors.filter((F.size("v") == dim) & (draw < min(1.0, most / total))).select(F.col("v").cast("array<float>").alias("v")).limit(2 * most).toArrow()
+        return _vectors(rows.column("v").combine_chunks()) if rows.num_rows else np.zeros((1, dim))
+
+    return train(drawn(5, lists * p.per_list), drawn(7, p.tested), dims["top"], lists, k, p, total), dim, total
 
 
 @dataclass
@@ -286,7 +300,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec
     fitted = fit(all_, k, p)
     if fitted is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index, dim, _ = fitted
+    index, dim, total = fitted
     one = lambda d: d.filter(F.size("v") == dim).groupBy("vec_id").agg(F.max("v").alias("v"))
     all_, asked = one(all_), one(valid(queries, vec_id, vector))
     g = spark.sparkContext.broadcast(index)
@@ -306,10 +320,39 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec
     for r in postings.groupBy("list").agg(F.count("*").alias("n"), F.sum(F.col("own").cast("long")).alias("own")).collect():
         sizes[r["list"]], own[r["list"]] = r["n"], r["own"]
     tiles = Tiles.of(sizes, own, p.tile)
+    most = min(round(p.bar * total**0.5), p.max_bar)
+    drawn = F.shiftrightunsigned(F.xxhash64(F.lit(8), "vec_id"), 11) / F.lit(float(1 << 53)) < min(1.0, most / total)
+    bar = postings.filter(F.col("own") & drawn).select("vec_id", "v").limit(2 * most).toArrow()
+    bars = spark.sparkContext.broadcast((bar.column("vec_id").to_numpy(), _vectors(bar.column("v").combine_chunks()))) if bar.num_rows else None
+
+    def first(batches):
+        """Of each query the best of the drawn rows; floor: what k of them reach, minus infinity where there are fewer."""
+        for b in batches:
+            ids, v = b.column("vec_id").to_numpy(), _vectors(b.column("v"))
+            floor, best, score, n = np.full(len(v), -np.inf), [], [], []
+            for i in range(0, len(v), 256):
+                bar_ids, x = bars.value if bars else (np.zeros(0, np.int64), np.zeros((0, dim)))
+                s = v[i : i + 256] @ x.T
+                s[ids[i : i + 256, None] == bar_ids[None]] = -np.inf
+                for j, row in enumerate(s):
+                    c = np.argpartition(-row, k)[: k + 1] if len(row) > k + 1 else np.arange(len(row))
+                    c = c[np.isfinite(row[c])]
+                    exact = (x[c] * v[i + j]).sum(1)
+                    top = np.lexsort((bar_ids[c], -exact))[:k]
+                    best.append(bar_ids[c][top])
+                    score.append(exact[top])
+                    n.append(len(top))
+                    if len(top) == k:
+                        floor[i + j] = exact[top][-1]
+            edge = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
+            found = pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *best])), pa.array(np.concatenate([np.zeros(0), *score]))], names=["vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(floor), pa.ListArray.from_arrays(edge, found)], names=["query_id", "q", "floor", "best"])
+
+    asked = durable(asked.mapInArrow(tidy(first), "query_id long, q array<double>, floor double, best array<struct<vec_id:long,score:double>>"), "ann-queries")
     n_asked = asked.count()
-    some = asked.filter(F.shiftrightunsigned(F.xxhash64(F.lit(6), "vec_id"), 11) / F.lit(float(1 << 53)) < min(1.0, p.tried / max(n_asked, 1))).select("v").limit(2 * p.tried).toArrow()
+    some = asked.filter(F.shiftrightunsigned(F.xxhash64(F.lit(6), "query_id"), 11) / F.lit(float(1 << 53)) < min(1.0, p.tried / max(n_asked, 1))).select("q").limit(2 * p.tried).toArrow()
     if some.num_rows:
-        tiles.ask(index.chosen(index.lifted(_vectors(some.column("v").combine_chunks())), own, k).mean(0), n_asked, p.asking)
+        tiles.ask(index.chosen(index.probe(_vectors(some.column("q").combine_chunks())), own, k).mean(0), n_asked, p.asking)
     dealt = spark.sparkContext.broadcast(tiles)
 
     def ask(batches):
@@ -317,14 +360,14 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                row, lists = np.nonzero(g.value.chosen(g.value.lifted(_vectors(part.column("v"))), t.own, k))
+                row, lists = np.nonzero(g.value.chosen(g.value.probe(_vectors(part.column("q"))), t.own, k))
                 n = t.number[lists]
                 row, lists = np.repeat(row, n), np.repeat(lists, n)
                 tile = t.first[lists] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (tile[1:] != tile[:-1]))) if len(row) else np.zeros(0, np.int64)
                 take = pa.array(row[new])
                 wanted = pa.ListArray.from_arrays(pa.array(np.append(new, len(row)).astype(np.int32)), pa.array(lists.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(tile[new].astype(np.int32)), wanted, part.column("vec_id").take(take), part.column("v").take(take)], names=["tile", "lists", "query_id", "q"])
+                yield pa.RecordBatch.from_arrays([pa.array(tile[new].astype(np.int32)), wanted, *[part.column(c).take(take) for c in ("query_id", "q", "floor")]], names=["tile", "lists", "query_id", "q", "floor"])
 
     # a tile of a long list and a group of a tile's queries are hashes of the ids
     some_of = lambda of, n: F.pmod(F.xxhash64(F.lit(23), of), n).cast("int")
@@ -332,7 +375,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec
     groups = spark.createDataFrame([(i, int(n)) for i, n in enumerate(tiles.asking)], "tile int, groups int")
     stored = postings.join(F.broadcast(places), "list").select((F.col("first") + some_of("vec_id", F.col("number"))).alias("tile"), "list", "vec_id", "v")
     stored = stored.join(F.broadcast(groups), "tile").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
-    probes = asked.mapInArrow(tidy(ask), "tile int, lists array<int>, query_id long, q array<double>").join(F.broadcast(groups), "tile").withColumn("part", some_of("query_id", F.col("groups"))).drop("groups")
+    probes = asked.drop("best").mapInArrow(tidy(ask), "tile int, lists array<int>, query_id long, q array<double>, floor double").join(F.broadcast(groups), "tile").withColumn("part", some_of("query_id", F.col("groups"))).drop("groups")
 
     def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
@@ -344,7 +387,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec
         by = np.argsort(of, kind="stable")
         names, start = np.unique(of[by], return_index=True)
         members = dict(zip(names.tolist(), np.split(column[by], start[1:]), strict=True))
-        q, qi = _vectors(right.column("q").combine_chunks()), right.column("query_id").to_numpy()
+        q, qi, floors = _vectors(right.column("q").combine_chunks()), right.column("query_id").to_numpy(), right.column("floor").to_numpy()
         wanted = right.column("lists").combine_chunks()
         reads, edge = wanted.flatten().to_numpy(), wanted.offsets.to_numpy() - wanted.offsets[0].as_py()
         reader = np.repeat(np.arange(len(q)), np.diff(edge))
@@ -359,14 +402,17 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec
                     s[np.ix_(who - i, cols)] = q[who] @ x[cols].T
             s[qi[i : i + step, None] == ids[None]] = -np.inf
             n = min(k, len(ids))
-            least = np.partition(s, len(ids) - n, 1)[:, len(ids) - n]
+            least = np.maximum(np.partition(s, len(ids) - n, 1)[:, len(ids) - n], floors[i : i + step])
             for j in range(len(s)):
                 c = np.flatnonzero((s[j] >= (least[j] - 1e-9 * (1 + abs(least[j])) if np.isfinite(least[j]) else -np.inf)) & np.isfinite(s[j]))
+                if not len(c):
+                    continue
                 exact = (x[c] * q[i + j]).sum(1)  # the same order of sums wherever the vector is
                 best = np.lexsort((ids[c], -exact))[:k]
                 out.append((np.full(len(best), qi[i + j]), ids[c][best], exact[best]))
         return pa.table({"query_id": np.concatenate([o[0] for o in out]), "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])}) if out else empty
 
     found = stored.groupBy("tile", "part").cogroup(probes.groupBy("tile", "part")).applyInArrow(score, "query_id long, vec_id long, score double")
+    found = found.unionByName(asked.select("query_id", F.inline("best")))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
