@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import durable, map_texts, tidy
+from meridian.llm.common import durable, free, map_texts, tidy
 
 #: The pattern that splits texts before byte-level merges, white space as Unicode has it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -125,7 +125,7 @@ def encode(docs: DataFrame, codec: Codec, text: str = "text", table: pa.Table |
     """docs with n_tokens and the named outputs of each whole text (null: empty); ids_sha256 is of the decimal ids joined by commas.
 
     Equal to the tokenizer's own encoding without special tokens added, and to its decoding with none skipped. Rows and other columns
-    stay as they are; columns of the new names are replaced. table: from encoded_words(); by default of the most frequent words of docs.
+    stay as they are, whatever their names; columns of the new names are replaced. An empty table stays empty. table: from encoded_words(); by default of the most frequent words of docs.
     """
     new = ("n_tokens", *outputs)
     rest = docs.drop(*[c for c in docs.columns if c.lower() in new])
@@ -180,4 +180,4 @@ def encode(docs: DataFrame, codec: Codec, text: str = "text", table: pa.Table |
         kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
         return [pa.array(v, kinds.get(o, pa.string())) for o, v in out.items()]
 
-    return map_texts(rest.withColumn("__text", F.col(text)), "__text", run, ", ".join(["n_tokens long", *[f"{o} {OUTPUTS[o]}" for o in outputs]]), state.clear)
+    return map_texts(rest.withColumn(own := free(rest, "own_text"), F.col(text)), own, run, ", ".join(["n_tokens long", *[f"{o} {OUTPUTS[o]}" for o in outputs]]), state.clear)

@@ -73,17 +73,23 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             delete(spark, path)
 
 
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written to the shared folder and read again, and the path, which delete() takes."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def durable(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage and survives lost executors.
 
-    The table stays until the scratch() around it ends; with keep, until the one around that does; where there is none, until the folder is emptied.
+    The table stays until the scratch() around it ends; with keep, or where there is none, until the folder is emptied.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    out, path = written(df, name)
     if not keep and (mine := _tables.get()) is not None:
         mine.append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +97,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A name for a column of an operator's own that none of df's has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def split_of(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; null for a null id."""
     return F.crc32(doc_id.cast("string")) % parts

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import bounded_sample, map_texts, platt, sigmoid, spans
+from meridian.llm.common import bounded_sample, free, map_texts, platt, sigmoid, spans
 
 DIM_BITS = 12
 DIM = 1 << DIM_BITS
@@ -141,7 +141,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", pred: str
     """docs with a language and a score, 0 to 1, of each whole text; no column but text is looked at.
 
     A null text and one without a letter are `und` with score 0, and so is every text if there was nothing to learn from. Rows and other
-    columns stay as they are; columns of the new names are replaced. Texts of any length are counted in pieces.
+    columns stay as they are, whatever their names; columns of the new names are replaced. Texts of any length are counted in pieces. An empty table stays empty.
     """
     rest = docs.drop(*[c for c in docs.columns if c.lower() in (pred.lower(), score.lower())])
     if model is None:
@@ -157,7 +157,8 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", pred: str
         return [pa.array(langs[np.concatenate(best)], pa.string()), pa.array(np.concatenate(sure).astype(float), pa.float64())]
 
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    both = rest.withColumns({"__text": F.col(text), "__lettered": lettered})
-    return map_texts(both, "__text", label, "__lang string, __score double").select(
-        *rest.columns, F.when(F.col("__lettered"), F.col("__lang")).otherwise("und").alias(pred), F.when(F.col("__lettered"), F.col("__score")).otherwise(0.0).alias(score)
+    own, told, found, sure = (free(rest, f"own_{c}") for c in ("text", "lettered", "lang", "score"))
+    both = rest.withColumns({own: F.col(text), told: lettered})
+    return map_texts(both, own, label, f"`{found}` string, `{sure}` double").select(
+        *[F.col(f"`{c}`") for c in rest.columns], F.when(F.col(told), F.col(found)).otherwise("und").alias(pred), F.when(F.col(told), F.col(sure)).otherwise(0.0).alias(score)
     )

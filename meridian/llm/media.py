@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import small_batches, tidy
+from meridian.llm.common import free, small_batches, tidy
 
 ITEM = "struct<pos:int,kind:string,text:string,digest:string,caption:string>"
 _BLOCK = {"p", "div", "br", "li", "ul", "ol", "tr", "td", "th", "table", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "figure", "blockquote", "pre", "title"}
@@ -112,11 +112,12 @@ def resolve(pages: DataFrame, media: DataFrame, items: str = "items", digest: st
     """
     own = [c for c in pages.columns if c != items]
     kept = [F.col(f"`{c}`").alias(f"page_{c}" if c.lower() in ("pos", "caption", "digest") else c) for c in own]
-    item = F.explode(F.filter(F.col(f"`{items}`"), lambda x: x["kind"] == "media")).alias("\0item")
-    refs = pages.select(*kept, item).select("*", F.col("`\0item`.pos").alias("pos"), F.col("`\0item`.caption").alias("caption"), F.col("`\0item`.digest").alias("digest")).drop("\0item")
+    item = free(pages, "own_item")
+    refs = pages.select(*kept, F.explode(F.filter(F.col(f"`{items}`"), lambda x: x["kind"] == "media")).alias(item)).select("*", *[F.col(f"`{item}`.{c}").alias(c) for c in ("pos", "caption", "digest")]).drop(item)
     taken = {c.lower() for c in refs.columns}
-    other = media.select(F.col(digest).alias("\0key"), *[F.col(f"`{c}`").alias(f"media_{c}" if c.lower() in taken else c) for c in media.columns if c != digest])
-    return refs.join(other, refs["digest"] == other["\0key"], "left").drop("\0key")
+    key = free(refs, free(media, "own_key"))
+    other = media.select(F.col(digest).alias(key), *[F.col(f"`{c}`").alias(f"media_{c}" if c.lower() in taken else c) for c in media.columns if c != digest])
+    return refs.join(other, refs["digest"] == other[key], "left").drop(key)
 
 
 # --- payloads: texts as lossless 8-bit grey pictures

@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import bounded_sample, map_texts, platt, sigmoid
+from meridian.llm.common import bounded_sample, free, map_texts, platt, sigmoid
 
 LEVEL = 3
 #: Short pieces keep the dictionaries' part large against what the text itself teaches the compressor.
@@ -70,14 +70,15 @@ def train(texts: list[bytes], label: list[int]) -> Model:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int, doc_id: str = "doc_id") -> DataFrame:
-    """About per_class rows (text, label, n) of each label 0 and 1, n the label's rows in all; ids with a null or two different labels are left out.
+    """About per_class rows (text, label, n) of each label 0 and 1, n the label's rows in all; ids with a null or two different labels are left out. Of texts
+    that share an id the greatest counts.
 
     The chosen ids, some thousands at most whatever the input, are broadcast to the documents.
     """
     told = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.min(label).alias("label"), F.max(label).alias("most")).filter("label = most").select(F.col(doc_id).alias("_id"), "label")
     chosen = bounded_sample(told, "label", per_class, 2 * per_class, ["_id"])
     rows = docs.filter(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes)).select(F.col(doc_id).alias("_id"), "text")
-    return rows.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"])
+    return rows.join(F.broadcast(chosen), "_id").groupBy("_id", "label").agg(F.max("text").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1500, max_bytes: int = 50_000) -> Model:
@@ -89,7 +90,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
 def rate(docs: DataFrame, model: Model, text: str = "text", score: str = "quality_score") -> DataFrame:
     """docs with a score of each whole text, 0 to 1, higher for good; a null text counts as empty and has the prior's score.
 
-    Rows and other columns stay as they are; a column of the new name is replaced. Long texts go by pieces.
+    Rows and other columns stay as they are, whatever their names; a column of the new name is replaced. Long texts go by pieces. An empty table stays empty.
     """
     rest = docs.drop(*[c for c in docs.columns if c.lower() == score.lower()])
 
@@ -97,4 +98,4 @@ def rate(docs: DataFrame, model: Model, text: str = "text", score: str = "qualit
         raw = memoryview(data)
         return [pa.array(model.score([model.difference(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]), pa.float64())]
 
-    return map_texts(rest.withColumn("__text", F.col(text)), "__text", run, f"`{score}` double")
+    return map_texts(rest.withColumn(own := free(rest, "own_text"), F.col(text)), own, run, f"`{score}` double")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridian.llm import langid
-from meridian.llm.common import map_texts, platt, sigmoid, spans
+from meridian.llm.common import free, map_texts, platt, sigmoid, spans
 from meridian.llm.quality import labelled
 
 BITS = 16
@@ -247,7 +247,8 @@ def fit(docs: DataFrame, labels: DataFrame, lang_model: langid.Model | None, lab
 def rate(docs: DataFrame, model: Model | None, text: str = "text", score: str = "toxic_score") -> DataFrame:
     """docs with a score of each whole text, 0 to 1; CUT and over is toxic. A null text counts as empty, and scores 0 without a model.
 
-    Only text is looked at; its language is identified, not read. Rows and other columns stay as they are; a column of the new name is replaced.
+    Only text is looked at; its language is identified, not read. Rows and other columns stay as they are, whatever their names; a column of the new name is
+    replaced. An empty table stays empty.
     """
     rest = docs.drop(*[c for c in docs.columns if c.lower() == score.lower()])
     if model is None:
@@ -261,4 +262,4 @@ def rate(docs: DataFrame, model: Model | None, text: str = "text", score: str =
             out.append(model.score(model.logits(d, o), lang))
         return [pa.array(np.concatenate(out), pa.float64())]
 
-    return map_texts(rest.withColumn("__text", F.col(text)), "__text", run, f"`{score}` double")
+    return map_texts(rest.withColumn(own := free(rest, "own_text"), F.col(text)), own, run, f"`{score}` double")

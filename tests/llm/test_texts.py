@@ -5,6 +5,7 @@ from hashlib import sha256
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from meridian.llm import bpe, common, langid, media, quality, toxicity
@@ -154,6 +155,64 @@ def test_table_bound(odd):
     assert 0 < bpe.encoded_words(bpe.distinct_words(odd), codec, most=5).num_rows <= 5
 
 
+def rest_of(doc_id, parts):
+    return zlib.crc32(str(doc_id).encode()) % parts
+
+
+def test_queries_of_scores_equal_plain_code(docs, labels, spark):
+    """op2, op5 and op8 as queries: held-out rows, predictions and scores, against the model applied text by text."""
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    learn = docs.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    lang = langid.fit(learn)
+    got = {r["doc_id"]: r for r in QUERIES["op2_language_id"](spark, SF).collect()}
+    assert got.keys() == texts.keys()
+    as_bytes = lambda t: (np.frombuffer(b := (t or "").encode(), np.uint8), np.array([0, len(b)]))
+    for i, t in texts.items():
+        best, sure = lang.predict(langid.features(*as_bytes(t)))
+        lettered = t is not None and any(c.isalpha() for c in t)
+        assert got[i]["held_out"] == (rest_of(i, 4) == 2) and got[i]["lang_pred"] == (lang.langs[best[0]] if lettered else "und")
+        assert got[i]["score"] == pytest.approx(float(sure[0]) if lettered else 0.0, abs=1e-5)
+    third = F.crc32(F.col("doc_id").cast("string")) % 3 != 1
+    model = quality.fit(docs.filter(third), labels.filter(third))
+    for r in QUERIES["op5_quality"](spark, SF).collect():
+        raw = (texts[r["doc_id"]] or "").encode()
+        size = lambda d: sum(len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False).compress(raw[i : i + quality.PIECE])) for i in range(0, len(raw), quality.PIECE))  # noqa: B023, E731
+        good, bad = size(model.good), size(model.bad)
+        score = 1 / (1 + np.exp(-(model.a * ((bad - good) / (bad + good) if raw else 0) + model.b)))
+        assert r["score"] == pytest.approx(score, abs=1e-9) and r["predicted"] == int(r["score"] >= 0.5) and r["held_out"] == (rest_of(r["doc_id"], 3) == 1)
+    quarter = F.crc32(F.col("doc_id").cast("string")) % 4 != 2
+    toxic = toxicity.fit(learn, labels.filter(quarter), lang)
+    for r in QUERIES["op8_toxicity"](spark, SF).collect():
+        data = as_bytes(texts[r["doc_id"]])
+        by = np.array(lang.langs, object)[lang.predict(langid.features(*data))[0]]
+        assert r["score"] == pytest.approx(float(toxic.score(toxic.logits(*data), by)[0]), abs=1e-3) and r["predicted"] == int(r["score"] >= toxicity.CUT) and r["held_out"] == (rest_of(r["doc_id"], 4) == 2)
+
+
+def test_query_of_tokens_equals_the_library(docs, spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in QUERIES["op10_bpe"](spark, SF).collect():
+        ids = t.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r["decoded_sha256"] == sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_columns_of_callers_and_empty_tables(docs, labels, spark):
+    """Columns with names that operators once used themselves stay, and empty tables stay empty."""
+    names = ["__text", "own_text", "own_lettered", "own_best", "__lang", "__score", "best", "pos"]
+    lang, model = langid.fit(docs), quality.fit(docs, labels)
+    toxic, codec = toxicity.fit(docs, labels, lang), bpe.Codec.load(tokenizer_path())
+    some = docs.select("doc_id", "text", *[F.lit("mine").alias(n) for n in names])
+    for rows in (some.limit(3), some.limit(0)):
+        n = rows.count()
+        for f in (lambda d: langid.identify(d, lang), lambda d: quality.rate(d, model), lambda d: toxicity.rate(d, toxic), lambda d: bpe.encode(d, codec)):
+            got = f(rows)
+            assert set(names) < set(got.columns) and got.count() == n
+            assert all(r[c] == "mine" for r in got.collect() for c in names)
+
+
 def brute_media(text):
     """All figures of a text, by plain code."""
     raw = (text or "").encode()
