@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridian.llm import bpe, langid, mixing, repeats, simhash
-from meridian.llm.common import durable, table
+from meridian.llm.common import delete, scratch, table, written
 from meridian.llm.queries import tokenizer_path
 
 #: A document whose language has a lower score is rejected, as is one without a letter.
@@ -73,7 +73,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Token ids of the documents. What a stage wrote for itself goes when its result is written, and a result when the next one is; the last one's input stays."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs, path = written(stage(spark, docs, sf_dir), name)
+        if before:
+            delete(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
