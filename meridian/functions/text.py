@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,17 +94,15 @@ def trailing_comma(text: Column) -> Column:
     return F.regexp_replace(text, ", *$", "")
 
 
-#: Accented letters and their plain ones: the compatibility decompositions of Latin letters, from the rule itself.
-def _fold_table() -> tuple[str, str]:
-    import unicodedata
-
-    pairs = [(chr(i), unicodedata.normalize("NFKD", chr(i)).encode("ascii", "ignore").decode()) for i in range(0xC0, 0x250)]
-    return "".join(a for a, b in pairs if len(b) == 1), "".join(b for _, b in pairs if len(b) == 1)
-
-
 def ascii_fold(text: Column) -> Column:
-    """Accents off Latin letters; all else that is not ASCII goes."""
-    return F.regexp_replace(F.translate(text, *_fold_table()), r"[^\x00-\x7F]", "")
+    """Characters as what their compatibility decomposition leaves of plain ones: accents go, ligatures and wide forms become letters, all else that is not ASCII
+    goes. In Arrow batches, as no built-in function decomposes characters.
+    """
+    @F.pandas_udf("string")
+    def fold(x: pd.Series) -> pd.Series:
+        return x.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
+
+    return fold(text)
 
 
 def slug(name: Column) -> Column:

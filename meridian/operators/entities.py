@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meridian.operators.ranking import checkpointed
+
 
 def associate(facts: DataFrame, record: str, rules: list[tuple[Column, DataFrame, str]]) -> DataFrame:
     """Distinct (entity_id, record) links by any of several rules; a rule: key of the fact, table of (key, entity_id), name of its key.
@@ -42,16 +44,23 @@ def stale(entities: DataFrame, *links: DataFrame) -> DataFrame:
 def merge(entities: DataFrame, aliases: DataFrame, attributes: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """merges: columns old, target. Aliases and attributes of old ones go to their target, once each; the old id becomes an attribute of the target.
 
-    Merges of entities of different types are left out.
+    Merges of entities of different types are left out. Where a target is merged itself, all go to the last of the chain; merges in a circle are an error.
     """
     kinds = entities.select("id", "type")
     ok = (
         merges.filter("old <> target").join(kinds.select(F.col("id").alias("old"), F.col("type").alias("_a")), "old")
         .join(kinds.select(F.col("id").alias("target"), F.col("type").alias("_b")), "target").filter("_a = _b").select("old", "target")
     )
-    moved = lambda t: t.join(ok, t["entity_id"] == ok["old"], "left").withColumn("entity_id", F.coalesce("target", "entity_id")).drop("old", "target").distinct()
     kept = ok.select(F.col("target").alias("entity_id"), F.lit("urn:merged").alias("namespace"), F.col("old").cast("string").alias("value"))
-    return entities.join(ok, entities["id"] == ok["old"], "left_anti"), moved(aliases), moved(attributes).unionByName(kept).distinct()
+    for _ in range(20):  # each doubles the length of the chains that are resolved
+        further = ok.select(F.col("old").alias("target"), F.col("target").alias("_next"))
+        if ok.join(further, "target", "left_semi").isEmpty():
+            break
+        ok = checkpointed(ok.join(further, "target", "left").select("old", F.coalesce("_next", "target").alias("target")))
+    else:
+        raise ValueError("merges in a circle")
+    moved = lambda t: t.join(ok, t["entity_id"] == ok["old"], "left").withColumn("entity_id", F.coalesce("target", "entity_id")).drop("old", "target").distinct()
+    return entities.join(ok, entities["id"] == ok["old"], "left_anti"), moved(aliases), moved(attributes.unionByName(kept))
 
 
 def build_entities(rows: DataFrame, id_: str, name: str, type_: str, attributes: dict[str, str]) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -39,17 +39,25 @@ def most_frequent(df: DataFrame, keys: list[str], values: list[str]) -> DataFram
     return counted.groupBy(*keys).agg(best.alias("_row")).select(*keys, *[F.col(f"_row.`{v}`").alias(v) for v in values], F.col("_row._n").alias("n"))
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df computed and kept in the shared folder that the session names; a local folder only where none is set and all runs in this process, as in tests."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all its machines share")
+        spark.sparkContext.setCheckpointDir(at or tempfile.mkdtemp(prefix="meridian-"))
+    return df.checkpoint()
+
+
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """rank() over all rows without a single-partition window: ranges are sorted apart, and each range starts from the rows before it.
 
     The rows of each range are counted first; only these few counts come together. Ranges are cut by a sample, so the dealt rows are checkpointed:
     counts and ranks must see the same ranges.
     """
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if spark.sparkContext.getCheckpointDir() is None:  # as in tests; a cluster names its shared folder
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="meridian-"))
-    dealt = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).checkpoint()  # equal order keys lie in one range
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpointed(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))  # equal order keys lie in one range
     before = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     offsets = before.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
     own = F.rank().over(Window.partitionBy("_part").orderBy(*order))

@@ -14,6 +14,7 @@ from meridian.functions.cycles import ALL_CYCLES
 from meridian.operators.rollup import summary
 
 DEFAULT_LIMIT, DEFAULT_SUMMARY_CYCLE = 10, 2012
+# Codes and the labels that look-ups give them.
 PARTIES = {"R": "Republicans", "D": "Democrats"}
 LEVELS = {"federal": "Federal", "state": "State"}
 SEATS = {

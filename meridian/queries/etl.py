@@ -9,7 +9,7 @@ from meridian.functions import text
 from meridian.operators.rollup import pivot_sum  # noqa: F401
 from meridian.queries.base import query, table
 from meridian.sources.rejects import split_valid
-from meridian.sources.transforms import split_and_transpose
+from meridian.sources.transforms import salt_rows, split_and_transpose
 
 
 @query("etl_money", "SELECT o_orderkey, o_totalprice::DECIMAL(15,2)::DOUBLE AS amount FROM orders")
@@ -65,14 +65,8 @@ def etl_race_seats(spark, sf):
     return table(spark, sf, "nation").select("n_nationkey", cl.race_seat(raw).alias("s")).select("n_nationkey", "s.seat", "s.district")
 
 
-@query("etl_state_district", "SELECT n_nationkey, CASE WHEN n_nationkey % 10 = 0 THEN NULL ELSE 'CA-' || n_nationkey END AS district FROM nation WHERE n_nationkey < 10 OR n_nationkey % 10 > 0")
+@query("etl_state_district", "SELECT n_nationkey, CASE WHEN n_nationkey > 0 THEN 'CA-' || n_nationkey END AS district FROM nation")
 def etl_state_district(spark, sf):
-    n = table(spark, sf, "nation").filter("n_nationkey < 10 or n_nationkey % 10 > 0")
-    return n.select("n_nationkey", cl.state_district(F.lit("CA"), F.concat(F.lit("00"), F.col("n_nationkey").cast("string"))).alias("district"))
-
-
-@query("etl_state_district_all", "SELECT n_nationkey, CASE WHEN n_nationkey > 0 THEN 'CA-' || n_nationkey END AS district FROM nation")
-def etl_state_district_all(spark, sf):
     """Every nation, those with an inner zero too."""
     return table(spark, sf, "nation").select("n_nationkey", cl.state_district(F.lit("CA"), F.concat(F.lit("00"), F.col("n_nationkey").cast("string"))).alias("district"))
 
@@ -92,8 +86,7 @@ def etl_salted_id(spark, sf):
 def etl_salt_rows(spark, sf):
     """An amount split at a seeded random place into two rows that sum to it."""
     o = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(15,2)").alias("amount"))
-    part = F.round(F.col("amount") * F.rand(42), 2).cast("decimal(15,2)")
-    return o.withColumn("_p", part).select("o_orderkey", F.explode(F.array(F.col("_p"), (F.col("amount") - F.col("_p")).cast("decimal(15,2)"))).alias("amount"))
+    return salt_rows(o, "amount", 42)
 
 
 @query("etl_split_transpose", """SELECT n_nationkey, name, state FROM (SELECT n_nationkey, unnest(['Bob', 'Jeff' || n_nationkey]) AS name,

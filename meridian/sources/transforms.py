@@ -44,8 +44,9 @@ def drop_adjacent_repeats(df: DataFrame, order: str) -> DataFrame:
 
 
 def salt_rows(df: DataFrame, amount: str, seed: int) -> DataFrame:
-    """Each row as two whose amounts sum to its own, split at a seeded random place."""
-    part = F.round(F.col(amount) * F.rand(seed), 2).cast(df.schema[amount].dataType)
+    """Each row as two whose amounts sum to its own, split at a place that a hash of the seed and the row gives: the same however rows are dealt, or computed again."""
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns]), 11) / F.lit(float(1 << 53))
+    part = F.round(F.col(amount) * place, 2).cast(df.schema[amount].dataType)
     return df.withColumn("_p", part).withColumn(amount, F.explode(F.array(F.col("_p"), (F.col(amount) - F.col("_p")).cast(df.schema[amount].dataType)))).drop("_p")
 
 

@@ -1,4 +1,4 @@
-"""Queries that go over whole tables where older ones of the same operator have a filter in their SQL."""
+"""Queries that once had a filter go over whole tables."""
 
 from meridian.queries import QUERIES
 from tests.conftest import SF
@@ -6,10 +6,10 @@ from tests.conftest import SF
 
 def test_money_is_shown_for_every_order(spark):
     rows = {r["o_orderkey"]: r["o_totalprice"] for r in spark.read.parquet(f"{SF}/orders.parquet").collect()}
-    got = {r["o_orderkey"]: r["shown"] for r in QUERIES["money_display_all"](spark, SF).collect()}
+    got = {r["o_orderkey"]: r["shown"] for r in QUERIES["money_display"](spark, SF).collect()}
     assert got == {k: f"{v:,.2f}" for k, v in rows.items()} and len(got) == 1500
 
 
 def test_districts_keep_inner_zeros(spark):
-    got = {r["n_nationkey"]: r["district"] for r in QUERIES["etl_state_district_all"](spark, SF).collect()}
+    got = {r["n_nationkey"]: r["district"] for r in QUERIES["etl_state_district"](spark, SF).collect()}
     assert got == {k: f"CA-{k}" if k else None for k in range(25)}
