@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from meridian.functions.text import text_match
 
-RESERVED = ("page", "per_page", "format", "callback", "apikey", "limit", "return_entities")
+RESERVED = ("page", "per_page", "format", "callback", "apikey", "limit", "return_entities", "_")
 DELIMITER = "|"
 
 

@@ -77,3 +77,12 @@ def committees_last(df: DataFrame, order: str = "line") -> DataFrame:
     """One row for each cycle and committee: the last."""
     rest = [c for c in df.columns if c not in ("cycle", "cmte_id")]
     return df.groupBy("cycle", "cmte_id").agg(F.max_by(F.struct(*rest), order).alias("r")).select("cycle", "cmte_id", "r.*")
+
+
+def in_file_order(df: DataFrame, name: str = "line") -> DataFrame:
+    """With a column that sorts records as they stand in their files, which `candidates_first` and `committees_last` need; for a DataFrame as a reader gave it.
+
+    It is the file, the start of the piece that a task read and the record's place in that piece: no count of lines, and nothing is shuffled for it.
+    """
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("piece"), F.monotonically_increasing_id().alias("place"))
+    return df.select("*", at.alias(name))
