@@ -7,6 +7,7 @@ Tables: entity (id, name, type), alias (entity_id, alias), attribute (entity_id,
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,20 @@ SCORES = {
     "organization": {"contributor_amount": 364255258.20, "non_firm_spending": 969305680.0, "firm_income": 560548185.0},
     "industry": {"contributor_amount": 3648608028.38, "non_firm_spending": 5757475979.0, "firm_income": 2225030909.0},
 }
+#: An entity's figures by cycle: table, the entity's column in it, and the figures with their columns; counts are integers, all else is double.
+TOTALS = {
+    "entity_totals": ("entity_id", {"contributor_count": "contributor_count", "recipient_count": "recipient_count", "contributor_amount": "contributor_amount", "recipient_amount": "recipient_amount"}),
+    "lobbying_totals": ("entity_id", {"lobbying_count": "count", "firm_income": "firm_income", "non_firm_spending": "non_firm_spending"}),
+    "spending_totals": ("recipient_entity", {"grant_count": "grant_count", "contract_count": "contract_count", "loan_count": "loan_count", "grant_amount": "grant_amount", "contract_amount": "contract_amount", "loan_amount": "loan_amount"}),
+    "earmark_totals": ("entity_id", {"earmark_count": "count", "earmark_amount": "amount"}),
+    "misconduct_totals": ("entity_id", {"contractor_misconduct_count": "count"}),
+    "enforcement_totals": ("entity_id", {"epa_actions_count": "count"}),
+    "regulation_text_totals": ("entity_id", {"regs_docket_count": "docket_count", "regs_document_count": "document_count"}),
+    "regulation_submitter_totals": ("entity_id", {"regs_submitted_docket_count": "docket_count", "regs_submitted_document_count": "document_count"}),
+    "advisory_totals": ("org_id", {"faca_member_count": "member_count", "faca_committee_count": "committee_count"}),
+    "independent_totals": ("entity_id", {"independent_expenditure_amount": "spending_amount"}),
+    "committee_summaries": ("entity_id", {"fec_total_raised": "total_raised", "fec_summary_count": "count"}),
+}
 PER_PAGE, MOST_PER_PAGE, MOST_LISTED = 10, 25, 10_000
 #: Lists that begin further on are cut by position in sorted ranges, not by an offset, whose skipped rows would come to the driver.
 NEAR = 100_000
@@ -53,6 +68,25 @@ def _latest(metadata: DataFrame, *columns: str) -> DataFrame:
     return first_row(metadata.select("entity_id", "cycle", *columns), ["entity_id"], [F.col("cycle"), *[F.col(c) for c in columns]]).select(F.col("entity_id").alias("id"), *columns)
 
 
+def totals(t: Tables, entities: DataFrame | None = None, cycle: int | None = None) -> DataFrame:
+    """All figures of each entity (id) and cycle, 0 where a table has none; a row where any table has one. entities: only those with these ids, at most a page of them.
+
+    Each table has one row at most for an entity and cycle, so a full join of the eleven is one aggregate of their union: one shuffle, not ten. A table that is not given counts
+    as empty; rows without entity or cycle are nobody's.
+    """
+    names, parts = [n for _, figures in TOTALS.values() for n in figures], []
+    for table, (key, figures) in TOTALS.items():
+        if table not in t:
+            continue
+        rows = t[table].filter(F.col(key).isNotNull() & (F.col("cycle").isNotNull() if cycle is None else F.col("cycle") == cycle))
+        own = {n: F.col(c).cast("int" if n.endswith("count") else "double") for n, c in figures.items()}
+        parts.append(rows.select(F.col(key).alias("id"), F.col("cycle").cast("int").alias("cycle"), *[own.get(n, F.lit(None).cast("int" if n.endswith("count") else "double")).alias(n) for n in names]))
+    both = reduce(DataFrame.unionAll, parts)
+    if entities is not None:
+        both = both.join(F.broadcast(entities.select("id").limit(MOST_PER_PAGE)), "id", "left_semi")
+    return both.groupBy("id", "cycle").agg(*[F.coalesce(F.max(n), F.lit(0)).alias(n) for n in names])
+
+
 def search(t: Tables, words: str, kind: str | None = None) -> DataFrame:
     """Entities by words, with their figures over all cycles (nothing known: 0) and latest details. Politicians who received nothing are left out."""
     found = _with_figures(t, _named(t, words) if kind is None else _named(t, words).filter(F.col("type") == kind))
@@ -111,11 +145,13 @@ def scored(t: Tables, params: dict[str, str]) -> DataFrame:
 
 
 def scored_page(t: Tables, params: dict[str, str]) -> DataFrame:
-    """A page of them, best first, ties by id; 10 where not said, 25 at most. External ids are (namespace, id) in order."""
+    """A page of them, best first, ties by id; 10 where not said, 25 at most. External ids are (namespace, id) in order; totals are those over all cycles, null where nothing is known."""
     size, page = min(int(params.get("per_page", PER_PAGE)), MOST_PER_PAGE), max(int(params.get("page", 1)), 1)
     rows = scored(t, params).orderBy(F.desc("score"), F.asc("id")).offset((page - 1) * size).limit(size)
     ids = t["attribute"].groupBy(F.col("entity_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("namespace", F.col("value").alias("id")))).alias("external_ids"))
-    return rows.join(ids, "id", "left").orderBy(F.desc("score"), F.asc("id"))
+    known = totals(t, rows, ALL_CYCLES).drop("cycle")
+    known = known.select("id", F.struct(*[c for c in known.columns if c != "id"]).alias("totals"))
+    return rows.join(ids, "id", "left").join(known, "id", "left").orderBy(F.desc("score"), F.asc("id"))
 
 
 def scored_total(t: Tables, params: dict[str, str]) -> DataFrame:

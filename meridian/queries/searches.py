@@ -25,6 +25,10 @@ VIEWS = {
     "money": "SELECT id AS entity_id, -1 AS cycle, id % 6 AS contributor_count, CASE WHEN id % 4 > 0 THEN id % 9 ELSE 0 END AS recipient_count, CAST(id % 1000 * 1000 AS DECIMAL(15,2)) AS contributor_amount, CAST(CASE WHEN id % 4 > 0 THEN id % 500 * 3000 ELSE 0 END AS DECIMAL(15,2)) AS recipient_amount FROM entity WHERE id % 8 > 0 UNION ALL SELECT id, 1996, 1, 1, CAST(5 AS DECIMAL(15,2)), CAST(5 AS DECIMAL(15,2)) FROM entity",
     "lobbied": "SELECT id AS entity_id, -1 AS cycle, id % 11 AS count, CAST(id % 50 * 700 AS DECIMAL(15,2)) AS firm_income, CAST(id % 30 * 900 AS DECIMAL(15,2)) AS non_firm_spending FROM entity WHERE id % 3 > 0",
 }
+#: The figures that the stand-ins of the plans lack: each of other entities and cycles, so that every table alone has some.
+for _i, (_table, (_key, _figures)) in enumerate(list(es.TOTALS.items())[2:], 3):
+    _columns = ", ".join(f"CAST((id + cycle * {k}) % {11 * _i} + 1 AS {'INT' if n.endswith('count') else 'DECIMAL(15,2)'}) AS {c}" for k, (n, c) in enumerate(_figures.items(), 1))
+    VIEWS[_table] = f"SELECT id AS {_key}, cycle, {_columns} FROM entity CROSS JOIN (VALUES (-1), (1996), ({2000 + 2 * _i})) AS v(cycle) WHERE id % {_i} < 2"
 WITH = f"WITH {CTES}, {', '.join(f'{n} AS ({s})' for n, s in VIEWS.items())}"
 
 
@@ -129,6 +133,16 @@ def _advanced(words: str, also: str) -> str:
     return f"{WITH} SELECT e.id, e.name, e.type, round({_SCORE}, 12) AS score FROM entity e {_FIGURES} WHERE {_FOUND.format(_has('alias', words))} AND {also}"
 
 
+def _full(name: str) -> str:
+    key, figures = es.TOTALS[name]
+    return f"(SELECT {key} AS id, cycle, {', '.join(f'{c} AS {n}' for n, c in figures.items())} FROM { {'entity_totals': 'money', 'lobbying_totals': 'lobbied'}.get(name, name)})"
+
+
+_FULL = " FULL JOIN ".join(f"{_full(n)} t{i}{' USING (id, cycle)' if i else ''}" for i, n in enumerate(es.TOTALS))
+query("entity_full_totals", f"""{WITH} SELECT id, cycle::INTEGER AS cycle, {", ".join(f"coalesce({n}, 0)::{'INTEGER' if n.endswith('count') else 'DOUBLE'} AS {n}" for _, f in es.TOTALS.values() for n in f)} FROM {_FULL}""")(
+    lambda s, d: es.totals(_all(s, d))
+)
+
 _COMPANY = "is_corporation OR is_cooperative OR is_corp_w_o_capital_stock"
 _OTHER = f"""e.type = 'organization' AND e.id IN (SELECT o.entity_id FROM {_latest('org_details', 'lobbying_firm, is_corporation, is_cooperative, is_corp_w_o_capital_stock')} o
   WHERE NOT lobbying_firm AND (o.entity_id NOT IN (SELECT entity_id FROM codes WHERE namespace = 'urn:fec:committee' AND value <> '') OR {_COMPANY}))"""
@@ -150,7 +164,7 @@ for _name, _words, _params, _also in (
 
 @query("entity_search_page", f"""{_advanced('firm', "e.type = 'organization'")} ORDER BY score DESC, e.id LIMIT 7 OFFSET 14""")
 def entity_search_page(spark, sf):
-    return es.scored_page(_all(spark, sf), {"search": "firm", "type": "organization", "per_page": "7", "page": "3"}).withColumn("score", F.round("score", 12)).drop("external_ids")
+    return es.scored_page(_all(spark, sf), {"search": "firm", "type": "organization", "per_page": "7", "page": "3"}).withColumn("score", F.round("score", 12)).drop("external_ids", "totals")
 
 
 @query("entity_search_total", f"{WITH} SELECT count(*) AS total, ceil(count(*) / 25)::BIGINT AS pages FROM entity e WHERE {_FOUND.format(_has('alias', 'firm'))}")

@@ -193,6 +193,9 @@ def test_entities_by_kind_and_page(spark):
     page = es.scored_page(t, {"search": "apple", "per_page": "3"}).collect()
     assert [r["id"] for r in page] == [5, 2, 1] and page[0]["score"] == pytest.approx(2 * 5000 / 715550915)
     assert [tuple(x) for x in page[0]["external_ids"]] == [("urn:crp:recipient", "N5")] and page[2]["external_ids"] is None
+    assert page[0]["totals"]["recipient_amount"] == 5000.0 and page[1]["totals"]["lobbying_count"] == 3 and page[1]["totals"]["earmark_count"] == 0
+    assert es.scored_page(t, {"search": "growers"}).first()["totals"] is None
+    assert {(r["id"], r["cycle"]): r["recipient_count"] for r in es.totals(t).collect()} == {(1, -1): 0, (2, -1): 0, (5, -1): 3, (5, 2008): 9, (6, -1): 0}
     assert [r["id"] for r in es.scored_page(t, {"search": "apple", "per_page": "3", "page": "3"}).collect()] == [7]
     assert es.scored_total(t, {"search": "apple", "per_page": "3"}).collect() == [(7, 3)]
 
