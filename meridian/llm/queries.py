@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridian.llm import ann, bpe, langid, media, mixing, quality, repeats, simhash, toxicity, urls
+from meridian.llm import ann, bpe, collocations, langid, media, mixing, quality, repeats, rolling, simhash, tokencount, toxicity, urls
 from meridian.llm.common import held, split_of, table
 
-def tokenizer_path() -> str:
-    """The public vocabulary that op10 and the pipeline encode with."""
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A public vocabulary: the one that op10 and the pipeline encode with, or another."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
+#: op11: more tokens are over the limit.
+TOKEN_LIMIT = 2048
 #: Rules of op3: host, path, verdict.
 URL_RULES = [
     ("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"),
@@ -86,6 +88,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, bpe.Codec.load(tokenizer_path()), outputs=("ids_sha256", "decoded_sha256")).drop("text")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencount.count_tokens(docs, tokencount.Counter.load(tokenizer_path("word_bpe_49k.json"))).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), best=2000).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op13_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolling.rolling(spark.read.parquet(f"{sf_dir}/clicks.parquet"))
+
+
 QUERIES = {
     "op1_ann": op1_ann,
     "op2_language_id": op2_language_id,
@@ -97,6 +112,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_bpe": op10_bpe,
+    "op11_token_counts": op11_token_counts,
+    "op12_collocations": op12_collocations,
+    "op13_rolling_median": op13_rolling_median,
 }
 
 OP3_SQL = r"""
@@ -146,4 +164,53 @@ SELECT d.doc_id, d.size, g.source_size, g.target, (d.size * t.n)::BIGINT AS take
 FROM docs d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source JOIN taken t ON d.source IS NOT DISTINCT FROM t.source AND d.h = t.h
 """
 
-SQL = {"op3_url_filters": OP3_SQL, "op9_mixing": OP9_SQL}
+OP12_SQL = r"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM texts
+), starts AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces
+), grams AS (
+  SELECT lang, w, i, unnest(range(1, 6)) AS k FROM starts
+), f AS (
+  SELECT lang, array_to_string(w[i : i + k - 1], ' ') AS phrase, k, count(*)::BIGINT AS a FROM grams WHERE i + k - 1 <= len(w) GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang
+), candidates AS (
+  SELECT * FROM f WHERE k >= 2 AND a >= 100
+), kept AS (
+  SELECT * FROM candidates c WHERE NOT EXISTS (
+    SELECT 1 FROM candidates o WHERE o.lang = c.lang AND o.k > c.k AND contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' ') AND 100 * o.a >= 100 * c.a)
+), cuts AS (
+  SELECT lang, phrase, a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM kept
+), scores AS (
+  SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, n, cut, (1000::HUGEINT * c.a * n) // (x.a::HUGEINT * y.a) AS score
+  FROM cuts c JOIN totals USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1 : cut], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1 :], ' ')
+), lowest AS (
+  SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM lowest QUALIFY rank <= 2000
+"""
+
+OP13_SQL = r"""
+WITH once AS (
+  SELECT DISTINCT click_id, ts, kind, floor(100 * value + 0.5)::BIGINT AS c FROM clicks WHERE ts IS NOT NULL
+), held AS (
+  SELECT click_id, kind, c, list_sort(coalesce(list(c) FILTER (WHERE c IS NOT NULL) OVER (
+    PARTITION BY kind ORDER BY ts RANGE BETWEEN INTERVAL 60 MINUTE PRECEDING AND CURRENT ROW), [])) AS w
+  FROM once
+), middles AS (
+  SELECT *, CASE WHEN len(w) >= 2 THEN w[(len(w) + 1) // 2] + w[len(w) // 2 + 1] END AS median2 FROM held
+), spreads AS (
+  SELECT *, list_sort(list_transform(w, lambda x: abs(2 * x - median2))) AS d FROM middles
+), made AS (
+  SELECT *, CASE WHEN len(w) >= 2 THEN d[(len(w) + 1) // 2] + d[len(w) // 2 + 1] END AS mad4 FROM spreads
+)
+SELECT click_id, kind, len(w)::BIGINT AS n, median2, mad4, 2 * abs(2 * c - median2) > 3 * mad4 AS far FROM made
+"""
+
+SQL = {"op3_url_filters": OP3_SQL, "op9_mixing": OP9_SQL, "op12_collocations": OP12_SQL, "op13_rolling_median": OP13_SQL}

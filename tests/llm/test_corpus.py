@@ -20,7 +20,7 @@ RULES = "host string, path string, verdict string"
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "clicks"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     r = c.execute(queries.SQL[name])
