@@ -60,6 +60,12 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def owned(path: str) -> None:
+    """Gives a written table to the scratch() around, if there is one."""
+    if (mine := _tables.get()) is not None:
+        mine.append(path)
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that durable() writes inside are deleted at the end, but for those it is told to keep."""

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import durable, map_texts, tidy
+from meridian.llm.common import delete, durable, map_texts, owned, scratch, tidy, written
 
 SEED = 42
 BYTES = 8
@@ -175,21 +175,33 @@ def links(nodes: DataFrame, bits: int = 4, fp: str = "_fp", list_most: int = LIS
 def components(edges: DataFrame) -> DataFrame:
     """Columns node, root of all nodes with an edge (a, b): nodes are connected if and only if their roots are equal.
 
-    Each round maps every node to the least of itself and its neighbours and contracts the edges by that map; only minima are aggregated,
-    so a node with very many neighbours makes no large group.
+    Each round maps every node to the first of itself and its neighbours and contracts the edges by that map. First is by a hash of round and node, new in each round, so
+    no order of the nodes, a chain in ascending order neither, needs more than a number of rounds that grows with the logarithm of the longest path. Only
+    minima are aggregated, so a node with very many neighbours makes no large group. A round's tables are deleted when the next one's are written.
     """
-    edges = durable(edges.filter("a <> b").select("a", "b").distinct(), "edges")
-    root = None
+    spark = edges.sparkSession
+    edges, edges_path = written(edges.filter("a <> b").select("a", "b").distinct(), "edges")
+    root, root_path, turn = None, None, 0
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = durable(both.groupBy("a").agg(F.min("b").alias("_b")).select(F.col("a").alias("node"), F.least("a", "_b").alias("to")), "step")
+        of = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("node"))  # noqa: B023, E731
+        step, step_path = written(both.groupBy("a").agg(F.min(of("b")).alias("_b")).select(F.col("a").alias("node"), F.least(of("a"), "_b")["node"].alias("to")), "step")
+        old = [edges_path]
         if root is None:
-            root = step.withColumnRenamed("to", "root")
+            root, root_path = step.withColumnRenamed("to", "root"), step_path
         else:
-            root = durable(root.join(step.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+            old += [root_path, step_path]
+            root, root_path = written(root.join(step.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
         moved = edges.join(step.select(F.col("node").alias("a"), F.col("to").alias("_a")), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("_b")), "b")
-        edges = durable(moved.filter("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "edges")
-    return root if root is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        edges, edges_path = written(moved.filter("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "edges")
+        for path in old:
+            delete(spark, path)
+        turn += 1
+    if root is None:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    delete(spark, edges_path)
+    owned(root_path)
+    return root
 
 
 def _marked(docs: DataFrame, text: str, doc_id: str, shingle: int, bits: int, list_most: int, keep: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -198,9 +210,11 @@ def _marked(docs: DataFrame, text: str, doc_id: str, shingle: int, bits: int, li
         raise ValueError("the index finds links of 4 bits at most")
     carried = docs.select(F.col(doc_id).alias("_id"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)], F.col(text).alias("_text"))
     rows = durable(fingerprints(carried, "_text", shingle), "simhash")
-    nodes = durable(rows.groupBy("_fp").agg(F.min("_id").alias("least")), "simhash-nodes")
-    comp = components(links(nodes, bits, list_most=list_most))
-    rooted = durable(nodes.join(comp.withColumnRenamed("node", "_fp"), "_fp", "left").select("_fp", "least", F.coalesce("root", "_fp").alias("root")), "simhash-roots")
+    with scratch(docs.sparkSession):
+        nodes = durable(rows.groupBy("_fp").agg(F.min("_id").alias("least")), "simhash-nodes")
+        comp = components(links(nodes, bits, list_most=list_most))
+        rooted, path = written(nodes.join(comp.withColumnRenamed("node", "_fp"), "_fp", "left").select("_fp", "least", F.coalesce("root", "_fp").alias("root")), "simhash-roots")
+    owned(path)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows, rooted.join(least, "root").select("_fp", "component_id", "root")
 

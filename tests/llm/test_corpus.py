@@ -103,6 +103,17 @@ def test_mixing_odd_rows(spark):
 
 # --- near-duplicates
 
+def test_chain_of_links_takes_few_rounds(spark, monkeypatch):
+    """300 links in ascending order, and a star: rounds grow with the logarithm, and a round leaves no table but the last roots."""
+    made, gone = [], []
+    monkeypatch.setattr(simhash, "written", lambda df, name, f=simhash.written: made.append(name) or f(df, name))
+    monkeypatch.setattr(simhash, "delete", lambda s, path, f=simhash.delete: gone.append(path) or f(s, path))
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1001 + i) for i in range(50)]
+    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert len(got) == 301 + 51 and len({got[i] for i in range(301)}) == 1 and len({got[1000 + i] for i in range(51)}) == 1 and got[0] != got[1000]
+    assert made.count("step") <= 20 and len(made) - len(gone) == 1
+
+
 def brute_components(fps, bits):
     root = {f: f for f in fps}
 
