@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,28 @@ def dual_ranked(df: DataFrame, part: list[str], by_count: Column, by_amount: Col
     return ranked(ranked(df, part, [by_count], "rank_by_count"), part, [by_amount], "rank_by_amount")
 
 
+def rank_within(df: DataFrame, part: list[str], value: str, name: str = "rank") -> DataFrame:
+    """rank() within each part by a number, greatest first and null last, without bringing a part together.
+
+    Equal numbers of a part are counted first, so ties make no large group. A number's rank is the rows in greater buckets plus the rows with greater numbers in its own one; a
+    bucket is a monotone step of the number's logarithm (some tens of thousands for all numbers), so a part with any number of rows makes groups of few.
+    """
+    keys = [*part, value]
+    bucket = F.coalesce(F.signum(value) * F.floor(F.log1p(F.abs(F.col(value).cast("double"))) * 512), F.lit(-1e9)).cast("int")
+    distinct = df.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn("_bucket", bucket)
+    above = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    sums = distinct.groupBy(*part, "_bucket").agg(F.sum("_n").alias("_m")).withColumn("_before", F.coalesce(F.sum("_m").over(above(*part).orderBy(F.desc("_bucket"))), F.lit(0))).drop("_m")
+    own = F.coalesce(F.sum("_n").over(above(*part, "_bucket").orderBy(F.desc_nulls_last(value))), F.lit(0))
+    placed = equal_join(distinct.withColumn("_own", own), sums, [*part, "_bucket"])
+    return equal_join(df, placed.select(*keys, (F.col("_own") + F.col("_before") + 1).cast("int").alias(name)), keys)
+
+
+def equal_join(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """a joined with b where all of on are equal, null with null; columns of a, then the others of b."""
+    other = b.select(*[F.col(c).alias(f"_on_{c}") for c in on], *[c for c in b.columns if c not in on])
+    return a.join(other, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on]), how).drop(*[f"_on_{c}" for c in on])
+
+
 def first_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row of each key, the first in a total order: an aggregate of one row for each key and partition, not a sort of groups.
 

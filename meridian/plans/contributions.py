@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meridian.functions.cycles import even_year
-from meridian.operators.ranking import dual_ranked, ranked as with_rank, top_n
+from meridian.operators.ranking import dual_ranked, ranked as with_rank, top_n, rank_within
 from meridian.operators.rollup import with_all_cycles
 
 # Record types that count, by who gives.
@@ -425,8 +425,8 @@ BY = {
 }
 
 
-def ranked(t: Tables, group: str, by: str) -> DataFrame:
-    """Entities of a group ranked by count and by amount within each value of the dimension and cycle. Empty values are left out; parties are D, R and Other."""
+def _members(t: Tables, group: str, by: str) -> DataFrame:
+    """Figures of a group's entities by value of the dimension and cycle. Empty values are left out; parties are D, R and Other."""
     who, members = GROUPS[group]
     if who == "politician":
         g = politician_by_org_pac_indiv(t) if by == "org_pac_indiv" else politician_by_in_state(t)
@@ -436,14 +436,20 @@ def ranked(t: Tables, group: str, by: str) -> DataFrame:
     g = g.drop("rank_by_count", "rank_by_amount").join(m.distinct(), [c for c in m.columns]).filter(F.col(by) != "")
     if by == "party":
         g = g.withColumn(by, F.when(F.col(by).isin("D", "R"), F.col(by)).otherwise("Other")).groupBy("entity_id", by, "cycle").agg(F.sum("count").alias("count"), F.sum("amount").alias("amount"))
-    return dual_ranked(g.select("entity_id", by, "cycle", "count", "amount"), [by, "cycle"], F.desc("count"), F.desc("amount"))
+    return g.select("entity_id", by, "cycle", "count", "amount")
+
+
+def ranked(t: Tables, group: str, by: str) -> DataFrame:
+    """Entities of a group ranked by count and by amount within each value of the dimension and cycle; no value's entities come together in one task."""
+    return rank_within(rank_within(_members(t, group, by), [by, "cycle"], "count", "rank_by_count"), [by, "cycle"], "amount", "rank_by_amount")
 
 
 def summary(t: Tables, group: str, by: str, n: int = TOP_N) -> DataFrame:
-    """The n largest by amount of each value and cycle, with the value's totals over all of the group."""
-    r = ranked(t, group, by)
-    totals = r.groupBy(by, "cycle").agg(F.sum("count").alias("total_count"), F.sum("amount").alias("total_amount"))
-    return r.filter(F.col("rank_by_amount") <= n).join(totals, [by, "cycle"])
+    """The n largest by amount of each value and cycle, with the value's totals over all of the group. Only those n are ranked by amount; ranks by count come from the counts of equal counts."""
+    rows = _members(t, group, by)
+    totals = rows.groupBy(by, "cycle").agg(F.sum("count").alias("total_count"), F.sum("amount").alias("total_amount"))
+    best = top_n(rank_within(rows, [by, "cycle"], "count", "rank_by_count"), [by, "cycle"], [F.desc("amount")], n, "rank_by_amount")
+    return best.join(totals, [by, "cycle"])
 
 
 def entity_types(t: Tables) -> DataFrame:

@@ -17,6 +17,8 @@ from meridian.functions.cycles import to_cycle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: Tables that stored() has written.
+PATHS: list[str] = []
 
 
 def query(name: str, sql: str | None = None):
@@ -44,9 +46,41 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", at)
     path = f"{at}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    PATHS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a stored table is still in the shared folder, which may be emptied at any time."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+_made: dict[tuple, tuple[dict[str, DataFrame], list[str]]] = {}
+
+
+def made_once(spark: SparkSession, key: tuple, make: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
+    """Tables that make() stores, kept for the session; made anew where the shared folder was emptied."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _made or not all(there(spark, p) for p in _made[key][1]):
+        before = len(PATHS)
+        _made[key] = make(), PATHS[before:]
+    return _made[key][0]
+
+
+def standins(spark: SparkSession, sf_dir: str, sources: tuple[str, ...], sql: dict[str, str], seen: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Stored tables of some SQL over the tables of sf_dir and over others that were stored before; later ones may read earlier ones."""
+    for name in sources:
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+    for name, df in (seen or {}).items():
+        df.createOrReplaceTempView(name)
+    made = {}
+    for name, text in sql.items():
+        made[name] = stored(spark.sql(text).coalesce(spark.sparkContext.defaultParallelism), name)
+        made[name].createOrReplaceTempView(name)
+    return made
+
+
 def money(column: str) -> F.Column:
     return F.col(column).cast("decimal(15,2)")
 

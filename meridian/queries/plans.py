@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meridian.plans import contributions as ct
-from meridian.queries.base import query, stored, table
+from meridian.queries.base import made_once, query, standins, stored
 
 ORG, PARENT, INDUSTRY, POL = 100_000_000, 200_000_000, 300_000_000, 400_000_000
 
@@ -49,25 +49,17 @@ STANDINS = {
 CTES = ", ".join(f"{n} AS ({s})" for n, s in STANDINS.items())
 
 
-_made: dict[tuple[str, str], ct.Tables] = {}
-
-
 def tables(spark, sf, linked: bool = True) -> ct.Tables:
-    """The stand-ins, stored once for a session and folder, so queries don't plan and compute them again.
+    """The stand-ins, stored once for a session and folder, so queries don't plan and compute them again; anew where the shared folder was emptied.
 
     linked: with the records and their links as one more table, which all figures read; without it they are found anew.
     """
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _made:
-        for name in ("orders", "customer", "nation", "region"):
-            table(spark, sf, name).createOrReplaceTempView(name)
-        made = {}
-        for name, sql in STANDINS.items():  # views, as later ones read earlier ones
-            made[name] = stored(spark.sql(sql).coalesce(spark.sparkContext.defaultParallelism), name)
-            made[name].createOrReplaceTempView(name)
-        made["linked"] = stored(ct.linked(made, *ct.KINDS_OF_LINKS), "linked")
-        _made[key] = made
-    return {n: d for n, d in _made[key].items() if linked or n != "linked"}
+
+    def make():
+        made = standins(spark, sf, ("orders", "customer", "nation", "region"), STANDINS)
+        return made | {"linked": stored(ct.linked(made, *ct.KINDS_OF_LINKS), "linked")}
+
+    return {n: d for n, d in made_once(spark, ("plans", sf), make).items() if linked or n != "linked"}
 
 
 def _list(values) -> str:
