@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meridian.functions.text import ORG_SUFFIX
+from meridian.plans import elections as el
 from meridian.plans import entity_metadata as em
 from meridian.plans import public_records as pr
 from meridian.queries import lobbying, plans
@@ -18,7 +19,8 @@ STANDINS = {
     + ", ".join(f"max({c}) AS {c}" for c in ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"))
     + " FROM lineitem WHERE l_linenumber < 8 GROUP BY l_orderkey, l_linenumber",  # one of each number, so that ids are unique
     "pub_attribute": f"""SELECT entity_id, namespace, value FROM attribute UNION ALL SELECT id, 'urn:pogo:contractor', CASE WHEN id % 5 = 0 THEN 'x' ELSE CAST(id % 50 AS STRING) END FROM entity WHERE id < 60
-  UNION ALL SELECT id, 'urn:fec:committee', 'C' || CAST(id % 60 AS STRING) FROM entity WHERE id < {ORG} AND id % 2 = 1 AND id % 3 > 0 UNION ALL SELECT id, 'urn:crp:subindustry', 'BUILD' FROM entity WHERE id = {INDUSTRY} + 1 UNION ALL SELECT id, 'urn:crp:industry', 'a1' FROM entity WHERE id = {INDUSTRY} + 11""",
+  UNION ALL SELECT id, 'urn:fec:committee', 'C' || CAST(id % 60 AS STRING) FROM entity WHERE id < {ORG} AND id % 2 = 1 AND id % 3 > 0 UNION ALL SELECT id, 'urn:fec:candidate', 'H' || CAST(id - {POL} AS STRING) FROM entity WHERE id >= {POL} AND id % 4 > 0
+  UNION ALL SELECT id, 'urn:crp:subindustry', 'BUILD' FROM entity WHERE id = {INDUSTRY} + 1 UNION ALL SELECT id, 'urn:crp:industry', 'a1' FROM entity WHERE id = {INDUSTRY} + 11""",
     "grant_": f"""SELECT {_LINE} AS id, CASE l_suppkey % 4 WHEN 0 THEN 'ORG ' || CAST(l_suppkey % 25 AS STRING) || ' Inc.' WHEN 1 THEN 'Org ' || CAST(l_suppkey % 25 AS STRING) WHEN 2 THEN NULL ELSE 'Firm ' || CAST(l_suppkey AS STRING) || ' Company' END AS recipient_name,
   year(l_shipdate) AS fiscal_year, CASE l_partkey % 5 WHEN 0 THEN 'l' WHEN 1 THEN 'i' WHEN 2 THEN NULL ELSE 'g' END AS asst_cat_type, 'Agency ' || CAST(l_partkey % 7 AS STRING) AS agency_name, 'Project ' || CAST({_LINE} AS STRING) AS project_description,
   CAST(l_extendedprice * 100 AS DECIMAL(18,2)) AS face_loan_guran, CAST(l_extendedprice * 50 AS DECIMAL(18,2)) AS fed_funding_amount FROM line WHERE l_linenumber < 4""",
@@ -55,6 +57,10 @@ STANDINS = {
     "committee_": "SELECT DISTINCT 'C' || CAST(c_custkey % 60 AS STRING) AS committee_id, c.cycle, CASE WHEN c_custkey % 60 % 4 = 0 THEN 'C' || CAST(c_custkey % 60 AS STRING) ELSE CAST(c_custkey % 60 AS STRING) END AS recipient_id FROM customer CROSS JOIN (VALUES (1992), (1994), (1996)) AS c(cycle)",
     "committee_profile": "SELECT DISTINCT 'C' || CAST(c_custkey % 60 AS STRING) AS committee_id, c.cycle, CASE WHEN c_custkey % 60 % 8 = 1 THEN 'O' ELSE 'Q' END AS committee_type, CASE c_custkey % 60 % 7 WHEN 0 THEN 'C' WHEN 1 THEN 'L' WHEN 2 THEN 'T' WHEN 3 THEN 'W' WHEN 4 THEN 'M' WHEN 5 THEN 'V' END AS interest_group FROM customer CROSS JOIN (VALUES (1992), (1994), (1998)) AS c(cycle)",
     "navigation_bin": "SELECT id AS entity_id, CASE id % 5 WHEN 0 THEN 'a' WHEN 1 THEN 'p' WHEN 2 THEN 'u' WHEN 3 THEN 'x' ELSE 'b' END AS navigation_bin FROM entity WHERE type = 'organization' AND id % 3 > 0 UNION ALL SELECT id, 'p' FROM entity WHERE id % 10 = 5 AND type = 'organization'",
+    "indexp": """SELECT CAST(year(o_orderdate) + year(o_orderdate) % 2 AS INT) AS cycle, 'H' || CAST(o_orderkey % 60 AS STRING) AS candidate_id, 'Candidate ' || CAST(o_orderkey % 60 AS STRING) AS candidate_name, 'C' || CAST(o_orderkey % 32 AS STRING) AS spender_id, 'Spender ' || CAST(o_orderkey % 32 AS STRING) AS spender_name,
+  'G' AS election_type, 'S' || CAST(o_orderkey % 9 AS STRING) AS candidate_state, '0' || CAST(o_orderkey % 5 AS STRING) AS candidate_district, CASE o_orderkey % 3 WHEN 0 THEN 'House' WHEN 1 THEN 'Senate' ELSE 'President' END AS candidate_office, CASE o_orderkey % 2 WHEN 0 THEN 'D' ELSE 'R' END AS candidate_party,
+  '$1,' || lpad(CAST(o_orderkey % 1000 AS STRING), 3, '0') || '.50' AS amount, '$' || CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS STRING) AS aggregate_amount, CASE o_orderkey % 7 WHEN 0 THEN 'Support' WHEN 1 THEN 'oppose' WHEN 2 THEN NULL ELSE 'support' END AS support_oppose, CAST(o_orderdate AS DATE) AS date,
+  'ads' AS purpose, 'payee ' || CAST(o_orderkey % 11 AS STRING) AS payee, CAST(o_orderkey AS STRING) AS filing_number, CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderkey - 32 AS STRING) END AS prev_file_num, 'N' AS amendment, 'T' || CAST(o_orderkey AS STRING) AS transaction_id, 'I' AS image_number, CAST(o_orderdate AS DATE) AS received_date FROM orders""",
     "door_lobbyist": f"SELECT {_LINE} AS id, l_orderkey AS transaction_id, 'x' AS lobbyist_name, lpad(CAST(l_suppkey % 40 * 4 AS STRING), 11, '0') || '2' AS lobbyist_ext_id, CASE WHEN l_partkey % 4 > 0 THEN CAST(l_partkey % 70 AS STRING) END AS candidate_ext_id FROM line WHERE l_linenumber = 1",
 }
 _RENAMED = {"pub_attribute": "attribute", "grant_": "grant", "contract_": "contract", "agency_": "agency", "case_": "case", "comment_": "comment", "committee_": "committee"}
@@ -183,6 +189,20 @@ SELECT entity_id, cycle, agency, docket_id AS docket, year, count FROM (SELECT *
     query(f"regulation_{_kind}_totals", f"""{WITH}, {_match}, r AS ({_rows}) SELECT entity_id, -1 AS cycle, count(DISTINCT docket_id) AS docket_count, sum(count)::BIGINT AS document_count FROM r GROUP BY entity_id
 UNION ALL SELECT entity_id, (year + year % 2)::INTEGER, count(DISTINCT docket_id), sum(count)::BIGINT FROM r WHERE year >= 1989 GROUP BY ALL""")(lambda s, d, k=_kind: _longs(pr.docket_totals(tables(s, d), k), "entity_id"))
 
+# --- independent spending
+
+INDEXP = """filing AS (SELECT * EXCLUDE (prev_file_num) REPLACE (CASE WHEN candidate_office = 'House' THEN candidate_district ELSE '' END AS candidate_district, regexp_replace(amount, ',|\\$', '', 'g')::DECIMAL(15,2) AS amount, regexp_replace(aggregate_amount, ',|\\$', '', 'g')::DECIMAL(15,2) AS aggregate_amount)
+  FROM indexp i WHERE NOT EXISTS (SELECT 1 FROM indexp a WHERE i.spender_id = a.spender_id AND i.filing_number = a.prev_file_num)),
+cand_x AS (SELECT DISTINCT entity_id, cycle, spender_id, filing_number, transaction_id FROM filing JOIN pub_attribute ON candidate_id = value AND namespace = 'urn:fec:candidate'),
+comm_x AS (SELECT DISTINCT entity_id, cycle, spender_id FROM filing JOIN pub_attribute ON spender_id = value AND namespace = 'urn:fec:committee'),
+spent_x AS (SELECT i.cycle, cand.id AS candidate_entity, coalesce(cand.name, candidate_name) AS candidate_name, comm.id AS committee_entity, coalesce(comm.name, spender_name) AS committee_name, support_oppose, sum(amount) AS amount
+  FROM filing i LEFT JOIN cand_x ca USING (spender_id, filing_number, transaction_id) LEFT JOIN entity cand ON ca.entity_id = cand.id LEFT JOIN comm_x co ON co.spender_id = i.spender_id AND co.cycle = i.cycle LEFT JOIN entity comm ON co.entity_id = comm.id GROUP BY ALL),
+total_x AS (SELECT cycle, committee_entity AS entity_id, sum(amount) AS spending_amount FROM spent_x WHERE committee_entity IS NOT NULL GROUP BY ALL)"""
+query("indexp_candidate_links", f"{WITH}, {INDEXP} SELECT * FROM cand_x")(lambda s, d: _longs(el.candidate_links(tables(s, d)), "entity_id"))
+query("indexp_committee_links", f"{WITH}, {INDEXP} SELECT * FROM comm_x")(lambda s, d: _longs(el.committee_links(tables(s, d)), "entity_id"))
+query("indexp_by_candidate_and_committee", f"{WITH}, {INDEXP} SELECT * REPLACE (amount::DOUBLE AS amount) FROM spent_x")(lambda s, d: _longs(_plain(el.independent_spending(tables(s, d))), "candidate_entity", "committee_entity"))
+query("indexp_totals", f"{WITH}, {INDEXP} SELECT * REPLACE (spending_amount::DOUBLE AS spending_amount) FROM total_x")(lambda s, d: _longs(_plain(el.independent_totals(tables(s, d))), "entity_id"))
+
 # --- bundling
 
 BUNDLES = """latest_b AS (SELECT * FROM bundle QUALIFY row_number() OVER (PARTITION BY committee_fec_id, year(end_date), month(end_date) > 6 ORDER BY end_date DESC, filing_date DESC NULLS LAST, file_num DESC) = 1),
