@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -43,6 +43,21 @@ def drop_adjacent_repeats(df: DataFrame, order: str) -> DataFrame:
     return df.dropDuplicates([c for c in df.columns if c != order])
 
 
+def drop_neighbours(df: DataFrame, order: str = "line") -> DataFrame:
+    """Records out that equal the one before them in their file, as `uniq` does; equal records further apart stay. order: the column that `in_file_order` made.
+
+    A file is read in pieces by several tasks. A record is compared with the one before it in its piece, a piece's first record with the last one of the piece before; only
+    those edge records are brought together, one for each piece of a file. Nulls equal nulls; a file's first record always stays.
+    """
+    columns = [c for c in df.columns if c != order]
+    piece, place = [F.col(f"{order}.file").alias("_file"), F.col(f"{order}.piece").alias("_piece")], F.col(f"{order}.place")
+    rows = df.select("*", *piece, F.struct(*columns).alias("_row"))
+    edges = rows.groupBy("_file", "_piece").agg(F.max_by("_row", place).alias("_last"))
+    edges = edges.select("_file", "_piece", F.lag("_last").over(Window.partitionBy("_file").orderBy("_piece")).alias("_edge"))
+    before = F.lag("_row").over(Window.partitionBy("_file", "_piece").orderBy(place))
+    return rows.withColumn("_before", before).join(edges, ["_file", "_piece"]).filter(~F.coalesce(F.coalesce("_before", "_edge").eqNullSafe(F.col("_row")), F.lit(False))).select(*df.columns)
+
+
 def salt_rows(df: DataFrame, amount: str, seed: int) -> DataFrame:
     """Each row as two whose amounts sum to its own, split at a place that a hash of the seed and the row gives: the same however rows are dealt, or computed again."""
     place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns]), 11) / F.lit(float(1 << 53))
