@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from meridian.functions import names
 from meridian.operators import entities as en
-from meridian.operators import fuzzy
+from meridian.operators import fuzzy, persons
+from meridian.operators.close import close_matches
 from meridian.queries.base import CONTRIBUTIONS, contributions, query, table
 
 
@@ -109,12 +110,12 @@ def fuzzy_match_top_score(spark, sf):
     return fuzzy.match_people(subjects, targets, nick, keep_unmatched=True)
 
 
-@query("fuzzy_organizations", """WITH s AS (SELECT DISTINCT p_name FROM part), t AS (SELECT DISTINCT p_name FROM part WHERE p_name LIKE 'red%')
+@query("fuzzy_organizations", """WITH s AS (SELECT DISTINCT p_name FROM part), t AS (SELECT DISTINCT p_name FROM part)
 SELECT s.p_name AS subject_id, t.p_name AS match_id, 'kernel' AS tier, 4.0::DOUBLE AS confidence FROM s JOIN t ON s.p_name = t.p_name""")
 def fuzzy_organizations(spark, sf):
     p = table(spark, sf, "part").select("p_name").distinct()
     s = p.select(F.col("p_name").alias("id"), F.concat(F.initcap("p_name"), F.lit(", Inc.")).alias("name"))
-    t = p.filter("p_name like 'red%'").select(F.col("p_name").alias("id"), F.concat("p_name", F.lit(" Corp")).alias("name"))
+    t = p.select(F.col("p_name").alias("id"), F.concat("p_name", F.lit(" Corp")).alias("name"))
     return fuzzy.match_organizations(s, t)
 
 
@@ -160,6 +161,43 @@ def unique_name_match(spark, sf):
     return table(spark, sf, "part").groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey"), F.count("*").alias("n")).filter("n = 1").drop("n")
 
 
+@query("close_recipient_names")
+def close_recipient_names(spark, sf):
+    """Every customer as a recipient whose name is written loosely, every part as an organisation; eight parts share a first word, so the words grow with the table. Python tests hold the matches."""
+    o = _organizations(spark, sf).withColumn("name", F.concat(F.lit("Q"), F.floor(F.col("id") / 8).cast("string"), F.lit("x "), "name")).select("id", "name")
+    k = F.col("c_custkey")
+    color = F.element_at(F.array(*[F.lit(x) for x in ("Red", "Bleu", "iron", "Stone", "Gold")]), (k % 5 + 1).cast("int"))
+    name = F.concat(F.when(k % 3 == 0, "The ").otherwise(""), F.lit("Q"), F.floor(k / 8).cast("string"), F.lit("x "), color, F.lit(" Q"), F.floor(k / 8).cast("string"), F.when(k % 2 == 0, "x Trust").otherwise("x corp."))
+    return close_matches(table(spark, sf, "customer").select(k.alias("id"), name.alias("name")), o)
+
+
+NICKNAMES = [("JOHN", "john"), ("JON", "john"), ("ANN", "ann"), ("ANNA", "ann")]
+
+
+def _lettered(spark, sf, source="customer", key="c_custkey", nation="c_nationkey"):
+    """_people with last names of letters alone."""
+    return _people(spark, sf, source, key, nation).withColumn("last", F.translate("last", "0123456789", "abcdefghij"))
+
+
+@query("people_of_equal_names")
+def people_of_equal_names(spark, sf):
+    """All pairs of customers, of even and of odd nations, whose names may be one person's; Python tests hold the pairs."""
+    p = _lettered(spark, sf).withColumn("name", F.concat("first", "middle", F.lit(" "), "last"))
+    nick = spark.createDataFrame(NICKNAMES, "name string, family string")
+    side = lambda where: persons.parsed(p.filter(where).select("id", "name"), nick)
+    return persons.equal_people(side("is_subject"), side("not is_subject"))
+
+
+@query("only_politician_of_name")
+def only_politician_of_name(spark, sf):
+    """Every supplier as a politician with two aliases, every customer as one who names one; Python tests hold the choice."""
+    p = _lettered(spark, sf, "supplier", "s_suppkey", "s_nationkey")
+    both = F.explode(F.array(F.concat(F.upper("last"), F.lit(", "), F.upper("first"), F.upper("middle")), F.concat("first", F.lit(" "), "last", F.when(F.col("id") % 2 == 0, " (D)").otherwise(""))))
+    aliases = p.select(F.col("id").alias("entity_id"), F.concat("last", F.lit(", "), "first").alias("entity_name"), both.alias("alias"))
+    names_ = _lettered(spark, sf).select("id", F.concat(F.left("first", F.lit(1)), F.lit("."), "middle", F.lit(" "), "last").alias("name"))
+    return persons.only_politician(names_, aliases, spark.createDataFrame(NICKNAMES, "name string, family string"))
+
+
 def _state(nation):
     """Two letters for each nation."""
     return F.concat(F.char(F.floor(nation / 5) + 65), F.char(nation % 5 + 65))
