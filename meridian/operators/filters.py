@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meridian.functions.text import text_match
+from meridian.operators import ranking
 
 RESERVED = ("page", "per_page", "format", "callback", "apikey", "limit", "return_entities", "_")
 DELIMITER = "|"
@@ -134,7 +135,7 @@ def search(df: DataFrame, schema: dict[str, Field], params: dict[str, str], orde
     """A page of the records that the parameters select, in a stated order; pages count from 1."""
     size = min(int(params.get("per_page", per_page)), most)
     skip = (int(params.get("page", 1)) - 1) * size
-    return df.filter(build(schema, params)).orderBy(*order).offset(skip).limit(size)
+    return ranking.page(df.filter(build(schema, params)), order, skip, size)
 
 
 def totals(df: DataFrame, schema: dict[str, Field], params: dict[str, str]) -> DataFrame:

@@ -73,8 +73,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """rank() over all rows without a single-partition window: ranges are sorted apart, and each range starts from the rows before it.
+#: Rows that a page by number may skip on the driver; pages further on are cut by numbers of sorted ranges.
+NEAR = 100_000
+
+
+def page(df: DataFrame, order: list[Column], skip: int, size: int) -> DataFrame:
+    """Rows skip + 1 to skip + size in an order. At most NEAR + size rows come together on the driver, however far the page is."""
+    if skip <= NEAR:
+        return df.orderBy(*order).offset(skip).limit(size)
+    return global_rank(df, order, "_at", ties=False).filter(F.col("_at").between(skip + 1, skip + size)).orderBy("_at").drop("_at")
+
+
+def global_rank(df: DataFrame, order: list[Column], name: str = "rank", ties: bool = True) -> DataFrame:
+    """rank() over all rows, or without ties row_number(), without a single-partition window: ranges are sorted apart, and each range starts from the rows before it.
 
     The rows of each range are counted first; only these few counts come together. Ranges are cut by a sample, so the dealt rows are checkpointed:
     counts and ranks must see the same ranges.
@@ -83,5 +94,5 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     dealt = checkpointed(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))  # equal order keys lie in one range
     before = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     offsets = before.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    own = F.rank().over(Window.partitionBy("_part").orderBy(*order))
+    own = (F.rank() if ties else F.row_number()).over(Window.partitionBy("_part").orderBy(*order))
     return dealt.withColumn("_own", own).join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_own") + F.col("_before")).cast("int")).drop("_part", "_own", "_before")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from meridian.functions.cycles import ALL_CYCLES
 from meridian.functions.text import text_match
-from meridian.operators.ranking import first_row, global_rank
+from meridian.operators.ranking import checkpointed, first_row, page
 
 Tables = dict[str, DataFrame]
 #: What requests may ask for; anything else is not asked.
@@ -45,8 +45,6 @@ TOTALS = {
     "committee_summaries": ("entity_id", {"fec_total_raised": "total_raised", "fec_summary_count": "count"}),
 }
 PER_PAGE, MOST_PER_PAGE, MOST_LISTED = 10, 25, 10_000
-#: Lists that begin further on are cut by position in sorted ranges, not by an offset, whose skipped rows would come to the driver.
-NEAR = 100_000
 
 
 def _named(t: Tables, search: str) -> DataFrame:
@@ -146,12 +144,13 @@ def scored(t: Tables, params: dict[str, str]) -> DataFrame:
 
 def scored_page(t: Tables, params: dict[str, str]) -> DataFrame:
     """A page of them, best first, ties by id; 10 where not said, 25 at most. External ids are (namespace, id) in order; totals are those over all cycles, null where nothing is known."""
-    size, page = min(int(params.get("per_page", PER_PAGE)), MOST_PER_PAGE), max(int(params.get("page", 1)), 1)
-    rows = scored(t, params).orderBy(F.desc("score"), F.asc("id")).offset((page - 1) * size).limit(size)
-    ids = t["attribute"].groupBy(F.col("entity_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("namespace", F.col("value").alias("id")))).alias("external_ids"))
+    size, number = min(int(params.get("per_page", PER_PAGE)), MOST_PER_PAGE), max(int(params.get("page", 1)), 1)
+    order = [F.desc("score"), F.asc("id")]
+    rows = checkpointed(page(scored(t, params), order, (number - 1) * size, size))  # the search runs once; what follows reads these few rows
+    ids = t["attribute"].join(rows.select(F.col("id").alias("entity_id")), "entity_id", "left_semi").groupBy(F.col("entity_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("namespace", F.col("value").alias("id")))).alias("external_ids"))
     known = totals(t, rows, ALL_CYCLES).drop("cycle")
     known = known.select("id", F.struct(*[c for c in known.columns if c != "id"]).alias("totals"))
-    return rows.join(ids, "id", "left").join(known, "id", "left").orderBy(F.desc("score"), F.asc("id"))
+    return rows.join(ids, "id", "left").join(known, "id", "left").orderBy(*order)
 
 
 def scored_total(t: Tables, params: dict[str, str]) -> DataFrame:
@@ -177,10 +176,7 @@ def listed(t: Tables, start: int, end: int, kind: str | None = None) -> DataFram
         raise ValueError("only 10,000 entities can be listed at a time")
     rows = t["entity"] if kind is None else t["entity"].filter(F.col("type") == kind)
     rows = rows.select("id", "name", "type")
-    if start <= NEAR:
-        rows = rows.orderBy("id").offset(start).limit(end - start + 1)
-    else:
-        rows = global_rank(rows, [F.col("id")]).filter(F.col("rank").between(start + 1, end + 1)).drop("rank")
+    rows = page(rows, [F.col("id")], start, end - start + 1)
     other = t["alias"].select(F.col("entity_id").alias("id"), "alias")
     joined = rows.join(other, "id", "left").groupBy("id", "name", "type")
     return joined.agg(F.array_sort(F.collect_list(F.when(F.col("alias") != F.col("name"), F.col("alias")))).alias("aliases")).orderBy("id")

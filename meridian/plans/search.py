@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from meridian.functions.cleaning import mapped
 from meridian.operators import filters as fl
+from meridian.operators.ranking import page
 
 Tables = dict[str, DataFrame]
 Step = Callable[[DataFrame, Tables, str], DataFrame]
@@ -286,11 +287,13 @@ def search(tables: Tables, name: str, params: dict[str, str], after: dict | None
     df, order = select(tables, name, params), _order(records)
     if after:
         df = df.filter(_beyond(order, after))
-    df = df.orderBy(*[F.col(c).desc_nulls_first() if falling else F.col(c).asc_nulls_last() for c, falling in order])
+    by = [F.col(c).desc_nulls_first() if falling else F.col(c).asc_nulls_last() for c, falling in order]
     if not records.whole or "page" in params or after:
         size = min(int(params.get("per_page", 100_000 if records.whole else 1000)), 100_000)
         skip = 0 if after else (int(params.get("page", 1)) - 1) * size
-        df = df.offset(skip).limit(size)
+        df = page(df, by, skip, size)
+    else:
+        df = df.orderBy(*by)
     for new, (codes, labels) in records.labels.items():
         df = df.withColumn(new, F.coalesce(mapped(F.col(codes), labels), F.lit("")))
     return df.select(*[c for c in records.output if c in df.columns]) if records.output else df.drop(*INTERNAL)

@@ -204,7 +204,7 @@ def test_entities_listed(spark, monkeypatch):
     t = entities(spark)
     wanted = [(2, "Apple Inc", "organization", ["Apple Computer", "Apple Computer"]), (3, "Apple PAC", "organization", [])]
     assert [tuple(r) for r in es.listed(t, 1, 2).collect()] == wanted
-    monkeypatch.setattr(es, "NEAR", 0)
+    monkeypatch.setattr("meridian.operators.ranking.NEAR", 0)
     assert [tuple(r) for r in es.listed(t, 1, 2).collect()] == wanted
     assert es.listed(t, 0, 10_000, "industry").count() == 1 and es.listed(t, 50, 60).count() == 0 and es.count(t, "politician").first()[0] == 2
     for start, end in ((5, 4), (0, 10_001)):

@@ -112,3 +112,16 @@ def test_stored_tables_are_made_anew_where_the_folder_was_emptied(spark):
     for path in list(base.PATHS):
         fs(path).getFileSystem(spark._jsc.hadoopConfiguration()).delete(fs(path), True)
     assert QUERIES[name](spark, SF).count() == before
+
+
+def test_pages_far_on_equal_an_offset(spark, monkeypatch):
+    """Beyond NEAR a page is cut by numbers of sorted ranges, ties or not."""
+    from meridian.operators import ranking
+
+    df = spark.range(5000).select("id", (F.col("id") * 37 % 101).alias("v"))
+    order = [F.desc("v"), F.asc("id")]
+    want = [r["id"] for r in df.orderBy(*order).collect()]
+    for near in (10_000, 100):
+        monkeypatch.setattr(ranking, "NEAR", near)
+        for skip, size in ((0, 10), (101, 7), (4995, 50), (6000, 5)):
+            assert [r["id"] for r in ranking.page(df, order, skip, size).collect()] == want[skip : skip + size]
