@@ -142,6 +142,12 @@ ENDPOINTS = {
     "org/regulations_submitter": _top("regulations_submitter", ("-count",), joins=_TITLED, **_DOCKETS),
     "orgs/regulations/submitters/top": _top("regulations_text_totals", ("-document_count",), None, (_NAMED("organization", also="lower(name) not in ('network', 'impact', 'member')"),), entity_id="entity_id", name="name", count="document_count"),
     # election filings and independent spending
+    "pol/fec_summary": Endpoint("fec_candidate_summaries", {c: c for c in ("total_raised", "office", "total_receipts_rank", "total_disbursements_rank", "cash_on_hand_rank", "max_rank", "contributions_indiv", "contributions_pac", "contributions_party", "contributions_candidate", "transfers_in", "disbursements", "cash_on_hand", "date")}, "one"),
+    "org/fec_summary": Endpoint("fec_committee_summaries", {c: c for c in (*el.COMMITTEE_SUMS, "first_filing_date", "last_filing_date", "num_committee_filings")}, "one"),
+    "pol/fec_local_breakdown": _pie("fec_candidate_places", "local", {}),
+    "pol/fec_itemized": _top("fec_candidate_itemized", ("-amount",), **{c: c for c in ("contributor_name", "date", "amount", "contributor_type", "transaction_type")}, organization="employer", **{c: c for c in ("occupation", "city", "state", "zipcode", "candidate_name", "party", "race", "status")}),
+    "org/fec_top_contribs": _top("fec_top_contributors", ("-amount",), contributor_name="contributor_name", transaction_type="transaction_type", **_AMOUNT),
+    "pols/office/top": _top("fec_by_office", ("rank",), "office", name="candidate_name", entity_id="entity_id", amount="total_receipts"),
     "pol/fec_timeline": _top("candidate_timeline", ("week",), week="week", count="count", amount="amount", cumulative="cumulative"),
     "pol/fec_indexp": _top("independent_spending", ("-amount",), "candidate_entity", committee_name="committee_name", committee_entity="committee_entity", support_oppose="support_oppose", amount="amount"),
     "org/fec_indexp": _top("independent_spending", ("-amount",), "committee_entity", candidate_name="candidate_name", candidate_entity="candidate_entity", support_oppose="support_oppose", amount="amount"),
@@ -160,19 +166,19 @@ class NotFound(KeyError):
 
 
 def _rows(tables, e: Endpoint, cycle: int, key=None) -> DataFrame:
-    """An endpoint's rows with its fields, _key and _0, _1 and so on to order by. Filters come first, so only the asked entity's and cycle's rows are read."""
+    """An endpoint's rows with its fields, _key and _0, _1 and so on to order by. Filters go down to the scans, so only the asked entity's and cycle's rows are read."""
     df = tables[e.table]
-    if key is not None:
-        df = df.filter(F.col(e.key) == F.lit(key))
     if "cycle" in df.columns and not (e.sums and cycle == ALL_CYCLES):  # rows that are summed here have no row for all cycles
         df = df.filter(F.col("cycle") == cycle)
     for i, j in enumerate(e.joins):
         other = tables[j.table].filter(j.where).select(F.col(j.right).alias(f"_on{i}"), *j.columns)
         df = df.drop(*[c for c in j.columns if c not in (j.left, e.key)]).join(other, F.col(j.left) == F.col(f"_on{i}"), j.how).drop(f"_on{i}")
     df = df.filter(e.where)
+    if key is not None:
+        df = df.filter(F.col(e.key) == F.lit(key))
     own = F.col(e.key) if e.key else F.lit(None).cast("long")
     if e.kind == "pie":
-        known = F.create_map(*[F.lit(x) for kv in e.labels.items() for x in kv])[F.col(e.category)]
+        known = F.create_map(*[F.lit(x) for kv in e.labels.items() for x in kv])[F.col(e.category)] if e.labels else F.lit(None).cast("string")
         label = F.coalesce(known, F.lit(e.default) if e.default else F.col(e.category))
         return df.groupBy(own.alias("_key"), label.alias("category")).agg(F.sum("count").alias("count"), F.sum("amount").alias("amount"))
     if e.sums:
@@ -286,7 +292,8 @@ BUILDERS: dict[str, Callable[[Mapping[str, DataFrame]], DataFrame]] = {
     **{name: lambda t, name=name: lb.top_list(t, name) for name in lb.LISTS}, "lobbying_by_cycle": lb.by_cycle_rolled_up,
     "bundling": pr.bundling, "top_spending": pr.top_spending, "top_earmarks": pr.top_earmarks, "earmarks_local": pr.earmarks_local, "top_enforcement": pr.top_enforcement, "top_misconduct": pr.top_misconduct,
     **{f"regulations_{k}": lambda t, k=k: pr.top_dockets(t, k) for k in ("text", "submitter")}, "regulations_text_totals": lambda t: pr.docket_totals(t, "text"),
-    "independent_spending": el.independent_spending, "independent_spending_totals": el.independent_totals,
+    "fec_candidate_summaries": el.candidate_summaries, "fec_committee_summaries": el.committee_summaries, "fec_candidate_places": el.candidate_places, "fec_candidate_itemized": lambda t: el.candidate_itemized(t).join(_ids(t, "urn:fec:candidate", "candidate_id"), "candidate_id"),
+    "fec_top_contributors": el.top_contributors, "fec_by_office": el.by_office, "independent_spending": el.independent_spending, "independent_spending_totals": el.independent_totals,
     "independent_spending_of_candidates": lambda t: el.of_candidates(t), "independent_spending_of_committees": lambda t: el.of_committees(t),
 }
 

@@ -275,7 +275,7 @@ def latest_bundles(t: Tables) -> DataFrame:
 
 def bundle_recipients(t: Tables) -> DataFrame:
     """file_num, entity_id: the recipient of the committee in the report's cycle."""
-    c = t["committee"].select(F.col("committee_id").alias("committee_fec_id"), F.col("cycle").alias("_cycle"), "recipient_id")
+    c = t["bundle_committee"].select(F.col("committee_id").alias("committee_fec_id"), F.col("cycle").alias("_cycle"), "recipient_id")
     ids = t["attribute"].filter("namespace in ('urn:crp:recipient', 'urn:fec:committee')").select("entity_id", F.col("value").alias("recipient_id"))
     b = latest_bundles(t).select("file_num", "committee_fec_id", even_year(F.col("report_year")).alias("_cycle"))
     return b.join(c, ["committee_fec_id", "_cycle"]).join(ids, "recipient_id").select("file_num", "entity_id")

@@ -14,6 +14,14 @@ from meridian.queries.plans import INDUSTRY, ORG, POL
 
 _LATER = "CAST(CAST({0} AS DATE) + INTERVAL 10 YEAR AS DATE)"
 _LINE = "l_orderkey * 8 + l_linenumber"
+_SUMMED = (
+    "total_receipts", "total_disbursements", "ending_cash", "candidate_loan_repayments", "other_loan_repayments", "refunds_to_individuals", "refunds_to_committees", "total_individual_contributions",
+    "contributions_from_other_committees", "contributions_from_party_committees", "contributions_from_candidate", "loans_from_candidate", "authorized_transfers_from",
+)
+_COMMITTEE = (
+    "total_receipts", "loan_repayments", "refunds_to_individuals", "refunds_to_committees", "individual_contributions", "contributions_from_other_committees", "transfers_from_affiliates", "nonfederal_transfers_received",
+    "total_loans_received", "total_disbursements", "cash_close_of_period", "debts_owed", "contributions_to_committees", "independent_expenditures_made", "party_coordinated_expenditures_made", "nonfederal_expenditure_share",
+)
 STANDINS = {
     "line": "SELECT l_orderkey, l_linenumber, "
     + ", ".join(f"max({c}) AS {c}" for c in ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"))
@@ -61,9 +69,20 @@ STANDINS = {
   'G' AS election_type, 'S' || CAST(o_orderkey % 9 AS STRING) AS candidate_state, '0' || CAST(o_orderkey % 5 AS STRING) AS candidate_district, CASE o_orderkey % 3 WHEN 0 THEN 'House' WHEN 1 THEN 'Senate' ELSE 'President' END AS candidate_office, CASE o_orderkey % 2 WHEN 0 THEN 'D' ELSE 'R' END AS candidate_party,
   '$1,' || lpad(CAST(o_orderkey % 1000 AS STRING), 3, '0') || '.50' AS amount, '$' || CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS STRING) AS aggregate_amount, CASE o_orderkey % 7 WHEN 0 THEN 'Support' WHEN 1 THEN 'oppose' WHEN 2 THEN NULL ELSE 'support' END AS support_oppose, CAST(o_orderdate AS DATE) AS date,
   'ads' AS purpose, 'payee ' || CAST(o_orderkey % 11 AS STRING) AS payee, CAST(o_orderkey AS STRING) AS filing_number, CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderkey - 32 AS STRING) END AS prev_file_num, 'N' AS amendment, 'T' || CAST(o_orderkey AS STRING) AS transaction_id, 'I' AS image_number, CAST(o_orderdate AS DATE) AS received_date FROM orders""",
+    "candidate": """SELECT 'H' || CAST(c_custkey % 60 AS STRING) AS candidate_id, c.cycle, max('Candidate ' || CAST(c_custkey % 60 AS STRING)) AS candidate_name, max(CASE c_custkey % 60 % 3 WHEN 0 THEN 'H' WHEN 1 THEN 'S' ELSE 'P' END) AS office, max('S' || CAST(c_custkey % 60 % 9 AS STRING)) AS office_state,
+  max(CASE c_custkey % 2 WHEN 0 THEN 'D' ELSE 'R' END) AS party, max('R' || CAST(c_custkey % 60 % 20 AS STRING)) AS race, max(CASE WHEN c_custkey % 60 % 7 > 0 THEN 'C' ELSE 'N' END) AS candidate_status, max(CASE WHEN c_custkey % 60 % 5 > 0 THEN 'I' END) AS incumbent_challenger_open,
+  max('C' || CAST(c_custkey % 60 % 32 AS STRING)) AS committee_id, c.cycle AS election_year FROM customer CROSS JOIN (VALUES (1994), (1996), (1998)) AS c(cycle) GROUP BY c_custkey % 60, c.cycle""",
+    "candidate_summary": f"""SELECT 'H' || CAST(o_custkey % 60 AS STRING) AS candidate_id, CAST(year(o_orderdate) + year(o_orderdate) % 2 AS INT) AS cycle, {", ".join(f"CAST(sum(CAST(o_totalprice AS DECIMAL(15,2)) * (o_orderkey % {i + 2})) AS DECIMAL(20,2)) AS {c}" for i, c in enumerate(_SUMMED))},
+  max(CAST(o_orderdate AS DATE)) AS ending_date, max(CASE o_custkey % 60 % 4 WHEN 0 THEN 'W' WHEN 1 THEN 'L' WHEN 2 THEN 'X' END) AS primary_election_status, max(CASE o_orderkey % 50 WHEN 0 THEN 'W' END) AS special_election_status, max(CASE o_orderkey % 60 WHEN 1 THEN 'L' END) AS runoff_election_status, max(CASE o_custkey % 3 WHEN 0 THEN 'W' ELSE 'L' END) AS general_election_status
+  FROM orders GROUP BY o_custkey % 60, year(o_orderdate) + year(o_orderdate) % 2""",
+    "fec_committee": "SELECT 'C' || CAST(c_custkey % 60 AS STRING) AS committee_id, c.cycle, max('Committee ' || CAST(c_custkey % 60 AS STRING)) AS committee_name, max(CASE WHEN c_custkey % 60 % 3 > 0 THEN 'Org ' || CAST(c_custkey % 60 AS STRING) END) AS connected_org FROM customer CROSS JOIN (VALUES (1994), (1996), (1998)) AS c(cycle) GROUP BY c_custkey % 60, c.cycle",
+    "committee_summary": f"""SELECT 'C' || CAST(o_custkey % 60 AS STRING) AS committee_id, CAST(year(o_orderdate) + year(o_orderdate) % 2 AS INT) AS cycle, CAST(o_orderdate AS DATE) AS through_date, {", ".join(f"CAST(CAST(o_totalprice AS DECIMAL(15,2)) * (o_orderkey % {i + 2}) AS DECIMAL(20,2)) AS {c}" for i, c in enumerate(_COMMITTEE))} FROM orders""",
+    "giver": """SELECT 'C' || CAST(l_suppkey % 60 AS STRING) AS filer_id, CAST(year(l_shipdate) + year(l_shipdate) % 2 AS INT) AS cycle, CAST(l_shipdate AS DATE) AS date, CAST(l_extendedprice AS DECIMAL(15,2)) AS amount, 'Giver ' || CAST(l_partkey % 40 AS STRING) AS contributor_name,
+  CASE l_linenumber WHEN 1 THEN '10' WHEN 2 THEN '15e' WHEN 3 THEN '24k' ELSE '15' END AS transaction_type, 'Employer' AS employer, CASE WHEN l_partkey % 3 > 0 THEN 'Job' END AS occupation, 'City' AS city, CASE WHEN l_partkey % 10 < 9 THEN 'S' || CAST(l_partkey % 10 AS STRING) END AS state, '1' AS zipcode FROM line""",
+    "group_gift": "SELECT 'C' || CAST(l_partkey % 60 AS STRING) AS filer_id, 'C' || CAST(l_suppkey % 32 AS STRING) AS other_id, CAST(year(l_shipdate) + year(l_shipdate) % 2 AS INT) AS cycle, CAST(l_shipdate AS DATE) AS date, CAST(l_quantity AS DECIMAL(15,2)) AS amount, '24z' AS transaction_type, 'Town' AS city, 'S1' AS state, '2' AS zipcode FROM line WHERE l_linenumber < 3",
     "door_lobbyist": f"SELECT {_LINE} AS id, l_orderkey AS transaction_id, 'x' AS lobbyist_name, lpad(CAST(l_suppkey % 40 * 4 AS STRING), 11, '0') || '2' AS lobbyist_ext_id, CASE WHEN l_partkey % 4 > 0 THEN CAST(l_partkey % 70 AS STRING) END AS candidate_ext_id FROM line WHERE l_linenumber = 1",
 }
-_RENAMED = {"pub_attribute": "attribute", "grant_": "grant", "contract_": "contract", "agency_": "agency", "case_": "case", "comment_": "comment", "committee_": "committee"}
+_RENAMED = {"fec_committee": "committee", "pub_attribute": "attribute", "grant_": "grant", "contract_": "contract", "agency_": "agency", "case_": "case", "comment_": "comment", "committee_": "bundle_committee"}
 WITH = f"{lobbying.SQL_WITH}, {', '.join(f'{n} AS ({s})' for n, s in STANDINS.items())}"
 
 
@@ -203,6 +222,41 @@ query("indexp_committee_links", f"{WITH}, {INDEXP} SELECT * FROM comm_x")(lambda
 query("indexp_by_candidate_and_committee", f"{WITH}, {INDEXP} SELECT * REPLACE (amount::DOUBLE AS amount) FROM spent_x")(lambda s, d: _longs(_plain(el.independent_spending(tables(s, d))), "candidate_entity", "committee_entity"))
 query("indexp_totals", f"{WITH}, {INDEXP} SELECT * REPLACE (spending_amount::DOUBLE AS spending_amount) FROM total_x")(lambda s, d: _longs(_plain(el.independent_totals(tables(s, d))), "entity_id"))
 
+# --- election filings
+
+RUNNING = "running AS (SELECT * FROM candidate JOIN candidate_summary USING (candidate_id, cycle) WHERE candidate_status = 'C')"
+query("fec_race_status_by_election", f"{WITH}, {RUNNING} SELECT election_year, race, {', '.join(f'max({c}) AS {c}' for c in el.STATUSES)} FROM running GROUP BY ALL")(lambda s, d: el.race_status(tables(s, d)))
+_ranks = ", ".join(f"rank() OVER (PARTITION BY office, cycle ORDER BY {c} DESC) AS {n}" for c, n in el.RANKED.items())
+RANKINGS = f"""{RUNNING}, field AS (SELECT count(DISTINCT candidate_id) AS num_candidates_in_field, office, 'W' AS status, cycle FROM running WHERE primary_election_status = 'W' GROUP BY ALL UNION ALL SELECT count(DISTINCT candidate_id), office, NULL, cycle FROM running GROUP BY ALL),
+won AS (SELECT candidate_id, office, cycle, primary_election_status, {_ranks} FROM running WHERE primary_election_status = 'W'), everybody AS (SELECT candidate_id, office, cycle, primary_election_status, {_ranks} FROM running),
+rankings AS (SELECT won.*, num_candidates_in_field FROM won JOIN field ON field.office = won.office AND field.cycle = won.cycle AND field.status = 'W'
+  UNION ALL SELECT x.*, num_candidates_in_field FROM everybody x JOIN field ON field.office = x.office AND field.cycle = x.cycle WHERE x.primary_election_status IS NULL OR x.primary_election_status = 'L')"""
+query("fec_rankings_by_office", f"{WITH}, {RANKINGS} SELECT * FROM rankings")(lambda s, d: _longs(el.candidate_rankings(tables(s, d)), *el.RANKED.values()))
+query("fec_weekly_by_candidate", f"""{WITH}, gift AS (SELECT filer_id AS committee_id, cycle, date, amount FROM giver UNION ALL SELECT other_id, cycle, date, amount FROM group_gift),
+w AS (SELECT candidate_id, cycle, race, floor(date_diff('day', make_date((year(date) + year(date) % 2 - 1)::INTEGER, 1, 1), date) / 7)::INTEGER AS week, count(*) AS count, sum(amount) AS amount FROM candidate JOIN (SELECT candidate_id, cycle FROM candidate_summary) USING (candidate_id, cycle) JOIN gift USING (committee_id, cycle) GROUP BY ALL)
+SELECT * REPLACE (amount::DOUBLE AS amount), (sum(amount) OVER (PARTITION BY candidate_id, cycle, race ORDER BY week))::DOUBLE AS cumulative_raised FROM w""")(lambda s, d: _plain(el.candidate_timeline(tables(s, d))))
+query("fec_gifts_to_candidates", f"""{WITH}, i AS (SELECT filer_id AS committee_id, 'indiv' AS contributor_type, contributor_name, employer, occupation, city, state, zipcode, date, amount, transaction_type, cycle FROM giver
+  UNION ALL SELECT other_id, 'pac', committee_name, connected_org, '', city, state, zipcode, date, amount, transaction_type, t.cycle FROM group_gift t JOIN fec_committee c ON c.committee_id = t.filer_id AND c.cycle = t.cycle)
+SELECT i.* REPLACE (amount::DOUBLE AS amount, date::VARCHAR AS date), candidate_id, candidate_name, party, race, incumbent_challenger_open AS status FROM candidate JOIN i USING (committee_id, cycle)""")(lambda s, d: _plain(el.candidate_itemized(tables(s, d)).withColumn("date", F.col("date").cast("string"))))
+_SUMMARY = {"total_raised": "total_receipts - (candidate_loan_repayments + other_loan_repayments + refunds_to_individuals + refunds_to_committees)", "contributions_indiv": "total_individual_contributions - refunds_to_individuals", "contributions_pac": "contributions_from_other_committees",
+    "contributions_party": "contributions_from_party_committees", "contributions_candidate": "contributions_from_candidate + loans_from_candidate - candidate_loan_repayments", "transfers_in": "authorized_transfers_from", "disbursements": "total_disbursements", "cash_on_hand": "ending_cash"}
+query("fec_candidate_summary_rows", f"""{WITH}, {RANKINGS} SELECT a.entity_id, c.cycle, c.office, {", ".join(f"r.{n}" for n in el.RANKED.values())}, num_candidates_in_field AS max_rank, {", ".join(f"({x})::DOUBLE AS {n}" for n, x in _SUMMARY.items())}, ending_date::VARCHAR AS date
+FROM candidate c JOIN candidate_summary s USING (candidate_id, cycle) JOIN pub_attribute a ON c.candidate_id = a.value AND a.namespace = 'urn:fec:candidate' LEFT JOIN rankings r ON r.candidate_id = c.candidate_id AND r.cycle = c.cycle""")(
+    lambda s, d: _longs(_plain(el.candidate_summaries(tables(s, d)).withColumn("date", F.col("date").cast("string"))), "entity_id", *el.RANKED.values())
+)
+query("fec_committee_summary_rows", f"""{WITH} SELECT a.entity_id, c.cycle, {", ".join(f"sum({x})::DOUBLE AS {n}" for n, x in el.COMMITTEE_SUMS.items())}, min(through_date)::VARCHAR AS first_filing_date, max(through_date)::VARCHAR AS last_filing_date, count(*) AS num_committee_filings
+FROM committee_summary c JOIN pub_attribute a ON c.committee_id = a.value AND a.namespace = 'urn:fec:committee' GROUP BY ALL""")(
+    lambda s, d: _longs(_plain(el.committee_summaries(tables(s, d)).withColumns({c: F.col(c).cast("string") for c in ("first_filing_date", "last_filing_date")})), "entity_id")
+)
+query("fec_places_of_givers", f"""{WITH} SELECT a.entity_id, c.cycle, CASE WHEN c.office_state = i.state THEN 'in-state' ELSE 'out-of-state' END AS local, count(*) AS count, sum(amount)::DOUBLE AS amount
+FROM candidate c JOIN giver i ON c.committee_id = i.filer_id AND c.cycle = i.cycle JOIN pub_attribute a ON c.candidate_id = a.value AND a.namespace = 'urn:fec:candidate' GROUP BY ALL""")(lambda s, d: _longs(_plain(el.candidate_places(tables(s, d))), "entity_id"))
+query("fec_contributors_of_committees", f"""{WITH} SELECT a.entity_id, i.cycle, contributor_name, transaction_type, count(*) AS count, sum(amount)::DOUBLE AS amount FROM giver i JOIN fec_committee c ON c.committee_id = i.filer_id AND c.cycle = i.cycle
+JOIN pub_attribute a ON i.filer_id = a.value AND a.namespace = 'urn:fec:committee' WHERE transaction_type IN ('10', '11', '15', '15e', '15j', '22y') GROUP BY ALL""")(lambda s, d: _longs(_plain(el.top_contributors(tables(s, d))), "entity_id"))
+query("fec_politicians_by_office", f"""{WITH}, {RUNNING}, latest_state AS (SELECT entity_id, max(cycle) AS cycle FROM politician_state GROUP BY ALL)
+SELECT a.entity_id, cycle, candidate_id, candidate_name, office, total_receipts::DOUBLE AS total_receipts, rank() OVER (PARTITION BY office ORDER BY total_receipts DESC) AS rank FROM running JOIN pub_attribute a ON candidate_id = a.value AND a.namespace = 'urn:fec:candidate' JOIN latest_state m USING (entity_id, cycle) WHERE incumbent_challenger_open IS NOT NULL""")(
+    lambda s, d: _longs(_plain(el.by_office(tables(s, d))), "entity_id")
+)
+
 # --- bundling
 
 BUNDLES = """latest_b AS (SELECT * FROM bundle QUALIFY row_number() OVER (PARTITION BY committee_fec_id, year(end_date), month(end_date) > 6 ORDER BY end_date DESC, filing_date DESC NULLS LAST, file_num DESC) = 1),

@@ -92,6 +92,11 @@ def test_lookups_by_route(spark):
     assert [(r["total"], r["count"]) for r in api.lookup(t, "lobbyist_bundling/firms").collect()] == [(31.0, 3)]
     assert [(r["total"], r["count"]) for r in api.lookup(t, "lobbyist_bundling/firms", cycle=2010).collect()] == [(5.0, 1)]
     assert [(r["recipient_name"], r["amount"]) for r in api.lookup(t, "bundles/of_firm", 2).collect()] == [("S", 20.0), ("R", 11.0)]
+    t["independent_spending"] = spark.createDataFrame([(2012, 1, "x", 2, "c", "Support", 5.0), (2012, 1, "x", 2, "c", "oppose", 7.0), (2012, 3, "y", 2, "c", "Support", 50.0)], "cycle int, candidate_entity int, candidate_name string, committee_entity int, committee_name string, support_oppose string, amount double")
+    t["politician_latest"] = spark.createDataFrame([(1, "federal:house", "OR", "D"), (3, "state:upper", "OR", "D")], "entity_id int, seat string, state string, party string")
+    assert [(r["entity_id"], r["support_amount"], r["total_amount"]) for r in api.lookup(t, "pols/indexp/top", "federal:house").collect()] == [(1, 5.0, 12.0)]
+    t["fec_candidate_places"] = spark.createDataFrame([(1, 2012, "in-state", 3, 4.0), (1, 2010, "in-state", 9, 9.0), (2, 2012, "out-of-state", 1, 1.0)], "entity_id int, cycle int, local string, count int, amount double")
+    assert [tuple(r) for r in api.lookup(t, "pol/fec_local_breakdown", 1, cycle=2012).collect()] == [("in-state", 3, 4.0)]
     with pytest.raises(ValueError):
         api.lookup(t, "pol/contributors")
     rows = api.bulk(t, ["pol/contributors", "pol/contributors/industries_unknown"]).collect()
