@@ -25,15 +25,17 @@ WITH = f"WITH {plans.CTES}, {', '.join(f'{n} AS ({s})' for n, s in STANDINS.item
 
 
 def tables(spark, sf, linked: bool = True) -> lb.Tables:
-    base = plans.tables(spark, sf)
+    """The stand-ins and those of contributions, without the latter's links; linked: with the reports' links as one more table."""
+    base = plans.tables(spark, sf, linked=False)
 
     def make():
-        made = standins(spark, sf, ("orders", "customer", "lineitem"), STANDINS, {n: base[n] for n in plans.STANDINS})
-        made["org_metadata"] = made.pop("lobbying_metadata")
-        return made | {"lobbying_linked": stored(lb.linked(base | made), "lobbying_linked")}
+        made = standins(spark, sf, ("orders", "customer", "lineitem"), STANDINS, base)
+        return made | {"org_metadata": made.pop("lobbying_metadata")}
 
     t = base | made_once(spark, ("lobbying", sf), make)
-    return t if linked else {n: d for n, d in t.items() if n != "lobbying_linked"}
+    if not linked:
+        return t
+    return t | made_once(spark, ("lobbying", sf, "linked"), lambda: {"lobbying_linked": stored(lb.linked(t), "lobbying_linked")})
 
 
 def _named(column: str) -> str:

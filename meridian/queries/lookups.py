@@ -12,9 +12,16 @@ from meridian.queries.base import SQL, query
 
 def warehouse(spark, sf) -> api.Warehouse:
     """The stand-ins with their stored links. Industries of politicians read the attributes of contributions."""
-    base = plans.tables(spark, sf)
-    lobby = lobbying.tables(spark, sf)
-    t = api.Warehouse(public.tables(spark, sf) | {n: lobby[n] for n in (*lobbying.STANDINS, "org_metadata", "lobbying_linked") if n in lobby})
+    base, lobby, own = plans.tables(spark, sf), lobbying.tables(spark, sf), public.tables(spark, sf)
+
+    class Stored(api.Warehouse):
+        def __missing__(self, name):
+            if name in api.BUILDERS:
+                return super().__missing__(name)
+            self[name] = own[name]
+            return self[name]
+
+    t = Stored(base | {n: lobby[n] for n in ("lobbying", "lobbyist", "issue", "bill", "org_metadata", "lobbying_linked")} | {"attribute": own["attribute"]})
     t["top_industries_to_politician"] = ct.top_industries_to_politician(base)
     return t
 

@@ -55,11 +55,10 @@ def tables(spark, sf, linked: bool = True) -> ct.Tables:
     linked: with the records and their links as one more table, which all figures read; without it they are found anew.
     """
 
-    def make():
-        made = standins(spark, sf, ("orders", "customer", "nation", "region"), STANDINS)
-        return made | {"linked": stored(ct.linked(made, *ct.KINDS_OF_LINKS), "linked")}
-
-    return {n: d for n, d in made_once(spark, ("plans", sf), make).items() if linked or n != "linked"}
+    t = made_once(spark, ("plans", sf), lambda: standins(spark, sf, ("orders", "customer", "nation", "region"), STANDINS))
+    if not linked:
+        return dict(t)
+    return t | made_once(spark, ("plans", sf, "linked"), lambda: {"linked": stored(ct.linked(t, *ct.KINDS_OF_LINKS), "linked")})
 
 
 def _list(values) -> str:

@@ -9,7 +9,7 @@ from meridian.plans import elections as el
 from meridian.plans import entity_metadata as em
 from meridian.plans import public_records as pr
 from meridian.queries import lobbying, plans
-from meridian.queries.base import made_once, query, standins, stored
+from meridian.queries.base import made_once, query, standins
 from meridian.queries.plans import INDUSTRY, ORG, POL
 
 _LATER = "CAST(CAST({0} AS DATE) + INTERVAL 10 YEAR AS DATE)"
@@ -86,20 +86,37 @@ _RENAMED = {"fec_committee": "committee", "pub_attribute": "attribute", "grant_"
 WITH = f"{lobbying.SQL_WITH}, {', '.join(f'{n} AS ({s})' for n, s in STANDINS.items())}"
 
 
-def tables(spark, sf) -> pr.Tables:
-    base = plans.tables(spark, sf)
+class Standins(dict):
+    """Tables by name; a stand-in is stored when it is first asked for, so a query costs no more than what it reads."""
+
+    def __init__(self, spark, sf):
+        super().__init__(plans.tables(spark, sf, linked=False))
+        self.base, self.of = dict(self), (spark, sf)
+        self["attribute"] = self._made(spark, sf, "pub_attribute")  # those of contributions and more
+
+    def __missing__(self, name):
+        own = {new: old for old, new in _RENAMED.items()}.get(name, name)
+        if own not in STANDINS:
+            raise KeyError(name)
+        self[name] = self._made(*self.of, own)
+        return self[name]
 
-    def make():
-        made = standins(spark, sf, ("orders", "customer", "lineitem", "nation"), STANDINS, {n: base[n] for n in plans.STANDINS})
-        made = {_RENAMED.get(n, n): d for n, d in made.items()}
-        return made | {"spending_linked": stored(pr.spending_linked(base | made), "spending_linked")}
+    def _made(self, spark, sf, own):
+        seen = dict(self.base)
+        if " line" in STANDINS[own] and own != "line":
+            seen["line"] = self._made(spark, sf, "line")
+        return made_once(spark, ("public", sf, own), lambda: standins(spark, sf, ("orders", "customer", "lineitem", "nation"), {own: STANDINS[own]}, seen))[own]
 
-    return base | made_once(spark, ("public", sf), make)
+
+def tables(spark, sf) -> pr.Tables:
+    return Standins(spark, sf)
 
 
 def meta_tables(spark, sf) -> em.Tables:
-    """Tables of contributions and lobbying with their links, and what metadata reads besides; the attributes are those of contributions but for committees and industries."""
-    return tables(spark, sf) | {n: d for n, d in lobbying.tables(spark, sf).items() if n in ("lobbying", "lobbyist", "issue", "bill", "lobbying_linked")}
+    """Tables of contributions and lobbying with their links, and what metadata reads besides; the attributes are those of contributions and more, of committees and industries."""
+    t, lobby = tables(spark, sf), lobbying.tables(spark, sf)
+    own = {n: t[n] for n in ("attribute", "committee_profile", "navigation_bin")}
+    return plans.tables(spark, sf) | {n: lobby[n] for n in ("lobbying", "lobbyist", "lobbying_linked")} | own
 
 
 _plain = plans._plain
