@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meridian.functions.cycles import even_year
-from meridian.operators.ranking import first_row
+from meridian.operators.ranking import checkpointed, first_row
 from meridian.plans import contributions as ct
 from meridian.plans import lobbying as lb
 
@@ -93,7 +93,8 @@ def organization_metadata(t: Tables) -> DataFrame:
     figures = ct.entity_totals(t).select("entity_id", "cycle").join(orgs, "entity_id", "left_semi")
     firms = _lobbying(t, "registrant", "registrant_is_firm").groupBy(*key).agg(F.coalesce(F.max("registrant_is_firm"), F.lit(False)).alias("lobbying_firm"))
     rows = reduce(DataFrame.unionByName, [firms.select(*key), figures, _lobbying(t, "client"), _lobbying(t, "parent")]).withColumn("cycle", F.col("cycle").cast("int"))
-    same = lambda df, *names: (df, {n: F.col(n) for n in names})
+    rows, firms = checkpointed(rows.distinct()), checkpointed(firms)
+    same = lambda df, *names: (checkpointed(df), {n: F.col(n) for n in names})  # noqa: E731  a source is a job of its own: one plan of all would be too large for a small driver
     made = merged([
         (rows, {}), same(firms, "lobbying_firm"), same(parents_by_contributions(t), "parent_entity_id"), same(parents_by_lobbying(t), "parent_entity_id"),
         same(industries_by_contributions(t), "industry_entity_id", "subindustry_entity_id"), same(committee_profiles(t), "is_superpac", *INTERESTS, "has_fec_profile"),
@@ -104,7 +105,7 @@ def organization_metadata(t: Tables) -> DataFrame:
     listed = listed.join(bins, "entity_id", "left")
     known = t["entity"].select(F.col("id").alias("_known"))
     listed = listed.join(known, F.col("entity_id") == F.col("_known"), "left_semi").join(known.select("_known", F.lit(True).alias("_there")), F.col("parent_entity_id") == F.col("_known"), "left")
-    kept = listed.filter("parent_entity_id is null or _there").drop("_known", "_there")
+    kept = checkpointed(listed.filter("parent_entity_id is null or _there").drop("_known", "_there"))
     fields = [c for c in kept.columns if c not in key]
     latest = first_row(kept, ["entity_id"], [F.col("cycle")]).select("entity_id", F.struct(*fields).alias("_latest"))
     whole = kept.filter("cycle = -1").select("entity_id", "cycle").join(latest, "entity_id").select("entity_id", "cycle", "_latest.*")
