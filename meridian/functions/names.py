@@ -69,3 +69,34 @@ def person_score(subject: Column, match: Column, nickname: Column) -> Column:
         .when(base > 1.1, -1.5).otherwise(0.0)
     )
     return F.when(s("last") == m("last"), F.round(base + middle, 4)).otherwise(0.0)
+
+
+def added_score(subject: Column, match: Column, nickname: Column) -> Column:
+    """Confidence that two parsed names are one person, as the records' match commands add it up; 0 where the last names differ or only one side has a first name.
+
+    Last names 1. First names: equal 1 (both missing too); else forms of one 0.6, and besides first and middle crossed 0.8 or, if not, the same initial 0.1. Two middle names: from a
+    score over 1.1 equal 1, same initial 0.5, others -1.5; up to that 0.2. A missing middle name adds nothing.
+    """
+    s, m = lambda f: subject[f], lambda f: match[f]
+    initial = lambda c: F.left(c, F.lit(1))
+    crossed = s("first").eqNullSafe(m("middle")) & m("first").eqNullSafe(s("middle"))
+    missing = s("first").isNull() | m("first").isNull()
+    form = F.when(nickname, 0.6).otherwise(0.0)
+    base = F.when(s("first").eqNullSafe(m("first")), 2.0).when(crossed, form + 1.8).when(missing, None).otherwise(form + F.when(initial(s("first")) == initial(m("first")), 1.1).otherwise(1.0))
+    near = F.when(s("middle") == m("middle"), 1.0).when(initial(s("middle")) == initial(m("middle")), 0.5).otherwise(-1.5)
+    middle = F.when(s("middle").isNull() | m("middle").isNull(), 0.0).when(base > 1.1, near).otherwise(0.2)
+    return F.when(s("last") == m("last"), F.coalesce(F.round(base + middle, 4), F.lit(0.0))).otherwise(0.0)
+
+
+def given_score(subject: Column, match: Column) -> Column:
+    """1 for equal last names, 2 if the first names are equal too; 0 where last names, or two first names, differ."""
+    both = subject["first"].isNotNull() & match["first"].isNotNull()
+    return F.when(subject["last"] != match["last"], 0.0).when(both & (subject["first"] != match["first"]), 0.0).when(both, 2.0).when(subject["last"] == match["last"], 1.0).otherwise(0.0)
+
+
+def evaluated_score(one: Column, other: Column) -> Column:
+    """How well two names agree that someone matched before: last names 1 or -1; first names 1, same initial 0.3, one missing -0.5; two middle names 1, same initial 0.2."""
+    initial = lambda c: F.left(c, F.lit(1))
+    last = F.when(one["last"].eqNullSafe(other["last"]), 1.0).otherwise(-1.0)
+    part = lambda f, same, none: F.when(one[f].isNull() | other[f].isNull(), none).when(one[f] == other[f], 1.0).when(initial(one[f]) == initial(other[f]), same).otherwise(0.0)
+    return F.round(last + part("first", 0.3, -0.5) + part("middle", 0.2, 0.0), 4)

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from meridian.queries import aggregates, entities, etl, filters, joins, lobbying, lookups, plans, public, records, searches, windows  # noqa: F401
+from meridian.queries import aggregates, entities, etl, filters, joins, lobbying, lookups, matching, plans, public, records, searches, windows  # noqa: F401
 from meridian.queries.base import QUERIES, SQL  # noqa: F401
