@@ -176,18 +176,51 @@ def cascade_organizations(subjects: DataFrame, targets: DataFrame) -> DataFrame:
 LIMITS = {"individual": (1.2, 3.0), "politician": (1.0, 2.0), "organization": (1.0, 4.0)}
 
 
-def reconcile(queries: DataFrame, targets: DataFrame, limits: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+#: Seats of the offices that a request may name, and the first cycle that narrowed politicians must have been in since.
+OFFICES = {"US House": "federal:house", "US Senate": "federal:senate", "President": "federal:president"}
+SINCE = 2010
+
+
+def requests(bodies: DataFrame) -> DataFrame:
+    """Columns id (request, key), name, kind, seat, narrow: the queries of reconciliation requests, for reconcile().
+
+    bodies: request, query (JSON text of one query), queries (of an object of queries by key; not read where there is query, whose key is null). A query has the name as query, a type, and
+    properties as a list of pid and v, of which the last of a pid counts. Without a type the property contributionType tells it by how it begins; whatever is neither individual nor
+    politician is an organization. narrow: the query has properties. seat: of the property office; `?` for an office that is none, which no politician has. Text that is no JSON gives no
+    query, nor does one without a name.
+    """
+    one = "struct<query: string, type: string, properties: array<struct<pid: string, v: string>>>"
+    alone, several = F.from_json("query", one), F.from_json("queries", f"map<string, {one}>")
+    asked = F.when(F.col("query").isNotNull() & (F.col("query") != ""), F.array(F.struct(F.lit(None).cast("string").alias("key"), alone.alias("value")))).otherwise(F.map_entries(several))
+    d = bodies.select("request", F.explode(asked).alias("_q")).select("request", "_q.key", "_q.value.*").filter("query is not null")
+    last = lambda pid: F.element_at(F.transform(F.filter("properties", lambda x: x["pid"] == pid), lambda x: x["v"]), -1)
+    said = lambda pid: F.when(F.size(F.filter("properties", lambda x: x["pid"] == pid)) > 0, last(pid))
+    hint, office = F.lower(said("contributionType")), F.nullif(said("office"), F.lit(""))
+    kind = F.when(F.col("type").isin("individual", "politician"), F.col("type")).when(F.col("type").isNotNull(), "organization").when(F.startswith(hint, F.lit("individual")), "individual").when(F.startswith(hint, F.lit("politician")), "politician").otherwise("organization")
+    seat = F.when(office.isNotNull(), F.coalesce(F.create_map(*[F.lit(x) for kv in OFFICES.items() for x in kv])[office], F.lit("?")))
+    return d.select(F.struct("request", "key").alias("id"), F.col("query").alias("name"), kind.alias("kind"), seat.alias("seat"), F.coalesce(F.size("properties") > 0, F.lit(False)).alias("narrow"))
+
+
+def reconcile(queries: DataFrame, targets: DataFrame, limits: dict[str, tuple[float, float]] | None = None, held: DataFrame | None = None) -> DataFrame:
     """Columns query_id, match_id, confidence, match: the two best levels of confidence for each query (id, name, kind: individual, politician or organization).
 
+    held: entity_id, cycle, seat of politicians. With it a query that is to narrow (columns seat, narrow, as of requests()) meets only politicians who held its seat in any cycle, if it names
+    one, and who were there in 2010 or later.
+
     match is true where the confidence is at the kind's upper limit or over, however many are as good; under the lower limit nothing is returned. Running mates
     are no single politician and are left out on both sides.
     """
     limits = {**LIMITS, **(limits or {})}
-    pick = lambda d, kind: d.filter(F.col("kind") == kind).select("id", "name")
+    pick = lambda d, kind, *more: d.filter(F.col("kind") == kind).select("id", "name", *more)
     single = lambda d: d.filter(~F.rlike("name", F.lit(MATES)))
+    asking, politicians, fits = pick(queries, "politician"), pick(targets, "politician"), None
+    if held is not None:
+        seats = held.groupBy(F.col("entity_id").alias("id")).agg(F.collect_set("seat").alias("seats"), F.max("cycle").alias("latest"))
+        asking, politicians = pick(queries, "politician", "seat", "narrow"), politicians.join(seats, "id", "left")
+        fits = ~F.col("subject_narrow") | ((F.col("match_latest") >= SINCE) & (F.col("subject_seat").isNull() | F.array_contains("match_seats", F.col("subject_seat"))))
     found = [
         match_people_all(pick(queries, "individual"), pick(targets, "individual"), limits["individual"][0]),
-        match_people_all(single(pick(queries, "politician")), single(pick(targets, "politician")), limits["politician"][0]),
+        match_people_all(single(asking), single(politicians), limits["politician"][0], fits),
         organization_candidates(pick(queries, "organization"), pick(targets, "organization")).select("subject_id", "match_id", "confidence").filter(F.col("confidence") >= limits["organization"][0]),
     ]
     kinds = [f.withColumn("_sure", F.lit(limits[k][1])).withColumn("kind", F.lit(k)) for k, f in zip(("individual", "politician", "organization"), found, strict=True)]
@@ -196,6 +229,8 @@ def reconcile(queries: DataFrame, targets: DataFrame, limits: dict[str, tuple[fl
     return both.select(F.col("subject_id").alias("query_id"), "match_id", "confidence", (F.col("confidence") >= F.col("_sure")).alias("match"))
 
 
-def match_people_all(subjects: DataFrame, targets: DataFrame, threshold: float) -> DataFrame:
-    """All pairs over a threshold, not only the best."""
-    return _parsed(subjects, "subject").join(_parsed(targets, "match"), "_last").select("subject_id", "match_id", names.person_score(F.col("subject"), F.col("match"), F.lit(False)).alias("confidence")).filter(F.col("confidence") >= threshold)
+def match_people_all(subjects: DataFrame, targets: DataFrame, threshold: float, where: Column | None = None) -> DataFrame:
+    """All pairs over a threshold, not only the best. where: what else must hold, over subject_x and match_x of further columns x; null counts as false."""
+    pairs = _parsed(subjects, "subject").join(_parsed(targets, "match"), "_last")
+    pairs = pairs if where is None else pairs.filter(where)
+    return pairs.select("subject_id", "match_id", names.person_score(F.col("subject"), F.col("match"), F.lit(False)).alias("confidence")).filter(F.col("confidence") >= threshold)

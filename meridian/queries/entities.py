@@ -100,6 +100,10 @@ def _people(spark, sf, source="customer", key="c_custkey", nation="c_nationkey")
     return table(spark, sf, source).select(k.alias("id"), first.alias("first"), middle.alias("middle"), last.alias("last"), (F.col(nation) % 2 == 0).alias("is_subject"))
 
 
+#: The parts of _people's names in SQL.
+_PART_OF_NAME = "['John', 'Jon', 'Mary', 'Ann', 'Peter'][s_suppkey % 5 + 1] AS first, ['A', 'Adam', NULL, 'B'][s_suppkey % 4 + 1] AS middle, s_suppkey // 24 AS last"
+
+
 @query("fuzzy_match_top_score")
 def fuzzy_match_top_score(spark, sf):
     """Names as `Last, First Middle` against `First Middle Last`; Python tests hold the scores."""
@@ -149,6 +153,29 @@ def reconcile_names(spark, sf):
     return fuzzy.reconcile(named.filter("is_subject"), named.filter("not is_subject"))
 
 
+@query("reconcile_requests", f"""WITH p AS (SELECT s_suppkey AS k, s_nationkey % 2 = 0 AS is_subject, {_PART_OF_NAME} FROM supplier),
+q AS (SELECT c_custkey AS k, {_PART_OF_NAME.replace('s_suppkey', 'c_custkey')} FROM customer WHERE c_nationkey % 2 = 0 AND c_custkey % 5 < 3),
+hits AS (SELECT q.k AS request, p.k AS match_id, round(CASE WHEN q.first = p.first THEN 2 WHEN q.first = p.middle OR q.middle = p.first THEN 1.8 WHEN q.first[1] = p.first[1] THEN 1.1 ELSE 1 END
+ + CASE WHEN q.middle IS NULL OR p.middle IS NULL THEN 0.2 WHEN q.middle = p.middle THEN 1 WHEN q.middle[1] = p.middle[1] AND 1 IN (length(q.middle), length(p.middle)) THEN 0.5
+   WHEN q.first = p.first OR q.first = p.middle OR q.middle = p.first THEN -1.5 ELSE 0 END, 4)::DOUBLE AS confidence
+ FROM q JOIN p ON q.last = p.last WHERE NOT p.is_subject AND (q.k % 5 = 0 OR (p.k % 3 > 0 AND (q.k % 4 > 1 OR p.k % 2 = q.k % 4))))
+SELECT request, 'q' AS key, match_id, confidence, confidence >= 2 AS match FROM hits WHERE confidence >= 1 QUALIFY dense_rank() OVER (PARTITION BY request ORDER BY confidence DESC) <= 2""")
+def reconcile_requests(spark, sf):
+    """Customers ask for politicians (suppliers) by requests in JSON: without properties, with a hint, with an office; others ask for organizations and people that are not there."""
+    c = _people(spark, sf).filter("is_subject")
+    k, name = F.col("id"), F.concat("first", "middle", F.lit(" "), "last")
+    prop = lambda pid, v: F.struct(F.lit(pid).alias("pid"), F.lit(v).alias("v"))
+    hint, house, senate = prop("contributionType", "Politician recipients"), prop("office", "US House"), prop("office", "US Senate")
+    asked = F.when(k % 5 == 0, F.lit(None)).when(k % 5 > 2, F.array(prop("contributionType", "Individual"))).otherwise(F.when(k % 4 == 0, F.array(hint, house)).when(k % 4 == 1, F.array(hint, senate)).otherwise(F.array(hint)))
+    body = F.to_json(F.create_map(F.lit("q"), F.struct(name.alias("query"), F.when(k % 5 == 0, "politician").alias("type"), asked.alias("properties"))))
+    bodies = c.select(k.alias("request"), F.lit(None).cast("string").alias("query"), body.alias("queries"))
+    p = _people(spark, sf, "supplier", "s_suppkey", "s_nationkey").filter("not is_subject")
+    targets = p.select("id", F.concat("last", F.lit(", "), "first", "middle").alias("name"), F.lit("politician").alias("kind"))
+    held = p.select(F.col("id").alias("entity_id"), F.explode(F.expr("if(id % 3 = 0, array(2004, 2008), array(2006, 2012))")).alias("cycle"), F.expr("if(id % 2 = 0, 'federal:house', 'federal:senate')").alias("seat"))
+    found = fuzzy.reconcile(fuzzy.requests(bodies), targets, held=held)
+    return found.select("query_id.request", "query_id.key", "match_id", "confidence", "match")
+
+
 @query("close_match_ratio", "SELECT p_partkey, 1.0::DOUBLE AS ratio FROM part WHERE p_name = 'red widget'")
 def close_match_ratio(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", "p_name").distinct()

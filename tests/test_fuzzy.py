@@ -191,3 +191,24 @@ def test_queries_of_politicians_and_members_use_all_rows(spark):
         hits = {k for k in near if c % 3 and state(k % 25) == state(c % 25)} or {k for k in near if state(k % 25) in possible[c % 5, c // 360]}
         found.add((c, min(hits) if len(hits) == 1 else None, {0: "none", 1: "matched"}.get(len(hits), "many")))
     assert {tuple(r) for r in QUERIES["match_members_unique"](spark, SF).collect()} == found
+
+
+def test_requests_of_reconciliation(spark):
+    """One query, several, hints, types, offices, text that is no JSON."""
+    several = '{"a": {"query": "Ann Doe", "type": "politician"}, "b": {"query": "Ann Doe", "properties": [{"pid": "contributionType", "v": "Politician"}, {"pid": "office", "v": "US House"}]}, "c": {"query": "X Inc", "properties": []}, "d": {"type": "politician"}}'
+    rows = [(1, '{"query": "John Doe", "type": "individual"}', several), (2, None, several), (3, "", "no json"), (4, None, None), (5, '{"query": "Y", "type": "else", "properties": [{"pid": "office", "v": "Mayor"}, {"pid": "contributionType", "v": "individual"}]}', None),
+            (6, '{"query": "Z", "properties": [{"pid": "contributionType", "v": "individuals"}, {"pid": "office", "v": ""}]}', None)]
+    got = {(r.id.request, r.id.key, r["name"], r.kind, r.seat, r.narrow) for r in fuzzy.requests(spark.createDataFrame(rows, "request int, query string, queries string")).collect()}
+    assert got == {
+        (1, None, "John Doe", "individual", None, False), (2, "a", "Ann Doe", "politician", None, False), (2, "b", "Ann Doe", "politician", "federal:house", True), (2, "c", "X Inc", "organization", None, False),
+        (5, None, "Y", "organization", "?", True), (6, None, "Z", "individual", None, True),
+    }
+
+
+def test_politicians_narrowed_by_office_and_cycle(spark):
+    make = spark.createDataFrame
+    q = make([(1, "Ann Doe", "politician", None, False), (2, "Ann Doe", "politician", None, True), (3, "Ann Doe", "politician", "federal:house", True), (4, "Ann Doe", "politician", "?", True)], "id int, name string, kind string, seat string, narrow boolean")
+    t = make([(i, "Doe, Ann", "politician") for i in (11, 12, 13, 14)], "id int, name string, kind string")
+    held = make([(11, 2010, "federal:senate"), (11, 2006, "federal:house"), (12, 2008, "federal:house"), (13, 2012, "federal:senate"), (13, None, None)], "entity_id int, cycle int, seat string")
+    got = {(r.query_id, r.match_id) for r in fuzzy.reconcile(q, t, held=held).collect()}
+    assert got == {(1, 11), (1, 12), (1, 13), (1, 14), (2, 11), (2, 13), (3, 11)}
