@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from meridian.functions import names
 from meridian.operators import fuzzy
 from meridian.operators.matching import THRESHOLD, best_by_given_names, best_people
+from meridian.operators.ranking import checkpointed
 
 Tables = Mapping[str, DataFrame]
 #: What is cut from officers' names before they are read.
@@ -190,6 +191,7 @@ def matches(t: Tables, commands: Iterable[str], keep_unmatched: bool = False) ->
         every.append(s.select(F.col("id").alias("subject_id")))
     found = reduce(DataFrame.unionByName, out)
     if keep_unmatched:
+        found = checkpointed(found)  # read twice
         none = reduce(DataFrame.unionByName, every).distinct().join(found.select("subject_id").distinct(), "subject_id", "left_anti")
         found = found.unionByName(none.select("subject_id", F.lit(None).cast("string").alias("match_id"), F.lit(-1.0).alias("confidence"), F.lit(None).cast("double").alias("metadata_confidence")))
     return found.select("subject_id.command", F.col("subject_id.id").alias("subject_id"), "match_id", "confidence", "metadata_confidence")
