@@ -108,7 +108,7 @@ def match_organizations(subjects: DataFrame, targets: DataFrame) -> DataFrame:
         rows = F.explode(F.array(*[F.struct(F.lit(i).alias("tier"), keys[w].alias("key")) for i, w in enumerate(ways)]))
         return d.select(F.col("id").alias(f"{p}_id"), rows.alias("_k")).select(f"{p}_id", "_k.tier", "_k.key").filter("length(key) > 2")
 
-    hits = keyed(subjects, "subject").join(keyed(targets, "match"), ["tier", "key"]).groupBy("subject_id", "match_id").agg(F.min("tier").alias("tier"))
+    hits = keyed(subjects, "subject").join(keyed(targets, "match").hint("merge"), ["tier", "key"]).groupBy("subject_id", "match_id").agg(F.min("tier").alias("tier"))
     surest = hits.groupBy("subject_id").agg(F.min("tier").alias("_best"))
     score = F.element_at(F.array(*[F.lit(ORG_SCORES[w]) for w in ways]), F.col("tier") + 1)
     return hits.join(surest, "subject_id").filter("tier = _best").select("subject_id", "match_id", F.element_at(F.array(*[F.lit(w) for w in ways]), F.col("tier") + 1).alias("tier"), score.alias("confidence"))
@@ -142,7 +142,7 @@ def organization_candidates(subjects: DataFrame, targets: DataFrame) -> DataFram
     """Columns subject_id, match_id, tier, confidence: all targets that the first way of CASCADE with any result finds for a subject (id, name; ids distinct).
 
     kernel, name, expanded: the target's name contains that text of the subject; words: the kernel's words follow one another in it with anything between; firm: it
-    begins with the first two. An empty text finds nothing. A text that is contained has all its runs of three characters in the target (shorter texts: runs of two or
+    begins with the first two. Joins are by sorted shuffles: exploded rows would else pass for few and be brought to the driver to be broadcast. An empty text finds nothing. A text that is contained has all its runs of three characters in the target (shorter texts: runs of two or
     one), so candidates come by the one that the fewest targets have and are then verified. Confidence: 4 for equal expanded names, 3 for equal kernels or for `a, b et al`
     of a list of partners, else 2.
     """
@@ -156,12 +156,12 @@ def organization_candidates(subjects: DataFrame, targets: DataFrame) -> DataFram
     posted = m.select("match_id", own.alias("gram"))
     often = posted.groupBy("gram").agg(F.count("*").alias("n"))
     n = F.coalesce("n", F.lit(0))
-    rarest = wanted.join(often, "gram", "left").groupBy("subject_id", "tier", "key").agg(F.min(F.struct(n.alias("n"), "gram")).alias("_g")).filter("_g.n > 0").select("subject_id", "tier", "key", "_g.gram")
-    pairs = rarest.join(posted, "gram").drop("gram").join(m, "match_id")
+    rarest = wanted.join(often.hint("merge"), "gram", "left").groupBy("subject_id", "tier", "key").agg(F.min(F.struct(n.alias("n"), "gram")).alias("_g")).filter("_g.n > 0").select("subject_id", "tier", "key", "_g.gram")
+    pairs = rarest.join(posted.hint("merge"), "gram").drop("gram").join(m.hint("merge"), "match_id")
     words = F.concat(F.lit(r"(?s)\Q"), F.replace("key", F.lit(" "), F.lit(r"\E.*\Q")), F.lit(r"\E"))
     way = lambda name: F.col("tier") == CASCADE.index(name)
     found = pairs.filter(F.when(way("words"), F.rlike("match_low", words)).when(way("firm"), F.startswith("match_low", "key")).otherwise(F.contains("match_low", "key")))
-    first = found.withColumn("_first", F.min("tier").over(Window.partitionBy("subject_id"))).filter("tier = _first").join(s, "subject_id")
+    first = found.withColumn("_first", F.min("tier").over(Window.partitionBy("subject_id"))).filter("tier = _first").join(s.hint("merge"), "subject_id")
     partners = F.contains("subject_low", F.lit(",")) & (F.concat("subject_firm", F.lit(", et al")) == F.col("match_low"))
     score = F.when(F.col("match_expanded") == F.col("subject_expanded"), 4.0).when((F.col("match_kernel") == F.col("subject_kernel")) | partners, 3.0).otherwise(2.0)
     return first.select("subject_id", "match_id", F.element_at(F.array(*[F.lit(w) for w in CASCADE]), F.col("tier") + 1).alias("tier"), score.alias("confidence"))
@@ -231,6 +231,6 @@ def reconcile(queries: DataFrame, targets: DataFrame, limits: dict[str, tuple[fl
 
 def match_people_all(subjects: DataFrame, targets: DataFrame, threshold: float, where: Column | None = None) -> DataFrame:
     """All pairs over a threshold, not only the best. where: what else must hold, over subject_x and match_x of further columns x; null counts as false."""
-    pairs = _parsed(subjects, "subject").join(_parsed(targets, "match"), "_last")
+    pairs = _parsed(subjects, "subject").join(_parsed(targets, "match").hint("merge"), "_last")
     pairs = pairs if where is None else pairs.filter(where)
     return pairs.select("subject_id", "match_id", names.person_score(F.col("subject"), F.col("match"), F.lit(False)).alias("confidence")).filter(F.col("confidence") >= threshold)

@@ -62,18 +62,18 @@ def best_people(subjects: DataFrame, targets: DataFrame, nicknames: DataFrame |
         return d.groupBy("subject_id", "match_id").agg(F.max("confidence").alias("confidence"), F.max(sure).alias("metadata_confidence"))
 
     sk, mk = s.withColumn("_sk", _keys("subject")), m.withColumn("_mk", _keys("match"))
-    keyed = sk.withColumn("_key", F.explode("_sk")).join(mk.withColumn("_key", F.explode("_mk")), [*also, "_key"])
+    keyed = sk.withColumn("_key", F.explode("_sk")).join(mk.withColumn("_key", F.explode("_mk")).hint("merge"), [*also, "_key"])
     found = checkpointed(scored(keyed.filter(F.col("_key") == F.array_intersect("_sk", "_mk")[0])))  # a pair with several keys in common comes from the first
     for worth, initial, middles in STAGES:
         if worth < least:
             break
-        left, right, keys = s.filter(threshold <= worth).join(found.select("subject_id").distinct(), "subject_id", "left_anti"), m, list(also)
+        left, right, keys = s.filter(threshold <= worth).join(found.select("subject_id").distinct().hint("merge"), "subject_id", "left_anti"), m, list(also)
         if initial:
             left, right = left.withColumn("_i", F.left("subject.first", F.lit(1))), right.withColumn("_i", F.left("match.first", F.lit(1)))
             keys.append("_i")
         if middles:
             left, right = left.filter("subject.middle is not null"), right.filter("match.middle is not null")
-        found = found.unionByName(checkpointed(scored(left.join(right, keys))))
+        found = found.unionByName(checkpointed(scored(left.join(right.hint("merge"), keys))))
     return found.withColumn("_r", F.rank().over(Window.partitionBy("subject_id").orderBy(F.desc("confidence")))).filter("_r = 1").drop("_r")
 
 

@@ -192,7 +192,7 @@ def matches(t: Tables, commands: Iterable[str], keep_unmatched: bool = False) ->
     found = reduce(DataFrame.unionByName, out)
     if keep_unmatched:
         found = checkpointed(found)  # read twice
-        none = reduce(DataFrame.unionByName, every).distinct().join(found.select("subject_id").distinct(), "subject_id", "left_anti")
+        none = reduce(DataFrame.unionByName, every).distinct().join(found.select("subject_id").distinct().hint("merge"), "subject_id", "left_anti")
         found = found.unionByName(none.select("subject_id", F.lit(None).cast("string").alias("match_id"), F.lit(-1.0).alias("confidence"), F.lit(None).cast("double").alias("metadata_confidence")))
     return found.select("subject_id.command", F.col("subject_id.id").alias("subject_id"), "match_id", "confidence", "metadata_confidence")
 

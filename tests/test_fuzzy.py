@@ -212,3 +212,18 @@ def test_politicians_narrowed_by_office_and_cycle(spark):
     held = make([(11, 2010, "federal:senate"), (11, 2006, "federal:house"), (12, 2008, "federal:house"), (13, 2012, "federal:senate"), (13, None, None)], "entity_id int, cycle int, seat string")
     got = {(r.query_id, r.match_id) for r in fuzzy.reconcile(q, t, held=held).collect()}
     assert got == {(1, 11), (1, 12), (1, 13), (1, 14), (2, 11), (2, 13), (3, 11)}
+
+
+def test_exploded_rows_are_not_broadcast(spark, monkeypatch):
+    """Spark takes exploded rows for as few as before: joins with them must not bring them to the driver, however small the tables seem."""
+    from meridian.operators import close, fuzzy, matching
+
+    plans = []
+    kept = close.checkpointed
+    for module in (close, matching):
+        monkeypatch.setattr(module, "checkpointed", lambda d: (plans.append(d), kept(d))[1])
+    names = spark.range(50).selectExpr("id", "concat('Q', id div 8, 'x Red Trust ', id) as name")
+    people = spark.range(50).selectExpr("id", "concat('John ', if(id % 2 = 0, 'A', 'B'), ' Smith', id div 8) as name")
+    plans += [close.close_matches(names, names), fuzzy.cascade_organizations(names, names), fuzzy.match_people_all(people, people, 1.0), matching.best_people(people, people, threshold=1.0)]
+    plans = [d._jdf.queryExecution().executedPlan().toString() for d in plans]
+    assert sum("SortMergeJoin" in x for x in plans) > 8 and not any("Broadcast" in x for x in plans)
