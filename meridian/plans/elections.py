@@ -25,6 +25,15 @@ def filings(t: Tables) -> DataFrame:
     return valid.withColumns({"candidate_district": district, "amount": money(F.col("amount")), "aggregate_amount": money(F.col("aggregate_amount"))}).drop("prev_file_num")
 
 
+def _added(rows: DataFrame, first: DataFrame, figures: list[str], *keys) -> DataFrame:
+    """The figures that first already has, added up by keys (of days the first and the last), in the types of first.
+
+    What is added up by a filer before the filer's entities are joined makes no row for each filing and entity, which would grow with the square.
+    """
+    of = lambda c: {"first_filing_date": F.min, "last_filing_date": F.max}.get(c, F.sum)
+    return rows.groupBy(*keys).agg(*[of(c)(c).cast(first.schema[c].dataType).alias(c) for c in figures])
+
+
 def _entities(t: Tables, namespace: str, name: str) -> DataFrame:
     return t["attribute"].filter(F.col("namespace") == namespace).select("entity_id", F.col("value").alias(name))
 
@@ -36,23 +45,31 @@ def candidate_links(t: Tables) -> DataFrame:
 
 def committee_links(t: Tables) -> DataFrame:
     """entity_id, cycle, spender_id, each once."""
-    return filings(t).join(_entities(t, "urn:fec:committee", "spender_id"), "spender_id").select("entity_id", "cycle", "spender_id").distinct()
+    spenders = filings(t).select("cycle", "spender_id").distinct()  # before entities are joined, as in _added
+    return spenders.join(_entities(t, "urn:fec:committee", "spender_id").distinct(), "spender_id").select("entity_id", "cycle", "spender_id")
+
+
+def _by_spender(t: Tables) -> DataFrame:
+    """Filings in force with the entities of their candidates (null without), added up by spender, cycle, candidate and whether for or against."""
+    candidates = candidate_links(t).withColumnRenamed("entity_id", "candidate_entity").drop("cycle")
+    rows = filings(t).join(candidates, ["spender_id", "filing_number", "transaction_id"], "left")
+    return rows.groupBy("cycle", "spender_id", "spender_name", "candidate_entity", "candidate_name", "support_oppose").agg(F.sum("amount").alias("amount"))
 
 
 def independent_spending(t: Tables) -> DataFrame:
     """Amounts by cycle, candidate, committee and whether for or against, under the entities' names where there are entities."""
     named = lambda who: t["entity"].select(F.col("id").alias(f"{who}_entity"), F.col("name").alias(f"_{who}"))
-    candidates = candidate_links(t).withColumnRenamed("entity_id", "candidate_entity").drop("cycle").join(named("candidate"), "candidate_entity", "left")
     committees = committee_links(t).withColumnRenamed("entity_id", "committee_entity").join(named("committee"), "committee_entity", "left")
-    rows = filings(t).join(candidates, ["spender_id", "filing_number", "transaction_id"], "left")
-    rows = equal_join(rows, committees, ["spender_id", "cycle"], "left")
+    spent = _by_spender(t)
+    rows = equal_join(spent.join(named("candidate"), "candidate_entity", "left"), committees, ["spender_id", "cycle"], "left")
     keys = ["cycle", "candidate_entity", F.coalesce("_candidate", "candidate_name").alias("candidate_name"), "committee_entity", F.coalesce("_committee", "spender_name").alias("committee_name"), "support_oppose"]
-    return rows.groupBy(*keys).agg(F.sum("amount").alias("amount"))
+    return _added(rows, spent, ["amount"], *keys)
 
 
 def independent_totals(t: Tables) -> DataFrame:
     """What each committee spent in a cycle."""
-    return independent_spending(t).filter("committee_entity is not null").groupBy("cycle", F.col("committee_entity").alias("entity_id")).agg(F.sum("amount").alias("spending_amount"))
+    spent = _by_spender(t).groupBy("cycle", "spender_id").agg(F.sum("amount").alias("spending_amount"))
+    return _added(equal_join(spent, committee_links(t).filter("entity_id is not null"), ["spender_id", "cycle"]), spent, ["spending_amount"], "cycle", "entity_id")
 
 
 def of_candidates(t: Tables) -> DataFrame:
@@ -150,16 +167,17 @@ COMMITTEE_SUMS = {
 
 def committee_summaries(t: Tables) -> DataFrame:
     """Sums of the filings of an organization's (entity_id) committees in a cycle, with the first and last day and their number."""
-    rows = t["committee_summary"].join(_entities(t, "urn:fec:committee", "committee_id"), "committee_id")
     sums = [F.sum(F.expr(x)).alias(n) for n, x in COMMITTEE_SUMS.items()]
-    return rows.groupBy("entity_id", "cycle").agg(*sums, F.min("through_date").alias("first_filing_date"), F.max("through_date").alias("last_filing_date"), F.count("*").alias("num_committee_filings"))
+    own = t["committee_summary"].groupBy("committee_id", "cycle").agg(*sums, F.min("through_date").alias("first_filing_date"), F.max("through_date").alias("last_filing_date"), F.count("*").alias("num_committee_filings"))
+    return _added(own.join(_entities(t, "urn:fec:committee", "committee_id"), "committee_id"), own, own.columns[2:], "entity_id", "cycle")
 
 
 def candidate_places(t: Tables) -> DataFrame:
     """Gifts of people to each politician (entity_id) from in and out of the state of the office; an unknown state is out of it."""
-    rows = t["candidate"].join(t["giver"].withColumnsRenamed({"filer_id": "committee_id", "state": "_from"}), ["committee_id", "cycle"]).join(_entities(t, "urn:fec:candidate", "candidate_id"), "candidate_id")
+    own = t["giver"].groupBy(F.col("filer_id").alias("committee_id"), "cycle", F.col("state").alias("_from")).agg(F.count("*").alias("count"), F.sum("amount").alias("amount"))
+    rows = t["candidate"].join(own, ["committee_id", "cycle"]).join(_entities(t, "urn:fec:candidate", "candidate_id"), "candidate_id")
     local = F.when(F.col("office_state") == F.col("_from"), "in-state").otherwise("out-of-state")
-    return rows.groupBy("entity_id", "cycle", local.alias("local")).agg(F.count("*").alias("count"), F.sum("amount").alias("amount"))
+    return _added(rows, own, ["count", "amount"], "entity_id", "cycle", local.alias("local"))
 
 
 #: Types of gifts that a committee's top contributors are counted by.
@@ -168,9 +186,10 @@ GIFTS = ("10", "11", "15", "15e", "15j", "22y")
 
 def top_contributors(t: Tables) -> DataFrame:
     """What each giver gave to an organization's (entity_id) committees, by type and cycle."""
-    gifts = t["giver"].filter(F.col("transaction_type").isin(*GIFTS)).withColumnRenamed("filer_id", "committee_id").join(t["committee"].select("committee_id", "cycle"), ["committee_id", "cycle"])
-    rows = gifts.join(_entities(t, "urn:fec:committee", "committee_id"), "committee_id")
-    return rows.groupBy("entity_id", "cycle", "contributor_name", "transaction_type").agg(F.count("*").alias("count"), F.sum("amount").alias("amount"))
+    gifts = t["giver"].filter(F.col("transaction_type").isin(*GIFTS)).withColumnRenamed("filer_id", "committee_id")
+    own = gifts.groupBy("committee_id", "cycle", "contributor_name", "transaction_type").agg(F.count("*").alias("count"), F.sum("amount").alias("amount"))
+    rows = own.join(t["committee"].select("committee_id", "cycle"), ["committee_id", "cycle"]).join(_entities(t, "urn:fec:committee", "committee_id"), "committee_id")
+    return _added(rows, own, ["count", "amount"], "entity_id", "cycle", "contributor_name", "transaction_type")
 
 
 def by_office(t: Tables) -> DataFrame:

@@ -56,3 +56,26 @@ def test_which_contributions_count(spark):
     ]
     got = {r["transaction_id"]: (r["subset"], r["cycle"]) for r in ct.relevant({"contribution": spark.createDataFrame(rows, COLUMNS)}).collect()}
     assert got == {1: ("individual", 2008), 2: ("individual_to_organization", 2008), 3: ("organization", 2008), 4: ("org_to_pac", 2008)}
+
+
+def test_filers_with_many_entities(spark):
+    """50,000 filings of a committee that 4,000 entities name: pairs of both would be 2e8 rows; figures are added up before entities are joined."""
+    from meridian.plans import elections as el
+
+    n = spark.range(50_000)
+    entity = spark.range(4000).selectExpr("id", "concat('E', id) as name")
+    figures = sorted({w for x in el.COMMITTEE_SUMS.values() for w in x.replace("(", " ").replace(")", " ").split() if w not in "+-"})
+    t = {
+        "entity": entity, "attribute": entity.selectExpr("id as entity_id", "'urn:fec:committee' as namespace", "'C1' as value").unionByName(spark.sql("select 7L as entity_id, 'urn:fec:candidate' as namespace, 'H1' as value")),
+        "indexp": n.selectExpr("2010 as cycle", "if(id % 2 = 0, 'H1', 'H2') as candidate_id", "'Al' as candidate_name", "'C1' as spender_id", "'S' as spender_name", "'1' as candidate_district", "'House' as candidate_office", "'$1.50' as amount", "'$1' as aggregate_amount", "'support' as support_oppose", "cast(id as string) as filing_number", "if(id = 1, '0', null) as prev_file_num", "cast(id as string) as transaction_id"),
+        "committee_summary": n.selectExpr("'C1' as committee_id", "2010 as cycle", "date'2010-01-01' + cast(id % 3 as int) as through_date", *[f"cast(1 as decimal(20,2)) as {c}" for c in figures]),
+        "giver": n.selectExpr("'C1' as filer_id", "2010 as cycle", "'G' as contributor_name", "if(id % 5 = 0, 'none', '15') as transaction_type", "cast(2 as decimal(15,2)) as amount"),
+        "committee": spark.sql("select 'C1' as committee_id, 2010 as cycle"),
+    }
+    assert el.committee_links(t).count() == 4000
+    spent = el.independent_spending(t).groupBy("candidate_entity", "candidate_name").agg(F.count("*"), F.min("amount").cast("double"), F.max("amount").cast("double")).collect()
+    assert {tuple(r) for r in spent} == {(7, "E7", 4000, 24_999 * 1.5, 24_999 * 1.5), (None, "Al", 4000, 25_000 * 1.5, 25_000 * 1.5)}  # filing 0 is amended
+    assert [tuple(r) for r in el.independent_totals(t).groupBy(F.col("spending_amount").cast("double")).count().collect()] == [(49_999 * 1.5, 4000)]
+    rows = el.committee_summaries(t).groupBy("num_committee_filings", "debts", F.col("first_filing_date").cast("string"), F.col("last_filing_date").cast("string")).count().collect()
+    assert [(r[0], float(r[1]), *r[2:]) for r in rows] == [(50_000, 50_000.0, "2010-01-01", "2010-01-03", 4000)]
+    assert [(r[0], r[1], float(r[2]), r[3]) for r in el.top_contributors(t).groupBy("transaction_type", "count", "amount").agg(F.count("*")).collect()] == [("15", 40_000, 80_000.0, 4000)]
