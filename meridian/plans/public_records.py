@@ -290,14 +290,25 @@ def bundler_links(t: Tables, kind: str) -> DataFrame:
 
 
 def bundles_denormalized(t: Tables) -> DataFrame:
-    """Bundlers of filings in force with recipient, lobbyist and firm; a half-year's amount of 0 is none."""
-    b = latest_bundles(t).select("file_num", "committee_name", "committee_fec_id", "report_year", "report_type", "start_date", "end_date", "pdf_url")
+    """Bundlers of filings in force with recipient, lobbyist and firm; a half-year's amount of 0 is none.
+
+    Filings in force are found once, with their committee's recipients; bundlers are read and dealt by filing once, and carry their lobbyists and firms as arrays.
+    """
+    b = latest_bundles(t).select("file_num", "committee_name", "committee_fec_id", "report_year", "report_type", "start_date", "end_date", "pdf_url", even_year(F.col("report_year")).alias("_cycle"))
+    ids = t["attribute"].filter("namespace in ('urn:crp:recipient', 'urn:fec:committee')").select("entity_id", F.col("value").alias("recipient_id"))
+    c = t["bundle_committee"].select(F.col("committee_id").alias("committee_fec_id"), F.col("cycle").alias("_cycle"), "recipient_id").join(ids, "recipient_id")
+    b = b.join(c.groupBy("committee_fec_id", "_cycle").agg(F.collect_list("entity_id").alias("_recipients")), ["committee_fec_id", "_cycle"], "left").drop("_cycle")
     l = t["lobbyist_bundle"].withColumn("semi_annual_amount", F.when(F.col("semi_annual_amount") != 0, F.col("semi_annual_amount")))  # noqa: E741
     rows = b.join(l.withColumnsRenamed({"id": "bundle_id", "name": "bundler_name", "employer": "bundler_employer", "amount": "period_amount"}), "file_num")
-    for key, who, found in (("file_num", "recipient", bundle_recipients(t)), ("bundle_id", "lobbyist", bundler_links(t, "lobbyist")), ("bundle_id", "firm", bundler_links(t, "firm"))):
-        named = found.join(t["entity"].select(F.col("id").alias("entity_id"), F.col("name").alias(f"standardized_{who}_name")), "entity_id", "left").withColumnRenamed("entity_id", f"{who}_id")
-        rows = rows.join(named, key, "left")
-    return rows
+    columns = ["bundle_id", "file_num", *[x for x in rows.columns if x not in ("bundle_id", "file_num", "_recipients")]]
+    firms, people = (links.lookup(t["bundler_match"].join(links.typed(t, kind), "entity_id"), F.col("name"), distinct=True) for kind in ("organization", "individual"))
+    for found, key, into in ((people, "bundler_name", "_lobbyists"), (firms, "bundler_name", "_by_name"), (firms, "bundler_employer", "_by_employer")):
+        rows = links.with_ids(rows, found, F.col(key), into, "bundle_id")
+    rows = rows.withColumn("_firms", F.array_union("_by_name", "_by_employer"))
+    for who, ids in (("recipient", "_recipients"), ("lobbyist", "_lobbyists"), ("firm", "_firms")):
+        rows = rows.withColumn(f"{who}_id", F.explode_outer(ids))
+        rows = rows.join(t["entity"].select(F.col("id").alias(f"{who}_id"), F.col("name").alias(f"standardized_{who}_name")), f"{who}_id", "left")
+    return rows.select(*columns, *[x for who in ("recipient", "lobbyist", "firm") for x in (f"{who}_id", f"standardized_{who}_name")])
 
 
 def bundling(t: Tables) -> DataFrame:
