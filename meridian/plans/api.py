@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridian.functions.cycles import ALL_CYCLES
+from meridian.operators.ranking import checkpointed
 from meridian.operators.rollup import summary
 from meridian.plans import contributions as ct
 from meridian.plans import elections as el
@@ -165,11 +166,19 @@ class NotFound(KeyError):
     pass
 
 
-def _rows(tables, e: Endpoint, cycle: int, key=None) -> DataFrame:
-    """An endpoint's rows with its fields, _key and _0, _1 and so on to order by. Filters go down to the scans, so only the asked entity's and cycle's rows are read."""
+def _of_cycle(tables, e: Endpoint, cycle: int) -> DataFrame:
     df = tables[e.table]
     if "cycle" in df.columns and not (e.sums and cycle == ALL_CYCLES):  # rows that are summed here have no row for all cycles
         df = df.filter(F.col("cycle") == cycle)
+    return df
+
+
+def _rows(tables, e: Endpoint, cycle: int, key=None, df: DataFrame | None = None) -> DataFrame:
+    """An endpoint's rows with its fields, _key and _0, _1 and so on to order by. Filters go down to the scans, so only the asked entity's and cycle's rows are read.
+
+    df: the cycle's rows of the endpoint's table, where they are computed already.
+    """
+    df = _of_cycle(tables, e, cycle) if df is None else df
     for i, j in enumerate(e.joins):
         other = tables[j.table].filter(j.where).select(F.col(j.right).alias(f"_on{i}"), *j.columns)
         df = df.drop(*[c for c in j.columns if c not in (j.left, e.key)]).join(other, F.col(j.left) == F.col(f"_on{i}"), j.how).drop(f"_on{i}")
@@ -216,12 +225,17 @@ def lookup(tables: Mapping[str, DataFrame], route: str, entity_id=None, cycle: i
 def bulk(tables: Mapping[str, DataFrame], routes: list[str], cycle: int = ALL_CYCLES, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """The responses of routes for every entity at once: route, entity, position (rank, for lists that keep ties; null for breakdowns and single rows), and fields, a map of text.
 
-    Each entity's first rows are cut in every partition before they are dealt. Lists over all entities have a null entity.
+    Each entity's first rows are cut in every partition before they are dealt. Lists over all entities have a null entity. A table that is built here and that several routes read is
+    computed once and kept in the shared folder.
     """
-    out = []
+    out, built = [], [e.table for e in map(ENDPOINTS.get, routes) if e.table in BUILDERS and e.table not in tables]
+    kept = {(e.table, bool(e.sums)): None for e in map(ENDPOINTS.get, routes) if built.count(e.table) > 1}
     for route in routes:
         e = ENDPOINTS[route]
-        df = _rows(tables, e, cycle)
+        at = e.table, bool(e.sums)
+        if at in kept and kept[at] is None:
+            kept[at] = checkpointed(_of_cycle(tables, e, cycle))
+        df = _rows(tables, e, cycle, df=kept.get(at))
         names = ["category", "count", "amount"] if e.kind == "pie" else [*e.fields, *e.sums]
         if e.kind in ("top", "rank"):
             number = F.row_number() if e.kind == "top" else F.rank()

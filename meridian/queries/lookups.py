@@ -10,9 +10,10 @@ from meridian.queries import lobbying, plans, public
 from meridian.queries.base import SQL, query
 
 
-def warehouse(spark, sf) -> api.Warehouse:
-    """The stand-ins with their stored links. Industries of politicians read the attributes of contributions."""
-    base, lobby, own = plans.tables(spark, sf), lobbying.tables(spark, sf), public.tables(spark, sf)
+def warehouse(spark, sf, linked: tuple[str, ...] = ("contributions", "lobbying")) -> api.Warehouse:
+    """The stand-ins with the stored links of the record sets named; others' links are not made. Industries of politicians read the attributes of contributions."""
+    base, own = plans.tables(spark, sf, linked="contributions" in linked), public.tables(spark, sf)
+    lobby = lobbying.tables(spark, sf) if "lobbying" in linked else {}
 
     class Stored(api.Warehouse):
         def __missing__(self, name):
@@ -21,14 +22,15 @@ def warehouse(spark, sf) -> api.Warehouse:
             self[name] = own[name]
             return self[name]
 
-    t = Stored(base | {n: lobby[n] for n in ("lobbying", "lobbyist", "issue", "bill", "org_metadata", "lobbying_linked")} | {"attribute": own["attribute"]})
-    t["top_industries_to_politician"] = ct.top_industries_to_politician(base)
+    t = Stored(base | {n: lobby[n] for n in ("lobbying", "lobbyist", "issue", "bill", "org_metadata", "lobbying_linked") if n in lobby} | {"attribute": own["attribute"]})
+    if "contributions" in linked:
+        t["top_industries_to_politician"] = ct.top_industries_to_politician(base)
     return t
 
 
-def _bulk(spark, sf, routes: list[str]):
+def _bulk(spark, sf, routes: list[str], linked: tuple[str, ...]):
     """route, entity, position and the fields in order as one text."""
-    df = api.bulk(warehouse(spark, sf), routes)
+    df = api.bulk(warehouse(spark, sf, linked), routes)
     names = {r: ["category", "count", "amount"] if api.ENDPOINTS[r].kind == "pie" else [*api.ENDPOINTS[r].fields, *api.ENDPOINTS[r].sums] for r in routes}
     text = F.lit(None).cast("string")
     for r, n in names.items():
@@ -59,8 +61,8 @@ def _sql(route: str, source: str, key: str, fields: list[str], order: str, where
     return f"""SELECT '{route}' AS route, entity, position, row FROM (SELECT *, {number} OVER (PARTITION BY entity ORDER BY {order}{tie}) AS position FROM (SELECT *, CAST({key} AS VARCHAR) AS entity, {text} AS row FROM {source} WHERE {where})) WHERE position <= {limit}"""
 
 
-def _family(name: str, parts: dict[str, str]) -> None:
-    query(f"lookup_{name}", " UNION ALL ".join(parts.values()))(lambda s, d, r=list(parts): _bulk(s, d, r))
+def _family(name: str, parts: dict[str, str], *linked: str) -> None:
+    query(f"lookup_{name}", " UNION ALL ".join(parts.values()))(lambda s, d, r=list(parts): _bulk(s, d, r, linked))
 
 
 _all = "cycle = -1"
@@ -76,7 +78,7 @@ _family("contribution_lists", {
     "indiv/recipient_pols": _given("indiv/recipient_pols", "top_individual_to_candidates", True, own=_short), "indiv/recipient_orgs": _given("indiv/recipient_orgs", "top_individual_to_pacs", own=_short),
     "org/recipients": _given("org/recipients", "top_organization_to_candidates", True), "org/recipient_pacs": _given("org/recipient_pacs", "top_organization_to_pacs"),
     "industry/orgs": _given("industry/orgs", "top_orgs_by_industry", names=("organization_name", "organization_entity")),
-})
+}, "contributions")
 
 
 def _pie(route: str, table: str) -> str:
@@ -89,7 +91,7 @@ def _pie(route: str, table: str) -> str:
 _family("breakdowns", {r: _pie(r, t) for r, t in {
     "pol/contributors/local_breakdown": "politician_by_in_state", "pol/contributors/type_breakdown": "politician_by_contributor_type", "indiv/recipients/party_breakdown": "aggregate_individual_by_party",
     "org/recipients/party_breakdown": "aggregate_organization_by_party", "org/recipients/level_breakdown": "aggregate_organization_by_state_fed", "pol/earmarks/local_breakdown": "earmarks_local",
-}.items()})
+}.items()}, "contributions")
 
 
 def _one(route: str, table: str, fields: list[str]) -> str:
@@ -100,7 +102,7 @@ def _one(route: str, table: str, fields: list[str]) -> str:
 _family("single_rows", {
     "pol/contributors/industries_unknown": _one("pol/contributors/industries_unknown", "unknown_industries_to_politician", _AMOUNTS),
     "entity/totals": _one("entity/totals", "entity_totals", ["contributor_count", "recipient_count", _M("contributor_amount"), _M("recipient_amount")]),
-})
+}, "contributions")
 
 _totals = lambda kind, also="": f"{_from('entity_totals')} x JOIN {_ENTITY} e ON e.entity_key = x.entity_id AND e.type = '{kind}' {also}"
 _gave = ["name", "entity_id", "contributor_count", _M("contributor_amount")]
@@ -113,7 +115,7 @@ _family("top_of_all", {
     "indivs/party/top": _sql("indivs/party/top", _by("individual", "party", "individual"), "party", ["entity_id", "name", *_AMOUNTS], f"{_BY_AMOUNT}, count DESC", _keyed("party")),
     "indivs/area/top": _sql("indivs/area/top", _by("individual", "state_fed", "individual"), "state_fed", ["entity_id", "name", *_AMOUNTS], f"{_BY_AMOUNT}, count DESC", _keyed("state_fed")),
     "industries/party/top": _sql("industries/party/top", _by("industry", "party", "industry"), "party", ["entity_id", "name", *_AMOUNTS], f"{_BY_AMOUNT}, count DESC", f"{_keyed('party')} AND entity_id IN (SELECT entity_id FROM {_INDUSTRY_IDS}) AND NOT regexp_matches(lower(name), 'unknown|retired|self|own campaign')"),
-})
+}, "contributions")
 
 _lobby = lambda route, table, *fields, amount=False: _sql(route, _from(f"lobby_{table}"), "entity_id", [*fields, "count", *([_M("amount")] if amount else [])], _BY_AMOUNT if amount else _BY_COUNT, _keyed("entity_id"))
 _family("lobbying_lists", {r: _lobby(r, t, *f, amount=t in ("registrants_for_client", "clients_for_registrant")) for r, (t, f) in {
@@ -121,12 +123,12 @@ _family("lobbying_lists", {r: _lobby(r, t, *f, amount=t in ("registrants_for_cli
     "org/lobbyists": ("lobbyists_for_client", ("lobbyist_name", "lobbyist_entity")), "indiv/registrants": ("registrants_for_lobbyist", ("registrant_name", "registrant_entity")), "indiv/issues": ("issues_for_lobbyist", ("issue",)),
     "indiv/clients": ("clients_for_lobbyist", ("client_name", "client_entity")), "org/registrant/issues": ("issues_for_registrant", ("issue",)), "org/registrant/bills": ("bills_for_registrant", ("bill_type", "bill_no", "congress_no", "bill_name")),
     "org/registrant/clients": ("clients_for_registrant", ("client_name", "client_entity")), "org/registrant/lobbyists": ("lobbyists_for_registrant", ("lobbyist_name", "lobbyist_entity")),
-}.items()})
+}.items()}, "lobbying")
 _spend = lambda route, column, where: _sql(route, f"{_from('lobby_by_cycle_rolled_up')} x JOIN {_ENTITY} e ON e.entity_key = x.entity_id", "NULL", ["name", "entity_id", _M(column)], f"{column} DESC NULLS LAST", f"{_all} AND {column} > 0 AND {where}")
 _family("lobbying_top", {
     "orgs/lobbying/top": _spend("orgs/lobbying/top", "non_firm_spending", "type = 'organization'"), "industries/lobbying/top": _spend("industries/lobbying/top", "non_firm_spending", f"type = 'industry' AND entity_id IN (SELECT entity_id FROM {_INDUSTRY_IDS})"),
     "industries/lobbying/all": _spend("industries/lobbying/all", "non_firm_spending", "type = 'industry'"), "orgs/lobbying_firms/top": _spend("orgs/lobbying_firms/top", "firm_income", "true"),
-})
+}, "lobbying")
 
 _names = ["recipient_name", "recipient_id", "firm_name", "firm_id", "lobbyist_name", "lobbyist_id"]
 _of = lambda who: _sql(f"bundles/of_{who}", f"(SELECT {', '.join(_names)}, type, sum(coalesce(amount, 0)) AS amount FROM {_from('bundling')} b LEFT JOIN {_ENTITY} e ON e.entity_key = b.recipient_id GROUP BY ALL)", {"recipient": "recipient_id", "firm": "firm_id", "lobbyist": "lobbyist_id"}[who], [*_names, "type", _M("amount")], _BY_AMOUNT, f"{who}_id IS NOT NULL")

@@ -13,3 +13,7 @@ def reads(df, column: str) -> int:
 
 def test_bundlers_are_read_once(spark):
     assert reads(QUERIES["bundles_denormalized"](spark, SF), "employer") == 1
+
+
+def test_look_ups_of_bundles_compute_them_once(spark):
+    assert reads(QUERIES["lookup_bundles"](spark, SF), "employer") == 0
