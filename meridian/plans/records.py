@@ -149,9 +149,11 @@ def docket_mentions(comments: DataFrame, matches: DataFrame, dockets: DataFrame,
 
 
 def docket_totals(comments: DataFrame, matches: DataFrame, dockets: DataFrame) -> DataFrame:
-    once = matches.select("document_id", "entity_id").distinct()
-    facts = once.join(comments.select("document_id", "docket_id"), "document_id").join(dockets, "docket_id").withColumn("cycle", even_year(F.col("year")))
-    return with_all_cycles(facts, ["entity_id"], {"docket_count": F.countDistinct("docket_id"), "document_count": F.countDistinct("document_id")})
+    """Dockets and documents of each entity, each once, per cycle and in all: an entity's dockets and documents with the set of their cycles, where distinct counts over all groupings would repeat every row."""
+    facts = matches.join(comments.select("document_id", "docket_id"), "document_id").join(dockets, "docket_id").withColumn("cycle", even_year(F.col("year")))
+    one = lambda key: facts.groupBy("entity_id", key).agg(F.collect_set(F.struct("cycle")).alias("_in")).select("entity_id", "_in", *[F.lit(int(c == key)).alias(c) for c in ("docket_id", "document_id")])
+    both = one("docket_id").unionByName(one("document_id")).withColumn("cycle", F.explode(F.concat(F.expr("_in.cycle"), F.array(F.lit(-1)))))
+    return both.groupBy("entity_id", "cycle").agg(F.sum("docket_id").alias("docket_count"), F.sum("document_id").alias("document_count"))
 
 
 # --- election filings
