@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from meridian.functions.cycles import even_year
 from meridian.operators import links
 from meridian.operators.joins import prefer_exact, prefix_join
-from meridian.operators.ranking import rank_within, top_n
+from meridian.operators.ranking import checkpointed, rank_within, top_n
 from meridian.operators.rollup import with_all_cycles
 
 TOP_N = 10
@@ -102,7 +102,7 @@ def by_year_rolled_up(t: Tables) -> DataFrame:
     A child's filing counts for its parent if it is of type b, or if the parent filed for its children in that year (include_nsfs) or filed of type n.
     """
     meta = t["org_metadata"].select("entity_id", "cycle", "parent_entity_id", "industry_entity_id", "subindustry_entity_id")
-    own = by_entity_year(t).withColumn("cycle", even_year(F.col("year"))).join(meta, ["entity_id", "cycle"], "left")
+    own = checkpointed(by_entity_year(t).withColumn("cycle", even_year(F.col("year"))).join(meta, ["entity_id", "cycle"], "left"))  # read five times
     files = own.filter("include_nsfs or filing_type = 'n'").select(F.col("entity_id").alias("parent_entity_id"), "year").distinct().withColumn("files", F.lit(True))
     child = own.filter("parent_entity_id is not null").join(files, ["parent_entity_id", "year"], "left").filter("filing_type = 'b' or files")
     up = own.select("entity_id", "year", *FIGURES).unionByName(child.select(F.col("parent_entity_id").alias("entity_id"), "year", *FIGURES))
