@@ -138,38 +138,55 @@ def org_texts(name: Column) -> dict[str, Column]:
 _GRAMS = "array_distinct(flatten(transform({parts}, p -> if(length(p) >= {g}, transform(sequence(1, length(p) - {g} + 1), i -> substring(p, i, {g})), cast(array() as array<string>)))))"
 
 
-def organization_candidates(subjects: DataFrame, targets: DataFrame) -> DataFrame:
-    """Columns subject_id, match_id, tier, confidence: all targets that the first way of CASCADE with any result finds for a subject (id, name; ids distinct).
+#: Lengths of the runs by which candidates are looked for. Runs of three alone are too few in kind: of names that are told apart by numbers or codes each is in a share of all, so pairs would grow with the square.
+GRAMS = (1, 2, 3, 6)
+
+
+def organization_pairs(keys: DataFrame, targets: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
+    """Columns of `on`, subject_id, tier, key, match_id: the targets (match_id, match_low) that may contain all parts of a key, by the run of it that the fewest of them have.
+
+    keys: subject_id, tier, key, parts. Only targets with equal columns of `on` count, which both have.
+    """
+    longest = F.array_max(F.transform("parts", F.length))
+    g = F.array_max(F.filter(F.array(*[F.lit(x) for x in GRAMS]), lambda x: x <= longest))
+    wanted = keys.withColumn("g", g).select(*on, "subject_id", "tier", "key", F.explode(F.expr(_GRAMS.format(parts="parts", g="g"))).alias("gram"))
+    own = F.explode(F.flatten(F.array(*[F.expr(_GRAMS.format(parts="array(match_low)", g=x)) for x in GRAMS])))  # of different lengths, so distinct
+    posted = targets.select(*on, "match_id", own.alias("gram"))
+    often = posted.groupBy(*on, "gram").agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    rarest = wanted.join(often.hint("merge"), [*on, "gram"], "left").groupBy(*on, "subject_id", "tier", "key").agg(F.min(F.struct(n.alias("n"), "gram")).alias("_g")).filter("_g.n > 0").select(*on, "subject_id", "tier", "key", "_g.gram")
+    return rarest.join(posted.hint("merge"), [*on, "gram"]).drop("gram")
+
+
+def organization_candidates(subjects: DataFrame, targets: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
+    """Columns subject_id, match_id, tier, confidence, and of `on`: all targets that the first way of CASCADE with any result finds for a subject (id, name; ids distinct).
+
+    on: columns of both sides that must be equal; ids are then distinct within these.
 
     kernel, name, expanded: the target's name contains that text of the subject; words: the kernel's words follow one another in it with anything between; firm: it
-    begins with the first two. Joins are by sorted shuffles: exploded rows would else pass for few and be brought to the driver to be broadcast. An empty text finds nothing. A text that is contained has all its runs of three characters in the target (shorter texts: runs of two or
+    begins with the first two. Joins are by sorted shuffles: exploded rows would else pass for few and be brought to the driver to be broadcast. An empty text finds nothing. A text that is contained has all its runs of six characters in the target (shorter texts: runs of three, two or
     one), so candidates come by the one that the fewest targets have and are then verified. Confidence: 4 for equal expanded names, 3 for equal kernels or for `a, b et al`
     of a list of partners, else 2.
     """
-    texts = lambda d, p: d.select(F.col("id").alias(f"{p}_id"), *[c.alias(f"{p}_{n}") for n, c in org_texts(F.col("name")).items()])
+    dealt = int(subjects.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # names are a small file whose runs are many rows: dealt first, so that no single task makes them
+    texts = lambda d, p: d.select("id", "name", *on).repartition(dealt, *on, "id").select(*on, F.col("id").alias(f"{p}_id"), *[c.alias(f"{p}_{n}") for n, c in org_texts(F.col("name")).items()])
     s, m = texts(subjects, "subject"), texts(targets, "match")
     of = {"kernel": "subject_kernel", "name": "subject_low", "expanded": "subject_expanded", "words": "subject_kernel", "firm": "subject_firm"}
     ways = F.array(*[F.struct(F.lit(i).alias("tier"), F.col(of[w]).alias("key"), (F.split(of[w], " ") if w == "words" else F.array(of[w])).alias("parts")) for i, w in enumerate(CASCADE)])
-    keys = s.select("subject_id", F.inline(ways)).filter("key <> ''").withColumn("g", F.expr("least(3, array_max(transform(parts, p -> length(p))))"))
-    wanted = keys.select("subject_id", "tier", "key", F.explode(F.expr(_GRAMS.format(parts="parts", g="g"))).alias("gram"))
-    own = F.explode(F.expr("array_union(array_union({}, {}), {})".format(*[_GRAMS.format(parts="array(match_low)", g=g) for g in (1, 2, 3)])))
-    posted = m.select("match_id", own.alias("gram"))
-    often = posted.groupBy("gram").agg(F.count("*").alias("n"))
-    n = F.coalesce("n", F.lit(0))
-    rarest = wanted.join(often.hint("merge"), "gram", "left").groupBy("subject_id", "tier", "key").agg(F.min(F.struct(n.alias("n"), "gram")).alias("_g")).filter("_g.n > 0").select("subject_id", "tier", "key", "_g.gram")
-    pairs = rarest.join(posted.hint("merge"), "gram").drop("gram").join(m.hint("merge"), "match_id")
+    keys = s.select(*on, "subject_id", F.inline(ways)).filter("key <> ''")
+    pairs = organization_pairs(keys, m.select(*on, "match_id", "match_low"), on).join(m.hint("merge"), [*on, "match_id"])
     words = F.concat(F.lit(r"(?s)\Q"), F.replace("key", F.lit(" "), F.lit(r"\E.*\Q")), F.lit(r"\E"))
     way = lambda name: F.col("tier") == CASCADE.index(name)
     found = pairs.filter(F.when(way("words"), F.rlike("match_low", words)).when(way("firm"), F.startswith("match_low", "key")).otherwise(F.contains("match_low", "key")))
-    first = found.withColumn("_first", F.min("tier").over(Window.partitionBy("subject_id"))).filter("tier = _first").join(s.hint("merge"), "subject_id")
+    first = found.withColumn("_first", F.min("tier").over(Window.partitionBy(*on, "subject_id"))).filter("tier = _first").join(s.hint("merge"), [*on, "subject_id"])
     partners = F.contains("subject_low", F.lit(",")) & (F.concat("subject_firm", F.lit(", et al")) == F.col("match_low"))
     score = F.when(F.col("match_expanded") == F.col("subject_expanded"), 4.0).when((F.col("match_kernel") == F.col("subject_kernel")) | partners, 3.0).otherwise(2.0)
-    return first.select("subject_id", "match_id", F.element_at(F.array(*[F.lit(w) for w in CASCADE]), F.col("tier") + 1).alias("tier"), score.alias("confidence"))
+    return first.select("subject_id", "match_id", F.element_at(F.array(*[F.lit(w) for w in CASCADE]), F.col("tier") + 1).alias("tier"), score.alias("confidence"), *on)
 
 
-def cascade_organizations(subjects: DataFrame, targets: DataFrame) -> DataFrame:
+def cascade_organizations(subjects: DataFrame, targets: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
     """Of organization_candidates all at a subject's highest confidence."""
-    return organization_candidates(subjects, targets).withColumn("_r", F.rank().over(Window.partitionBy("subject_id").orderBy(F.desc("confidence")))).filter("_r = 1").drop("_r")
+    return organization_candidates(subjects, targets, on).withColumn("_r", F.rank().over(Window.partitionBy(*on, "subject_id").orderBy(F.desc("confidence")))).filter("_r = 1").drop("_r")
 
 
 #: Lower and upper limit of confidence of each kind that is reconciled.

@@ -121,6 +121,17 @@ def test_organization_cascade_equals_brute_force(spark):
     assert {(0, 100, "expanded", 2.0), (1, 101, "kernel", 2.0), (2, 102, "kernel", 4.0), (3, 104, "words", 2.0), (4, 105, "firm", 3.0), (8, 108, "name", 2.0)} <= want
 
 
+def test_candidates_of_organizations_grow_with_the_names(spark):
+    """Names told apart by numbers: every run of three characters is in a share of all names, so pairs by these would be 36 times as many for six times the names."""
+    def pairs(n):
+        d = spark.range(n).select("id", F.format_string("Q%05dx Bros", F.col("id") * 7919 % 100_000).alias("low"))
+        keys = d.select(F.col("id").alias("subject_id"), F.lit(0).alias("tier"), F.col("low").alias("key"), F.array("low").alias("parts"))
+        return fuzzy.organization_pairs(keys, d.select(F.col("id").alias("match_id"), F.col("low").alias("match_low")))
+
+    few, many = pairs(2000), pairs(12000)
+    assert many.filter("subject_id = match_id").count() == 12000 and many.count() <= 7 * few.count()
+
+
 def test_organization_query_equals_brute_force(spark):
     rows = entities._organizations(spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/part.parquet").count()
