@@ -180,8 +180,9 @@ def matches(t: Tables, commands: Iterable[str], keep_unmatched: bool = False) ->
         s = reduce(DataFrame.unionByName, [x for x, _ in sides])
         m = reduce(DataFrame.unionByName, {COMMANDS[n].targets: y for n, (_, y) in zip(alike, sides, strict=True)}.values())
         if kind == ("organization",):
-            found = [fuzzy.cascade_organizations(s.filter(F.col("set") == x).select("id", "name"), m.filter(F.col("set") == x).select("id", "name")) for x in sorted({COMMANDS[n].targets for n in alike})]
-            found = reduce(DataFrame.unionByName, found).select("subject_id", "match_id", "confidence", F.lit(0.0).alias("metadata_confidence"))
+            alike_names = s.select(F.col("name").alias("id"), "name", "set").distinct()  # commands share subjects: a name is looked for once
+            found = fuzzy.cascade_organizations(alike_names, m.select("id", "name", "set"), ("set",)).withColumnRenamed("subject_id", "name")
+            found = s.select(F.col("id").alias("subject_id"), "name", "set").join(found.hint("merge"), ["name", "set"]).select("subject_id", "match_id", "confidence", F.lit(0.0).alias("metadata_confidence"))
         elif kind == ("given",):
             found = best_by_given_names(s, m, ("set", "also"))
         else:
