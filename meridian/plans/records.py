@@ -32,7 +32,8 @@ def lobbying_top(reports: DataFrame, who: DataFrame, what: DataFrame, by: list[s
     who: (entity_id, transaction_id); what: transaction_id and the columns of by.
     """
     facts = reports.select("transaction_id", "cycle").join(who, "transaction_id").join(what, "transaction_id")
-    g = with_all_cycles(facts, ["entity_id", *by], {"count": F.count("*")})
+    each = facts.groupBy("entity_id", *by, "cycle").agg(F.count("*").alias("count"))  # first, so that no fact is repeated for each grouping
+    g = with_all_cycles(each, ["entity_id", *by], {"count": F.sum("count")})
     return top_n(g, ["entity_id", "cycle"], [F.desc("count"), *[F.asc(b) for b in by]], n)
 
 
