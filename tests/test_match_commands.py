@@ -147,3 +147,12 @@ def test_a_politicians_recipient_id_is_no_lobbyists(spark, tmp_path):
     assert found == {k for k, odd in customers if odd and k % 3 and k % 5 != 4 and k % 7 < 6 and 2009 <= 2008 + k % 6 <= 2011}
     one = {"entity": spark.sql("select 1 as id, 'A' as name, 'politician' as type"), "attribute": spark.sql("select 1 as entity_id, 'x' as namespace, 'U0000000001A' as value"), "lobbyist_id": spark.sql("select 'U0000000001B' as ext_id, 2010 as year")}
     assert mt.TARGETS["lobbyists_2009_2011_by_short_id"](one).count() == 1 and mt.TARGETS["lobbyists_2009_2011"](one).count() == 0
+
+
+def test_no_politician_of_the_stand_ins_has_a_lobbyists_id(spark):
+    """The statistics' SQL matches staffers with lobbyists who are no politicians; ids are compared by eleven characters there."""
+    t = qm.tables(spark, SF)
+    short = lambda c: F.left(c, F.lit(11)).alias("_id")
+    politicians = t["entity"].filter("type = 'politician'").select(F.col("id").alias("entity_id"))
+    theirs = t["attribute"].join(politicians, "entity_id").select(short("value"))
+    assert theirs.count() > 0 and theirs.join(t["lobbyist_id"].select(short("ext_id")), "_id").count() == 0
