@@ -51,6 +51,33 @@ def close_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)])
 
 
+def closest_of(text: str, others: list[str], n: int, cutoff: float) -> list[dict]:
+    """Places in others, and ratios, of the n closest to text, `cutoff` at least: of equal ratios the greater text first, then the first place. Most promising first, so that weak ones need no ratio."""
+    m = difflib.SequenceMatcher(b=text)
+    bounds, best = [], []
+    for i, x in enumerate(others):
+        m.set_seq1(x)
+        if m.real_quick_ratio() >= cutoff and (bound := m.quick_ratio()) >= cutoff:
+            bounds.append((bound, i))
+    for bound, i in sorted(bounds, reverse=True):
+        if len(best) == n and bound < best[-1][0]:
+            break
+        m.set_seq1(others[i])
+        if (ratio := m.ratio()) >= cutoff:
+            best = sorted([*best, (ratio, others[i], -i)], reverse=True)[:n]
+    return [{"place": -i, "ratio": r} for r, _, i in best]
+
+
+def closest(text: Column, others: Column, n: int, cutoff: float) -> Column:
+    """closest_of of a text and an array of texts."""
+
+    @F.pandas_udf("array<struct<place: int, ratio: double>>")
+    def of(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([closest_of(x, list(y), n, cutoff) for x, y in zip(a, b, strict=True)], dtype=object)
+
+    return of(text, others)
+
+
 def person_score(subject: Column, match: Column, nickname: Column) -> Column:
     """Confidence that two parsed names are one person; 0 where the last names differ. nickname: whether their first names are forms of one.
 

@@ -4,11 +4,14 @@ import difflib
 import itertools
 import random
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
+from meridian.functions import names
 from meridian.functions.persons import Switches, parts_of, western
-from meridian.operators import persons
+from meridian.operators import close, persons
 from meridian.operators.close import close_matches
 
 
@@ -34,6 +37,50 @@ def test_close_matches_equal_difflib(spark):
     assert close_matches(of([]), of(targets)).count() == 0 and close_matches(of(names), of([])).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 3, 32])
+def test_close_matches_of_few_and_of_many_targets(spark, monkeypatch, few):
+    """By arrays of a first word's targets, by characters, and by both together; equal names of several targets, leading spaces and `the` twice."""
+    monkeypatch.setattr(close, "FEW", few)
+    rng = random.Random(5)
+    words = ["The", "the", "T", "Bank", "bank", "B", "of", "Ohio", "\U0001d517rust", "Zürich", "Co."]
+    name = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(1, 4)))
+    names = [name() for _ in range(80)] + ["the the bank", "The  Bank", " bank", "the ", "THE", "the bank of ohio"] * 2
+    targets = [name() for _ in range(120)] + [" Bank", "", "Bank of Ohio", "bank of ohio", "BANK OF OHIO", "BANK OF OHIO", "The Bank"]
+    rng.shuffle(targets)
+    of = lambda rows: spark.createDataFrame(list(enumerate(rows)), "id int, name string")
+    got = sorted((r["id"], r["position"], r["match_id"], r["match"], r["ratio"]) for r in close_matches(of(names), of(targets)).collect())
+    want = []
+    for i, x in enumerate(names):
+        fit = [(difflib.SequenceMatcher(None, t.lower(), x.lower()).ratio(), t.lower(), -j) for j, t in enumerate(targets) if brute_close(x, [t])]
+        want += [(i, at, -j, targets[-j], ratio) for at, (ratio, _, j) in enumerate(sorted(fit, reverse=True)[:3], 1)]
+    assert got == want and len({x for x, *_ in got}) > 80
+
+
+def test_close_matches_shuffle_little_for_each_name(spark):
+    """Names of which each has three targets are not repeated for each beginning and character."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        time.sleep(0.5)
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    names = spark.range(1000).selectExpr("id", "concat('Q', id, 'x County Hospital for Children and Women') as name")
+    targets = spark.range(3000).selectExpr("id", "concat('Q', id div 3, 'x County Hospital for Women and Children ', id % 3) as name")
+    before = shuffled()
+    assert close_matches(names, targets).count() == 3000
+    assert 0 < shuffled() - before < 2000 * 1000
+
+
+def test_closest_of_computes_no_ratio_that_cannot_count(monkeypatch):
+    tried = []
+    kept = difflib.SequenceMatcher.ratio
+    monkeypatch.setattr(difflib.SequenceMatcher, "ratio", lambda m: tried.append(m.a) or kept(m))
+    assert names.closest_of("abcdef", ["abcxyz", "abcdef", "abcdeg", "abcdeg", "zzz"], 2, 0.1) == [{"place": 1, "ratio": 1.0}, {"place": 2, "ratio": 10 / 12}]
+    assert "abcxyz" not in tried and "zzz" not in tried
+    assert names.closest_of("abc", [], 2, 0.1) == [] and names.closest_of("abc", ["", "xyz"], 2, 0.1) == []
+
+
 NICKS = [("BILL", "William"), ("WILLIAM", "William"), ("TED", "Ted"), ("EDWARD", "Ted"), ("THEODORE", "Ted"), ("BILL", "Billy")]
 
 
